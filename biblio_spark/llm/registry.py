@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblio_spark.llm import decontaminate, license_scan, secret_scan
-from biblio_spark.storage import read_table
+from biblio_spark.llm import decontaminate, license_scan, packing, secret_scan, token_files
+from biblio_spark.storage import new_path, read_table
 
 
 def digest(values) -> object:
@@ -76,9 +76,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"base_labels": F.array_join("base_labels", ","), "labels": F.array_join("labels", ",")}).drop("expressions")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), path)
+    return token_files.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op8_token_files": op8_token_files,
     "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL = {"op4_decontaminate": SQL4}
