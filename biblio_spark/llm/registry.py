@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblio_spark.llm import decontaminate, license_scan, packing, secret_scan, token_files
+from biblio_spark.llm import decontaminate, license_scan, packing, quality, secret_scan, simhash, token_files
 from biblio_spark.storage import new_path, read_table
 
 
@@ -80,6 +80,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_files.write_token_files(read_table(spark, sf_dir, "documents"), path)
@@ -90,6 +99,8 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op6_simhash": op6_simhash,
+    "op9_quality": op9_quality,
     "op8_token_files": op8_token_files,
     "op10_license_scan": op10_license_scan,
 }
