@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblio_spark.llm import decontaminate, license_scan, packing, quality, secret_scan, simhash, token_files
+from biblio_spark.llm import decontaminate, kdtree, license_scan, packing, quality, secret_scan, simhash, token_files, warc
 from biblio_spark.storage import new_path, read_table
 
 
@@ -14,6 +14,22 @@ def digest(values) -> object:
     return F.sha2(F.array_join(values, ","), 256)
 
 
+def op1_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = kdtree.quantized(read_table(spark, sf_dir, "embeddings"))
+    return kdtree.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+SQL1 = """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
@@ -89,6 +105,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.convert_pages(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url", F.col("date").alias("warc_date")
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_files.write_token_files(read_table(spark, sf_dir, "documents"), path)
@@ -96,12 +120,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_kdtree_topk": op1_kdtree_topk,
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontaminate": op4_decontaminate,
     "op6_simhash": op6_simhash,
+    "op7_warc": op7_warc,
     "op9_quality": op9_quality,
     "op8_token_files": op8_token_files,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL = {"op4_decontaminate": SQL4}
+ORACLE_SQL = {"op1_kdtree_topk": SQL1, "op4_decontaminate": SQL4}
