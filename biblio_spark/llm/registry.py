@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblio_spark.llm import decontaminate, kdtree, license_scan, packing, quality, secret_scan, simhash, token_files, warc
+from biblio_spark.llm import decontaminate, kdtree, license_scan, packing, quality, repeats, secret_scan, simhash, token_files, warc
 from biblio_spark.storage import new_path, read_table
 
 
@@ -96,6 +96,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -124,6 +129,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op5_repeats": op5_repeats,
     "op6_simhash": op6_simhash,
     "op7_warc": op7_warc,
     "op9_quality": op9_quality,
