@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblio_spark.llm.bytescan import LOWER, WORD, chunks, flat, offsets_in_characters, word_bounds
+from biblio_spark.storage import materialize
 
 #: Words of a window; an item with fewer is one window.
 WINDOW = 13
@@ -323,3 +324,10 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
         parts.append(text[done:start])
         done = end
     return "".join([*parts, text[done:]])
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, texts and all columns as they are. Rows without an id stay."""
+    found = find_contamination(docs, items, id_column, text_column)
+    ids = found.where(is_contaminated() & F.col(id_column).isNotNull()).select(id_column).distinct()
+    return docs.join(materialize(ids, "contaminated"), id_column, "left_anti").select(*docs.columns)

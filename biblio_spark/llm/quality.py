@@ -139,17 +139,18 @@ class RuleModel:
     intercept: float
     rules: tuple[tuple[tuple[Condition, ...], float], ...]
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "") -> Column:
         total = F.lit(self.intercept)
         for conditions, weight in self.rules:
-            total = total + F.when(rule_column(conditions), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(rule_column(conditions, prefix), F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
 
-def rule_column(conditions: tuple[Condition, ...]) -> Column:
+def rule_column(conditions: tuple[Condition, ...], prefix: str = "") -> Column:
     out = F.lit(True)
     for name, below, limit in conditions:
-        out = out & ((F.col(name) <= limit) if below else (F.col(name) > limit))
+        value = F.col(prefix + name)
+        out = out & ((value <= limit) if below else (value > limit))
     return out
 
 
@@ -203,23 +204,55 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score, predicted.
-
-    Statistics of all whole texts are written once (some 130 bytes a document). The fit uses at most ``rows`` labelled
-    documents that are not held out, those with the least hashes of their ids; this list, bounded by ``rows``, is the
-    only broadcast. Scores are then plain column expressions over the statistics. A label that is null or not 0 or 1 is
-    no label; of repeated labels the mean decides; empty texts are scored like others.
-    """
-    found = materialize(statistics(docs, id_column, text_column), "statistics")
-    marks = (
+def fit_labels(labels: DataFrame, id_column: str = "doc_id", rows: int = FIT_ROWS) -> DataFrame:
+    """(id, label) of at most ``rows`` labelled documents that are not held out, those with the least hashes of their ids. A
+    label that is null or not 0 or 1 is no label; of repeated labels the mean decides."""
+    return (
         labels.where(F.col("quality").isin(0, 1) & ~held_out(id_column) & F.col(id_column).isNotNull())
         .groupBy(id_column)
         .agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
         .orderBy(F.xxhash64(id_column), id_column)
         .limit(rows)
     )
-    used = found.join(F.broadcast(marks), id_column).orderBy(F.xxhash64(id_column), id_column, *STATISTICS).limit(rows)
-    model = fit_rules(materialize(used.coalesce(1), "fit"))
+
+
+def fit_sample(found: DataFrame, id_column: str = "doc_id", rows: int = FIT_ROWS) -> RuleModel:
+    """The model from statistics with labels, in a fixed order so that a refit gives the same rules."""
+    used = found.orderBy(F.xxhash64(id_column), id_column, *STATISTICS).limit(rows)
+    return fit_rules(materialize(used.coalesce(1), "fit"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = FIT_ROWS) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, score, predicted.
+
+    Statistics of all whole texts are written once (some 130 bytes a document). The fit uses at most ``rows`` labelled
+    documents that are not held out; this list, bounded by ``rows``, is the only broadcast. Scores are then plain
+    column expressions over the statistics. Empty texts are scored like others; without labels all scores are 0.5.
+    """
+    found = materialize(statistics(docs, id_column, text_column), "statistics")
+    model = fit_sample(found.join(F.broadcast(fit_labels(labels, id_column, rows)), id_column), id_column, rows)
     scored = found.select(id_column, held_out(id_column).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` with a score of THRESHOLD or more, all columns as they are. Only labelled texts of the fit are read
+    twice; no text is shuffled."""
+    marks = F.broadcast(fit_labels(labels, id_column, rows))
+    sample = docs.select(id_column, text_column).join(marks, id_column)
+    model = fit_sample(statistics(sample, id_column, text_column).join(marks, id_column), id_column, rows)
+    names, extra = docs.columns, "_statistics"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text_column)
+        for batch in batches:
+            renamed = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
+            for first, end, data, offsets in chunks(renamed, "text"):
+                found = text_statistics(data, offsets)
+                values = pa.StructArray.from_arrays([pa.array(found[s].astype(float)) for s in STATISTICS], names=list(STATISTICS))
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns), values], names=[*names, extra])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kinds = ", ".join(f"{s}: double" for s in STATISTICS)
+    scored = docs.mapInArrow(add, f"{fields}, {extra} struct<{kinds}>")
+    return scored.where(model.score(f"{extra}.") >= THRESHOLD).select(*(F.col(f"`{n}`") for n in names))

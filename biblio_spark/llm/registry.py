@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from biblio_spark.llm import decontaminate, kdtree, license_scan, packing, quality, repeats, secret_scan, simhash, token_files, warc
 from biblio_spark.storage import new_path, read_table
 
@@ -124,6 +125,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_kdtree_topk": op1_kdtree_topk,
     "op2_secret_scan": op2_secret_scan,
@@ -135,5 +140,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op8_token_files": op8_token_files,
     "op10_license_scan": op10_license_scan,
+    "pipeline": pipeline,
 }
 ORACLE_SQL = {"op1_kdtree_topk": SQL1, "op4_decontaminate": SQL4}

@@ -157,3 +157,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = materialize(labelled.join(least, "component").select("fp", "component_id"), "components")
     return found.join(ids, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, all columns as they are. Rows without an id stay, and
+    rows that repeat an id are one document and stay together."""
+    found = near_duplicates(docs, id_column, text_column)
+    others = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
+    return docs.join(materialize(others, "others"), id_column, "left_anti").select(*docs.columns)
