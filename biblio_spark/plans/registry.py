@@ -8,3 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) under ``name``, with SQL that gives the same rows if there is any."""
+
+    def register(function):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = function
+        if sql:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from biblio_spark.plans import catalog_queries, record_queries  # noqa: F401
