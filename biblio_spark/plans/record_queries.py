@@ -306,7 +306,7 @@ def j3(spark, d):
 SELECT row_id, count(o.ord) AS hits, min(o.ord) AS first_ord FROM t LEFT JOIN o ON t.k = o.k AND o.k <> '' GROUP BY row_id""")
 def j4(spark, d):
     records = lit(spark, d)
-    return links.match_titles(records.where("ord % 25 = 0").select(F.col("ord").alias("row_id"), F.upper("article.title").alias("title")), records)
+    return links.match_titles(records.where("ord % 25 = 0").select(F.col("ord").alias("row_id"), F.concat(F.lit("The "), "article.title", F.lit("!")).alias("title")), records)
 
 
 @query("j11_pending_files", WITH + ", " + ID_LIST + "SELECT row_id, doi FROM id_list WHERE row_id % 2 <> 0")
