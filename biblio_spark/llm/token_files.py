@@ -81,14 +81,14 @@ def write_token_files(
     """Write the ids of every text, each followed by ``end_id``, under ``path``/data in ascending order of the ids of
     documents, and the index under ``path``/index.
 
-    One range shuffle brings the texts in order (repeated ids stay in order of their texts, null ids come first; a null
-    text is empty); each task encodes and frames its stretch. ``wide`` stores 32 bits an id, for vocabularies
+    One range shuffle brings the texts in order (repeated ids in order of a hash of their texts, null ids first; a null
+    text is empty); the driver samples ids and hashes for it, no texts; each task encodes and frames its stretch. ``wide`` stores 32 bits an id, for vocabularies
     beyond 65,536. Ids of documents are stored as signed 64 bits.
     """
     tokenizer = tokenizer or default_tokenizer()
     dtype = "<u4" if wide else "<u2"
     ordered = docs.select(docs[id_column].cast("long").alias("id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    ordered = ordered.withColumn("hash", F.xxhash64("text")).repartitionByRange("id", "hash").sortWithinPartitions("id", "hash")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
