@@ -1,0 +1 @@
+"""No streaming operators: all jobs are batch jobs over landed files."""
