@@ -124,19 +124,21 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
     some = not heavy.isEmpty()
     light = table.join(heavy, "key", "left_anti") if some else table
+    # Spark takes an exploded table for as small as the table before it: without the hints it would broadcast the balls
     pairs = (
         probes.select(F.col("fp").alias("a"), F.col("at").alias("key"))
+        .hint("merge")
         .join(light.select(F.col("fp").alias("b"), "key"), "key")
         .where((F.col("a") < F.col("b")) & near("a", "b"))
         .select("a", "b")
     )
     if some:
         exact = materialize(table.join(heavy, "key", "left_semi"), "exact")
-        beside = probes.where("at <> key").select("fp", F.col("at").alias("key"), "other").join(heavy, "key", "left_semi")
+        beside = probes.where("at <> key").select("fp", F.col("at").alias("key"), "other").hint("merge").join(heavy, "key", "left_semi")
         ring1 = _flip(exact, "other", _ball(0) + _ball(1), "hub")
         anchors = materialize(ring1.groupBy("key", "hub").agg(F.min("fp").alias("b")), "anchors")
         around = ring1.unionByName(_flip(exact, "other", _ball(2), "hub")).unionByName(_flip(beside, "other", _ball(0) + _ball(1), "hub"))
-        over = around.join(anchors, ["key", "hub"]).where((F.col("fp") != F.col("b")) & near("fp", "b"))
+        over = around.hint("merge").join(anchors, ["key", "hub"]).where((F.col("fp") != F.col("b")) & near("fp", "b"))
         pairs = pairs.unionByName(over.select(F.col("fp").alias("a"), "b").distinct())
     return pairs.distinct()
 
