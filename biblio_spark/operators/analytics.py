@@ -11,11 +11,18 @@ from biblio_spark.functions.identifiers import DOI_PATTERN
 
 def search_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """(source, found, total, sources_searched, duplicates_removed), a row for each source of the results before de-duplication."""
-    by_source = before.groupBy(F.col("source_specific.source").alias("source")).agg(F.count("*").alias("found"))
-    total = after.agg(F.count("*").alias("total"))
-    all_found = by_source.agg(F.sum("found").alias("_before"), F.count("*").alias("sources_searched"))
-    # each side has one row
-    out = by_source.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(all_found))
+    source = F.col("source_specific.source").alias("source")
+    found = before.groupBy(source).agg(F.count("*").alias("found"))
+    kept = after.groupBy(source).agg(F.count("*").alias("kept"))
+    # a row for each source: totals over all of them are cheap
+    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    out = found.join(kept, "source", "left").withColumns(
+        {
+            "total": F.coalesce(F.sum("kept").over(every), F.lit(0)),
+            "sources_searched": F.count("*").over(every),
+            "_before": F.sum("found").over(every),
+        }
+    )
     return out.select("source", "found", "total", "sources_searched", (F.col("_before") - F.col("total")).alias("duplicates_removed"))
 
 
