@@ -20,30 +20,31 @@ CAPACITY = 2048
 SALTS = 64
 
 
-def fullest(counts: dict[int, int], order: list[int], capacity: int) -> dict[int, int]:
+def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """How many pieces of each length fill a bin as far as they can, the longest available length among them.
 
-    Subset sums as bits of one integer; a length with count c enters in shares of 1, 2, 4, ... pieces. Ends as soon
-    as the bin is full; else the highest reachable sum is traced back.
+    Subset sums as bits of one integer; a length with count c enters in shares of 1, 2, 4, ... pieces, short lengths
+    first. The highest reachable sum is traced back from the longest length on, each taken where the shorter ones can
+    still make up the rest: of equally full combinations the one with the longest pieces, so that short pieces stay
+    for bins that nothing else fills.
     """
-    longest = order[0]
+    order = sorted(counts)
+    longest = order[-1]
     room = capacity - longest
     bits, mask, history = 1, (1 << (room + 1)) - 1, []
     for length in order:
-        if length > room:
-            continue
         left, share = min(counts[length] - (length == longest), room // length), 1
-        while left > 0 and not bits >> room & 1:
+        if length > room:
+            break
+        while left > 0:
             take = min(share, left)
             history.append((length, take, bits))
             bits |= bits << (length * take) & mask
             left -= take
             share *= 2
-        if bits >> room & 1:
-            break
     total, used = bits.bit_length() - 1, {longest: 1}
     for length, take, before in reversed(history):
-        if not before >> total & 1:
+        if total >= length * take and before >> (total - length * take) & 1:
             total -= length * take
             used[length] = used.get(length, 0) + take
     return used
@@ -56,17 +57,15 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     lengths, at most ``capacity``, and not on the number of pieces.
     """
     counts = {length: n for length, n in histogram.items() if n}
-    order = sorted(counts, reverse=True)
     plan = []
-    while order:
-        used = fullest(counts, order, capacity)
+    while counts:
+        used = fullest(counts, capacity)
         times = min(counts[length] // n for length, n in used.items())
         plan.append((used, times))
         for length, n in used.items():
             counts[length] -= n * times
             if not counts[length]:
                 del counts[length]
-                order.remove(length)
     return plan
 
 
