@@ -476,3 +476,46 @@ def a3(spark, d):
 @query("v7_load_gate", WITH + f"SELECT ord, trim(title) <> '' AND publication_year BETWEEN 1000 AND {CURRENT_YEAR + 5} AS passes FROM lit")
 def v7(spark, d):
     return lit(spark, d).select("ord", validate.passes_load_gate(CURRENT_YEAR).alias("passes"))
+
+
+@query("s1_s6_pubmed_xml", WITH + """
+SELECT ord::VARCHAR AS pmid, 'Title ' || md5(title) AS title, publication_year, publication_year || '-' || lpad((1 + ord % 12)::VARCHAR, 2, '0') AS publication_date,
+  array_to_string(list_transform(authors, lambda a: 'Fore ' || a), '|') AS authors, coalesce(venue_name, '') AS venue,
+  concat_ws(';', 'doi=10.1000/' || CASE WHEN doi IS NOT NULL THEN ord END || '=true', 'pmid=' || ord || '=' || (doi IS NULL)) AS ids, language AS categories,
+  ord % 5 = 0 AS major, 'Journal Article' AS types, 'Abstract text' AS abstract FROM lit""")
+def s1(spark, d):
+    from biblio_spark.sources import pubmed_xml
+    from biblio_spark.storage import new_path
+
+    month = F.element_at(F.array(*(F.lit(m) for m in dates.MONTHS)), (1 + F.col("ord") % 12).cast("int"))
+    tag = lambda name, *parts: F.concat(F.lit(f"<{name}>"), *parts, F.lit(f"</{name.split(' ')[0]}>"))
+    people = F.array_join(F.transform("authors", lambda a: tag("Author", tag("LastName", a["full_name"]), tag("ForeName", F.lit("Fore")))), "")
+    venue = F.coalesce(tag("Title", F.col("venue.venue_name")), F.lit(""))
+    doi = F.when(F.col("article.primary_doi").isNotNull(), tag('ArticleId IdType="doi"', F.lit("10.1000/"), F.col("record_id"))).otherwise(F.lit(""))
+    article = tag(
+        "Article", tag("Journal", tag("JournalIssue", tag("PubDate", tag("Year", F.col("article.publication_year").cast("string")), tag("Month", month))), venue),
+        tag("ArticleTitle", F.lit("Title "), F.md5("article.title")), tag("Abstract", tag("AbstractText", F.lit("Abstract text"))), tag("AuthorList", people),
+        tag("PublicationTypeList", tag('PublicationType UI="D1"', F.lit("Journal Article"))),
+    )
+    major = F.when(F.col("ord") % 5 == 0, "Y").otherwise("N")
+    mesh = tag("MeshHeadingList", tag("MeshHeading", F.concat(F.lit('<DescriptorName UI="D" MajorTopicYN="'), major, F.lit('">'), F.col("article.language"), F.lit("</DescriptorName>"))))
+    other = tag("ReferenceList", tag("Reference", tag("ArticleIdList", tag('ArticleId IdType="doi"', F.lit("10.9/not-its-own")))))
+    row = tag("PubmedArticle", tag("MedlineCitation", tag("PMID", F.col("record_id")), article, mesh), tag("PubmedData", tag("ArticleIdList", doi), other))
+    path = new_path(spark, "pubmed")
+
+    def file(batches):
+        """The rows of a partition within one root element, as files have it."""
+        import pyarrow as pa
+
+        line = lambda value: pa.RecordBatch.from_pydict({"value": [value]})
+        yield line("<PubmedArticleSet>")
+        yield from batches
+        yield line("</PubmedArticleSet>")
+
+    lit(spark, d).select(row.alias("value")).mapInArrow(file, "value string").write.text(path)
+    out = landed.from_pubmed(pubmed_xml.read_pubmed_xml(spark, path))
+    flat = _flat(out).drop("ord", "source").withColumn("pmid", F.regexp_extract("ids", r"pmid=(\d+)=", 1))
+    more = out.select(
+        identifiers.get_identifier("identifiers", "pmid").alias("pmid"), F.col("categories")[0]["is_major_topic"].alias("major"), F.col("article.abstract").alias("abstract")
+    )
+    return flat.join(more, "pmid")
