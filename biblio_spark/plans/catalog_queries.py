@@ -277,3 +277,26 @@ def w1(spark, d):
     locations = locations.withColumn("url_for_pdf", F.coalesce("url_for_pdf", "url_for_landing_page"))
     publisher = rows.where("pos IN (5, 6)").select("doi", "pos", F.when(F.col("pos") == 5, "application/pdf").alias("content_type"), F.concat_ws("/", F.lit("https:/"), F.lit("pub"), "o", F.col("pos").cast("string")).alias("url"))
     return search.rank_pdf_urls(locations, publisher)
+
+
+@query("w1_rank_pdf_urls_whole", """
+WITH l AS (
+  SELECT l_partkey AS doi, l_linenumber AS pos, l_orderkey AS o, (l_orderkey + l_linenumber) % 4 AS kind, CASE l_suppkey % 3 WHEN 0 THEN '/PMC.pdf' ELSE '/a.pdf' END AS f, l_suppkey % 3 AS s FROM lineitem),
+u AS (
+  SELECT doi, 'https://x/' || o || '/' || pos || f AS url, CASE WHEN s = 0 THEN 0 ELSE 1 END AS class, CASE WHEN s = 0 THEN -pos ELSE pos END AS place FROM l WHERE kind < 2
+  UNION ALL SELECT doi, 'https://pub/' || o || '/' || pos || CASE kind WHEN 2 THEN '.pdf' ELSE '' END, kind, pos FROM l WHERE kind >= 2)
+SELECT doi::VARCHAR AS doi, url, row_number() OVER (PARTITION BY doi ORDER BY class, place, url)::INTEGER AS rank FROM u""")
+def w1_whole(spark, d):
+    """Every lineitem row: two of four as locations, one as PDF link and one as landing page. w1_rank_pdf_urls takes six rows of a part."""
+    from biblio_spark.storage import read_table
+
+    o, pos = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    rows = read_table(spark, d, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("doi"), F.col("l_linenumber").alias("pos"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 4).alias("kind"),
+        F.concat_ws("/", F.lit("https:/"), F.lit("x"), o, pos, F.when(F.col("l_suppkey") % 3 == 0, "PMC.pdf").otherwise("a.pdf")).alias("place"),
+        F.concat_ws("/", F.lit("https:/"), F.lit("pub"), o, pos).alias("page"),
+    )
+    locations = rows.where("kind < 2").select("doi", "pos", F.col("place").alias("url_for_pdf"), F.lit("").alias("url_for_landing_page"))
+    pdf = F.col("kind") == 2
+    publisher = rows.where("kind >= 2").select("doi", "pos", F.when(pdf, "application/pdf").alias("content_type"), F.when(pdf, F.concat("page", F.lit(".pdf"))).otherwise(F.col("page")).alias("url"))
+    return search.rank_pdf_urls(locations, publisher)
