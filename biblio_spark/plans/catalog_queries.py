@@ -68,6 +68,25 @@ def j6b(spark, d):
     return links.references(c["citations"], ids, 2).select("citing_article_id", "cited_article_id")
 
 
+@query("j6_citing_whole", WITH + """
+SELECT cited_article_id, citing_article_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY cited_article_id ORDER BY citing_article_id) AS n
+  FROM (SELECT DISTINCT cited_article_id, citing_article_id FROM citations WHERE cited_article_id IN (SELECT article_id FROM articles))) WHERE n <= 1000""")
+def j6_whole(spark, d):
+    """All articles, with the operator's own limit."""
+    c = catalog(spark, d)
+    return links.citing(c["citations"], c["articles"].select(F.col("article_id").alias("id"))).select("cited_article_id", "citing_article_id")
+
+
+@query("j6_references_whole", WITH + """
+SELECT citing_article_id, cited_article_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY citing_article_id ORDER BY cited_article_id) AS n
+  FROM (SELECT DISTINCT citing_article_id, cited_article_id FROM citations WHERE cited_article_id IS NOT NULL AND citing_article_id IN (SELECT article_id FROM articles))) WHERE n <= 1000""")
+def j6b_whole(spark, d):
+    c = catalog(spark, d)
+    return links.references(c["citations"], c["articles"].select(F.col("article_id").alias("id"))).select("citing_article_id", "cited_article_id")
+
+
 @query("j7_assemble", LOAD + """
 SELECT title, publication_year, array_to_string(authors, '|') AS authors, venue_name, language AS categories, type_name AS types FROM loaded""")
 def j7(spark, d):

@@ -237,6 +237,31 @@ def s7(spark, d):
     return _flat(both)
 
 
+@query("s7_format_records_whole", WITH + """
+, f AS (
+  SELECT lit.*, array_to_string(authors, '|') AS people, concat_ws('=', 'doi', doi, 'true') AS d, concat_ws('=', 'pmid', pmid, 'false') AS p, concat_ws('=', 'arxiv_id', arxiv_id, 'false') AS a FROM lit)
+SELECT ord, CASE WHEN ord % 5 < 4 THEN ['pubmed', 'arxiv', 'semantic_scholar', 'wos'][ord % 5 + 1] ELSE source END AS source, title, publication_year, publication_date, people AS authors,
+  CASE WHEN ord % 5 = 2 THEN coalesce(venue_name, 'V') ELSE venue_name END AS venue,
+  CASE ord % 5 WHEN 0 THEN concat_ws(';', d, p) WHEN 1 THEN concat_ws(';', d, a) WHEN 2 THEN concat_ws(';', d, p, a, 'semantic_scholar_id=S' || ord || '=false')
+    WHEN 3 THEN concat_ws(';', d, p, 'wos_uid=WOS:' || ord || '=false')
+    ELSE concat_ws(';', 'doi=' || doi || '=true', 'pmid=' || pmid || '=false', 'arxiv_id=' || arxiv_id || '=false') END AS ids,
+  CASE WHEN ord % 5 < 4 THEN '' ELSE language END AS categories, CASE WHEN ord % 5 >= 2 THEN type_name ELSE '' END AS types FROM f""")
+def s7_whole(spark, d):
+    """Every record by the rest of its number: four sources, and unified records under a name that passes through."""
+    get = identifiers.get_identifier
+    records = lit(spark, d)
+    raw = records.select(
+        "ord", "article.title", "article.abstract", F.col("article.primary_doi").alias("doi"), get("identifiers", "pmid").alias("pmid"), get("identifiers", "arxiv_id").alias("arxiv_id"),
+        F.col("article.publication_year").alias("year"), F.col("article.publication_date").alias("published_date"), F.transform("authors", lambda a: a["full_name"]).alias("authors"),
+        F.col("venue.venue_name").alias("journal"), F.lit("V").alias("venue"), F.concat(F.lit("S"), "record_id").alias("paperId"),
+        F.struct(F.concat(F.lit("WOS:"), "record_id").alias("uid")).alias("wos"), F.transform("publication_types", lambda t: t["type_name"]).alias("types"),
+    )
+    out = landed.format_records(records.where("ord % 5 = 4"), "biorxiv")
+    for rest, source in enumerate(("pubmed", "arxiv", "semantic_scholar", "wos")):
+        out = out.unionByName(landed.format_records(raw.where(F.col("ord") % 5 == rest), source))
+    return _flat(out)
+
+
 @query("s8_flat_export", WITH + """
 SELECT record_id, source, array_to_string(authors, '; ') AS authors, venue_name AS venue, publication_year AS year, doi, pmid, arxiv_id FROM lit""")
 def s8(spark, d):

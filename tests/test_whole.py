@@ -17,3 +17,20 @@ def test_all_line_items_are_ranked(spark):
     ranked = registry.QUERIES["w1_rank_pdf_urls_whole"](spark, DATA).groupBy("doi").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
     assert {tuple(r) for r in items.collect()} == {(r["doi"], r["n"]) for r in ranked.collect()}
     assert ranked.where("n <> last").isEmpty() and ranked.agg(F.max("n")).first()[0] > 6
+
+
+def test_all_citations_are_listed(spark):
+    items = spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_linenumber <> 7")
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey")
+    for name, near in (("j6_citing_whole", "l_partkey"), ("j6_references_whole", "l_orderkey")):
+        known = items.join(orders, items[near] == orders["o_orderkey"], "left_semi")
+        want = {tuple(r) for r in known.select("l_partkey", "l_orderkey").collect()}
+        found = registry.QUERIES[name](spark, DATA).select("cited_article_id", "citing_article_id").collect()
+        assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_all_records_are_formatted(spark):
+    found = registry.QUERIES["s7_format_records_whole"](spark, DATA)
+    assert found.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert {r[0] for r in found.select(F.expr("ord % 5")).distinct().collect()} == set(range(5))
+    assert {"pubmed", "arxiv", "semantic_scholar", "wos"} <= {r["source"] for r in found.select("source").distinct().collect()}
