@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from biblio_spark.operators import analytics, links, search
 from biblio_spark.operators import catalog as cat
 from biblio_spark.plans.registry import query
-from biblio_spark.plans.views import CATALOG, CURRENT_YEAR, LIT, catalog, lit
+from biblio_spark.plans.views import CATALOG, CURRENT_YEAR, LIT, LIT_WHOLE, catalog, lit
 
 WITH = "WITH" + CATALOG
 LOAD = "WITH" + LIT + """
@@ -106,12 +106,26 @@ FROM t a JOIN t b ON a.y = b.y AND a.ord < b.ord AND len(a.w) > 0 AND len(b.w) >
 WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6
 AND NOT EXISTS (SELECT 1 FROM keys x JOIN keys z USING (key) WHERE x.ord = a.ord AND z.ord = b.ord)""")
 def j8(spark, d):
-    records = lit(spark, d)
+    return _candidates(lit(spark, d))
+
+
+def _candidates(records):
     articles = records.select(F.col("ord").alias("article_id"), "article.publication_year", "article.title")
     ids = records.select(F.col("ord").alias("article_id"), F.explode("identifiers").alias("i")).select("article_id", "i.identifier_type", "i.identifier_value")
     return links.candidate_duplicates(articles, ids, 0.6).withColumn("overlap", F.round("overlap", 6))
 
 
+@query("j8_candidate_duplicates_whole", "WITH" + LIT_WHOLE + """
+, t AS (SELECT ord, publication_year AS y, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'),
+    lambda w: w <> '' AND NOT list_contains(['a', 'an', 'the', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by'], w)))) AS w FROM lit)
+SELECT a.ord AS id1, b.ord AS id2, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS overlap
+FROM t a JOIN t b ON a.y = b.y AND a.ord < b.ord AND len(a.w) > 0 AND len(b.w) > 0
+WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6
+AND NOT EXISTS (SELECT 1 FROM keys x JOIN keys z USING (key) WHERE x.ord = a.ord AND z.ord = b.ord)""")
+def j8_whole(spark, d):
+    return _candidates(lit(spark, d, whole=True))
+
+
 @query("j9_delete_articles", WITH + """
 SELECT 'articles' AS name, count(*) AS n, sum(article_id)::BIGINT AS s FROM articles WHERE article_id % 7 <> 0
 UNION ALL SELECT 'article_authors', count(*), sum(article_id)::BIGINT FROM article_authors WHERE article_id % 7 <> 0

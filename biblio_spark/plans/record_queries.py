@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from biblio_spark.functions import dates, identifiers, scores, text
 from biblio_spark.operators import analytics, dedup, fuzzy, links, merge, search, validate
 from biblio_spark.plans.registry import query
-from biblio_spark.plans.views import CURRENT_YEAR, FIRST_SEEN, GROUPED, ID_LIST, LIT, id_list, lit
+from biblio_spark.plans.views import CURRENT_YEAR, FIRST_SEEN, GROUPED, ID_LIST, LIT, LIT_WHOLE, id_list, lit
 from biblio_spark.sources import files, landed
 
 WITH = "WITH" + LIT
+WITH_WHOLE = "WITH" + LIT_WHOLE
 DEDUP = "WITH RECURSIVE" + LIT + "," + FIRST_SEEN
 MERGED = DEDUP + "," + GROUPED
 
@@ -37,10 +38,23 @@ def f1(spark, d):
     return ids.select("ord", F.col("i.identifier_type").alias("kind"), F.col("i.identifier_value").alias("value"), identifiers.normalize_identifier("i.identifier_type", "i.identifier_value").alias("norm"))
 
 
+def _normal_names(records):
+    return records.select("ord", text.normalize_title("article.title").alias("title"), F.array_join(text.author_names("authors"), "|").alias("authors"))
+
+
 @query("f2_f3_normal_names", WITH + f"""
 SELECT ord, {normal('title')} AS title, array_to_string(list_transform(authors, lambda a: lower(trim(a))), '|') AS authors FROM lit""")
 def f2(spark, d):
-    return lit(spark, d).select("ord", text.normalize_title("article.title").alias("title"), F.array_join(text.author_names("authors"), "|").alias("authors"))
+    return _normal_names(lit(spark, d))
+
+
+NORMAL_NAMES = f"SELECT ord, {normal('title')} AS title, array_to_string(list_transform(authors, lambda a: lower(trim(a))), '|') AS authors FROM lit"
+
+
+@query("f2_f3_normal_names_whole", WITH_WHOLE + NORMAL_NAMES)
+def f2_whole(spark, d):
+    """Whole first sentences as titles, as in all queries named _whole that take titles."""
+    return _normal_names(lit(spark, d, whole=True))
 
 
 @query("f4_extract_identifiers", WITH + "SELECT ord, string_agg(kind || '=' || value, ';' ORDER BY kind) AS ids FROM ids GROUP BY ord")
@@ -330,10 +344,20 @@ def j3(spark, d):
 , t AS (SELECT ord AS row_id, {normal('title')} AS k FROM lit WHERE ord % 25 = 0), o AS (SELECT ord, {normal('title')} AS k FROM lit)
 SELECT row_id, count(o.ord) AS hits, min(o.ord) AS first_ord FROM t LEFT JOIN o ON t.k = o.k AND o.k <> '' GROUP BY row_id""")
 def j4(spark, d):
-    records = lit(spark, d)
+    return _match_titles(lit(spark, d))
+
+
+def _match_titles(records):
     return links.match_titles(records.where("ord % 25 = 0").select(F.col("ord").alias("row_id"), F.concat(F.lit("The "), "article.title", F.lit("!")).alias("title")), records)
 
 
+@query("j4_match_titles_whole", WITH_WHOLE + f"""
+, t AS (SELECT ord AS row_id, {normal('title')} AS k FROM lit WHERE ord % 25 = 0), o AS (SELECT ord, {normal('title')} AS k FROM lit)
+SELECT row_id, count(o.ord) AS hits, min(o.ord) AS first_ord FROM t LEFT JOIN o ON t.k = o.k AND o.k <> '' GROUP BY row_id""")
+def j4_whole(spark, d):
+    return _match_titles(lit(spark, d, whole=True))
+
+
 @query("j11_pending_files", WITH + ", " + ID_LIST + "SELECT row_id, doi FROM id_list WHERE row_id % 2 <> 0")
 def j11(spark, d):
     ids = id_list(lit(spark, d)).select("row_id", "doi")
@@ -367,17 +391,17 @@ def d4(spark, d):
 
 @query("d5_fuzzy_pairs")
 def d5(spark, d):
-    return fuzzy.fuzzy_pairs(lit(spark, d)).select("ord", "earlier", F.round("ratio", 6).alias("ratio"))
+    return fuzzy.fuzzy_pairs(lit(spark, d, whole=True)).select("ord", "earlier", F.round("ratio", 6).alias("ratio"))
 
 
 @query("d6_dedup_fuzzy")
 def d6(spark, d):
-    return fuzzy.dedup_fuzzy(lit(spark, d))
+    return fuzzy.dedup_fuzzy(lit(spark, d, whole=True))
 
 
 @query("d7_deduplicate")
 def d7(spark, d):
-    unique, _ = fuzzy.deduplicate(lit(spark, d))
+    unique, _ = fuzzy.deduplicate(lit(spark, d, whole=True))
     return unique.select(F.col("owner_id").alias("ord"), F.col("article.title").alias("title"), "merge_count", F.size("identifiers").alias("n_ids"))
 
 
@@ -489,7 +513,16 @@ e AS (
 
 @query("v1_v5_validate", VALID + "SELECT ord, n_errors = 0 AS is_valid, n_errors::INTEGER AS n_errors, n_warnings::INTEGER AS n_warnings FROM e")
 def v1(spark, d):
-    return validate.validate(lit(spark, d), CURRENT_YEAR).select("ord", "is_valid", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
+    return _validated(lit(spark, d))
+
+
+def _validated(records):
+    return validate.validate(records, CURRENT_YEAR).select("ord", "is_valid", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
+
+
+@query("v1_v5_validate_whole", VALID.replace(LIT, LIT_WHOLE) + "SELECT ord, n_errors = 0 AS is_valid, n_errors::INTEGER AS n_errors, n_warnings::INTEGER AS n_warnings FROM e")
+def v1_whole(spark, d):
+    return _validated(lit(spark, d, whole=True))
 
 
 @query("a3_validation_stats", VALID + """

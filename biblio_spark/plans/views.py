@@ -12,10 +12,12 @@ CURRENT_YEAR = 2024
 _SOURCES = ("pubmed", "arxiv", "biorxiv", "semantic_scholar", "wos")
 
 
-def lit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unified records, one for each row of ``documents``."""
+def lit(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Unified records, one for each row of ``documents``. The title is the first sentence: all of it if ``whole``, else
+    160 characters, as ``LIT`` has it."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    d = d.withColumn("title", F.substring(F.substring_index("text", ". ", 1), 1, 160)).withColumn("hash", F.md5("title"))
+    title = F.substring_index("text", ". ", 1)
+    d = d.withColumn("title", title if whole else F.substring(title, 1, 160)).withColumn("hash", F.md5("title"))
     i = F.col("doc_id")
     source = F.element_at(F.array(*(F.lit(s) for s in _SOURCES)), (i % 5 + 1).cast("int"))
     year = (1990 + i % 35).cast("int")
@@ -83,6 +85,9 @@ ids AS (
 keys AS (SELECT ord, kind || ':' || norm AS key, pos AS place FROM ids)
 """
 
+#: ``LIT`` with whole first sentences as titles.
+LIT_WHOLE = LIT.replace("substr(split_part(text, '. ', 1), 1, 160)", "split_part(text, '. ', 1)")
+
 #: CTE ``first_seen`` (ord, kept, owner_id) after LIT, by going through the records in order. Needs WITH RECURSIVE.
 FIRST_SEEN = """
 seq AS (SELECT lit.ord, row_number() OVER (ORDER BY lit.ord) AS n, coalesce(k.ks, []::VARCHAR[]) AS ks

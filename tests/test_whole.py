@@ -34,3 +34,40 @@ def test_all_records_are_formatted(spark):
     assert found.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert {r[0] for r in found.select(F.expr("ord % 5")).distinct().collect()} == set(range(5))
     assert {"pubmed", "arxiv", "semantic_scholar", "wos"} <= {r["source"] for r in found.select("source").distinct().collect()}
+
+
+def test_titles_are_whole(spark, tmp_path):
+    """Titles that differ after 160 characters only, held against brute force over all pairs."""
+    from biblio_spark.functions.similarity import author_ratio, ratio
+    from biblio_spark.functions.text import author_names, normalize_title
+    from biblio_spark.plans.views import lit
+
+    stem = " ".join(f"word{i}" for i in range(40))
+    far = " ".join(f"other{i * i}" for i in range(60))
+    texts = [stem, f"{stem} {far}", f"{stem} tail", f"{stem} {far} tail", "short one", f"{stem} {far[::-1]}"] * 2
+    rows = [(17 * (i + 1) if i % 2 else 17 * i + 3, f"{t}. Rest {i}", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    records = lit(spark, str(tmp_path), whole=True).select("ord", normalize_title("article.title").alias("t"), author_names("authors").alias("a")).orderBy("ord").collect()
+    first = {}
+    for r in records:
+        first.setdefault((r["t"], tuple(r["a"])), r["ord"])
+    want = set()
+    for (t, a), later in first.items():
+        for (u, b), sooner in first.items():
+            if sooner < later:
+                x = ratio(t, u)
+                if x > 0.95 if not (a and b) else x >= 0.85 and author_ratio(list(a), list(b)) >= 0.7:
+                    want.add((later, sooner, round(x, 6)))
+    assert want and max(len(t) for t, _ in first) > 500
+    assert {tuple(r) for r in registry.QUERIES["d5_fuzzy_pairs"](spark, str(tmp_path)).collect()} == want
+    near = {r["ord"]: r["owner_id"] for r in registry.QUERIES["d6_dedup_fuzzy"](spark, str(tmp_path)).collect()}
+    assert near[rows[0][0]] != near[rows[1][0]]
+    longest = registry.QUERIES["d7_deduplicate"](spark, str(tmp_path)).agg(F.max(F.length("title"))).first()[0]
+    assert longest > 500
+
+
+def test_long_titles_warn(spark):
+    n = lambda name: registry.QUERIES[name](spark, DATA).agg(F.sum("n_warnings")).first()[0]
+    first = F.substring_index("text", ". ", 1)
+    over = spark.read.parquet(f"{DATA}/documents.parquet").where(F.length(F.trim(first)) > 500).count()
+    assert over > 0 and n("v1_v5_validate_whole") == n("v1_v5_validate") + over
