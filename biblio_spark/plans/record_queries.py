@@ -279,12 +279,25 @@ def s7_whole(spark, d):
 @query("s8_flat_export", WITH + """
 SELECT record_id, source, array_to_string(authors, '; ') AS authors, venue_name AS venue, publication_year AS year, doi, pmid, arxiv_id FROM lit""")
 def s8(spark, d):
+    return _exported(spark, lit(spark, d)).select("record_id", "source", "authors", "venue", "year", "doi", "pmid", "arxiv_id")
+
+
+def _exported(spark, records):
     from biblio_spark.storage import new_path
 
     path = new_path(spark, "export")
-    files.write_csv(lit(spark, d).withColumn("article", F.col("article").withField("abstract", F.lit("a \"b\", c")).withField("title", F.lit("t"))), path)
-    back = spark.read.option("header", True).option("escape", '"').csv(path)
-    return back.select("record_id", "source", F.coalesce("authors", F.lit("")).alias("authors"), "venue", F.col("year").cast("int").alias("year"), "doi", "pmid", "arxiv_id")
+    files.write_csv(records, path)
+    back = files.read_csv(spark, path)
+    filled = {n: F.coalesce(n, F.lit("")) for n in ("title", "authors", "categories", "abstract")}
+    return back.withColumns(filled | {n: F.col(n).cast("int") for n in ("year", "citation_count")})
+
+
+@query("s8_flat_export_whole", WITH_WHOLE + """
+SELECT record_id, source, title, array_to_string(authors, '; ') AS authors, venue_name AS venue, publication_year AS year, publication_date AS date, doi, pmid, arxiv_id,
+  citation_count, language AS categories, abstract FROM lit""")
+def s8_whole(spark, d):
+    """All flat columns, with whole titles and texts."""
+    return _exported(spark, lit(spark, d, whole=True))
 
 
 @query("s9_id_list", WITH + ", " + ID_LIST + "SELECT row_id, doi, pmid, NULL::VARCHAR AS url FROM id_list")
@@ -542,6 +555,18 @@ SELECT ord::VARCHAR AS pmid, 'Title ' || md5(title) AS title, publication_year,
   concat_ws(';', 'doi=10.1000/' || CASE WHEN doi IS NOT NULL THEN ord END || '=true', 'pmid=' || ord || '=' || (doi IS NULL)) AS ids, language AS categories,
   ord % 5 = 0 AS major, 'Journal Article' AS types, 'Abstract text' AS abstract FROM lit""")
 def s1(spark, d):
+    return _through_xml(spark, lit(spark, d), F.concat(F.lit("Title "), F.md5("article.title")), F.lit("Abstract text"))
+
+
+def _escaped(value: Column | str) -> Column:
+    """Text as XML content. A carriage return needs its number, since readers turn it into a line feed."""
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+        value = F.replace(value, F.lit(plain), F.lit(safe))
+    return value
+
+
+def _through_xml(spark, records, title, abstract):
+    """Records written as PubMed XML and read again."""
     from biblio_spark.sources import pubmed_xml
     from biblio_spark.storage import new_path
 
@@ -552,7 +577,7 @@ def s1(spark, d):
     doi = F.when(F.col("article.primary_doi").isNotNull(), tag('ArticleId IdType="doi"', F.lit("10.1000/"), F.col("record_id"))).otherwise(F.lit(""))
     article = tag(
         "Article", tag("Journal", tag("JournalIssue", tag("PubDate", tag("Year", F.col("article.publication_year").cast("string")), tag("Month", month))), venue),
-        tag("ArticleTitle", F.lit("Title "), F.md5("article.title")), tag("Abstract", tag("AbstractText", F.lit("Abstract text"))), tag("AuthorList", people),
+        tag("ArticleTitle", title), tag("Abstract", tag("AbstractText", abstract)), tag("AuthorList", people),
         tag("PublicationTypeList", tag('PublicationType UI="D1"', F.lit("Journal Article"))),
     )
     major = F.when(F.col("ord") % 5 == 0, "Y").otherwise("N")
@@ -570,10 +595,20 @@ def s1(spark, d):
         yield from batches
         yield line("</PubmedArticleSet>")
 
-    lit(spark, d).select(row.alias("value")).mapInArrow(file, "value string").write.text(path)
+    records.select(row.alias("value")).mapInArrow(file, "value string").write.text(path)
     out = landed.from_pubmed(pubmed_xml.read_pubmed_xml(spark, path))
     flat = _flat(out).drop("ord", "source").withColumn("pmid", F.regexp_extract("ids", r"pmid=(\d+)=", 1))
     more = out.select(
         identifiers.get_identifier("identifiers", "pmid").alias("pmid"), F.col("categories")[0]["is_major_topic"].alias("major"), F.col("article.abstract").alias("abstract")
     )
     return flat.join(more, "pmid")
+
+
+@query("s1_s6_pubmed_xml_whole", WITH_WHOLE + """
+SELECT ord::VARCHAR AS pmid, title, publication_year, publication_year || '-' || lpad((1 + ord % 12)::VARCHAR, 2, '0') AS publication_date,
+  array_to_string(list_transform(authors, lambda a: 'Fore ' || a), '|') AS authors, coalesce(venue_name, '') AS venue,
+  concat_ws(';', 'doi=10.1000/' || CASE WHEN doi IS NOT NULL THEN ord END || '=true', 'pmid=' || ord || '=' || (doi IS NULL)) AS ids, language AS categories,
+  ord % 5 = 0 AS major, 'Journal Article' AS types, abstract FROM lit""")
+def s1_whole(spark, d):
+    """With the whole titles and texts."""
+    return _through_xml(spark, lit(spark, d, whole=True), _escaped("article.title"), _escaped("article.abstract"))

@@ -33,7 +33,13 @@ def flat_records(lit: DataFrame) -> DataFrame:
 
 
 def write_csv(lit: DataFrame, path: str) -> None:
-    flat_records(lit).write.option("header", True).option("escape", '"').csv(path)
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    flat_records(lit).write.options(**options).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_csv`` wrote, as strings; texts keep their quotes, line feeds and outer spaces."""
+    return spark.read.options(header=True, escape='"', multiLine=True, lineSep="\n").csv(path)
 
 
 def bibtex_entry() -> Column:

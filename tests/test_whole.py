@@ -71,3 +71,14 @@ def test_long_titles_warn(spark):
     first = F.substring_index("text", ". ", 1)
     over = spark.read.parquet(f"{DATA}/documents.parquet").where(F.length(F.trim(first)) > 500).count()
     assert over > 0 and n("v1_v5_validate_whole") == n("v1_v5_validate") + over
+
+
+def test_real_texts_pass_files(spark, tmp_path):
+    """Line ends, quotes, markup, outer spaces and a very long text come back from CSV; markup and line ends from XML."""
+    texts = ['a "b", c\nd\r\ne. <f> & g', "  outer. spaces\n", '"', 'x <b>y</b> &amp; z, "q"\n\nend', "long " * 40000 + "end", "back\\slash\\. n"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    back = registry.QUERIES["s8_flat_export_whole"](spark, str(tmp_path))
+    assert {(int(r["record_id"]), r["title"], r["abstract"]) for r in back.collect()} == {(i, t.split(". ")[0], t) for i, t in enumerate(texts)}
+    read = registry.QUERIES["s1_s6_pubmed_xml_whole"](spark, str(tmp_path)).collect()
+    assert {(int(r["pmid"]), r["abstract"]) for r in read if r["pmid"] != "1"} == {(i, t) for i, t in enumerate(texts) if i != 1}
