@@ -16,8 +16,8 @@ from biblio_spark.llm.tokenizing import default_tokenizer, encoder
 from biblio_spark.storage import materialize
 
 CAPACITY = 2048
-#: Pieces of one length are numbered in so many shares, so that a frequent length is not one task's work.
-SALTS = 64
+#: Pieces of one length are numbered in so many shares, and one more for each SHARE_ROWS of them.
+SALTS, SHARE_ROWS = 64, 1_000_000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -98,55 +98,67 @@ def token_pieces(
     source = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        words = encoder(tokenizer)
         end_bytes = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for first, last, data, offsets in chunks(batch, "text"):
-                raw = data.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            for first, _, data, offsets in chunks(batch, "text"):
+                ids, at = words.encode_flat(data, offsets)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 row, out = [], []
-                for k, found in enumerate(encode(texts)):
-                    ids = found + end_bytes
-                    total, start, piece = len(ids) // 4, 0, 0
+                for k, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    total, start, piece = high - low + 1, 0, 0
                     stop = (total - 1) % capacity + 1
                     while start < total:
+                        crc = zlib.crc32(raw[4 * (low + start) : 4 * (low + min(stop, total - 1))])
                         row.append(first + k)
-                        out.append((piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                        out.append((piece, start, stop - start, zlib.crc32(end_bytes, crc) if stop == total else crc))
                         start, stop, piece = stop, stop + capacity, piece + 1
-                columns = [pa.array(list(c), type=pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(row, type=pa.int64())), *columns],
-                    names=["id", "piece", "start", "length", "ids_crc32"],
-                )
+                columns = [pa.array(list(c), type=t) for c, t in zip(zip(*out, strict=True), _PIECE_TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, type=pa.int64())), *columns], names=["id", *_PIECE])
 
     id_type = source.schema["id"].dataType.simpleString()
-    pieces = source.mapInArrow(cut, f"id {id_type}, piece long, start long, length long, ids_crc32 long")
+    pieces = source.mapInArrow(cut, f"id {id_type}, piece int, start long, length long, ids_crc32 long")
     return pieces.withColumnRenamed("id", id_column)
 
 
+_PIECE = ["piece", "start", "length", "ids_crc32"]
+_PIECE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") -> DataFrame:
     """``pieces`` (with ``length`` up to ``capacity``, at least 1) with sequence_id and offset.
 
-    Only counts by length and share come to the driver (at most ``capacity`` x SALTS rows), where the bins are planned. A
+    A piece of ``capacity`` is a sequence by itself, with a negative number. Of the others only counts by length and share
+    come to the driver (at most ``capacity`` x SALTS rows and one for each SHARE_ROWS pieces), where the bins are planned. A
     piece finds its place by its rank among the pieces of its length: its number in its share, ordered by id and
-    piece, plus the pieces of the shares before. ``pieces`` is read twice: give a written table. An empty table gives an
-    empty result; repeated rows are packed one by one.
+    piece, plus the pieces of the shares before. Shares grow in number with the pieces of a length, so a frequent length is
+    not one task's work. ``pieces`` is read three times: give a written table. An empty table gives an empty result; null ids
+    and repeated rows are packed one by one, equal rows in any order; other columns are carried along.
     """
     spark = pieces.sparkSession
     names = pieces.columns
-    salted = pieces.withColumn("_share", F.pmod(F.xxhash64(id_column, "piece"), F.lit(SALTS)))
+    single = pieces.where(F.col("length") == capacity).withColumns(
+        {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
+    )
+    rest = pieces.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}
+    if not histogram:
+        return single
+    wide = {length: min(n, SALTS + n // SHARE_ROWS) for length, n in histogram.items()}
+    shares_of = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in sorted(wide.items()) for x in pair)), F.col("length").cast("long"))
+    salted = rest.withColumn("_share", F.pmod(F.xxhash64(id_column, "piece", "start", "ids_crc32"), shares_of))
     sizes = sorted(tuple(r) for r in salted.groupBy("length", "_share").count().collect())
-    histogram: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}
+    so_far = dict.fromkeys(histogram, 0)
     for length, share, n in sizes:
-        before[length, share] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
-    shares = spark.sparkContext.broadcast((_layout(plan_bins(histogram, capacity)), before))
-    number = F.row_number().over(W.partitionBy("length", "_share").orderBy(id_column, "piece")) - 1
+        before[length, share] = so_far[length]
+        so_far[length] += n
+    plan = spark.sparkContext.broadcast((_layout(plan_bins(histogram, capacity)), before))
+    number = F.row_number().over(W.partitionBy("length", "_share").orderBy(id_column, "piece", "start", "ids_crc32")) - 1
     numbered = salted.withColumn("_number", number.cast("long"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout, earlier = shares.value
+        layout, earlier = plan.value
         for batch in batches:
             lengths = batch.column("length").to_numpy()
             share = batch.column("_share").to_numpy()
@@ -167,9 +179,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id")
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long").unionByName(single)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents with their places; the pieces are written once and read twice."""
+    """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one piece, the end id; a text of any length is encoded whole and cut into pieces. Null and
+    repeated ids are kept row by row, other columns of ``docs`` are left aside, an empty table gives an empty result. The
+    pieces, a few numbers each, are written once and read again; texts are read once and never shuffled.
+    """
     return pack(materialize(token_pieces(docs, tokenizer, capacity), "pieces"), capacity)
