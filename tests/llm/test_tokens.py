@@ -58,6 +58,56 @@ def test_token_files_round_trip(spark, clashing, empty, library):
     assert token_files.read_index(spark, other).count() == 0
 
 
+def test_long_documents_are_several_records(spark, library, monkeypatch):
+    """Written in the driver's way with small parts: checksums of parts join to those of whole documents."""
+    monkeypatch.setattr(token_files, "PART_BYTES", 40)
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 19, 20, 21, 40, 333):
+        tokens = rng.integers(0, 60_000, n).astype("<u4")
+        payloads = token_files.pack_document(7, 3, tokens, False)
+        assert len(payloads) == max(1, -(-2 * n // 40))
+        found, crc = [], 0
+        for k, payload in enumerate(payloads):
+            doc, serial, part, parts, ids = token_files.unpack_payload(memoryview(payload))
+            assert (doc, serial, part, parts) == (7, 3, k, len(payloads))
+            crc = token_files.crc_join(crc, zlib.crc32(ids.astype("<u4").tobytes()), 4 * len(ids))
+            found += ids.tolist()
+        assert found == tokens.tolist() and crc == zlib.crc32(tokens.tobytes())
+
+
+def test_very_long_text_in_token_files(spark, library):
+    text = " ".join(f"w{k % 977} 日" for k in range(250_000))
+    docs = spark.createDataFrame([(1, "a"), (2, text), (3, "b c")], "doc_id long, text string")
+    path = new_path(spark, "tokens")
+    token_files.write_token_files(docs, path)
+    assert token_files.read_records(spark, path).where("doc_id = 2").count() > 1
+    expected = np.array([*ids_of(library, text), 0], "<u4")
+    index = {r["doc_id"]: r for r in token_files.read_index(spark, path).collect()}
+    assert index[2]["n_tokens"] == len(expected) and index[2]["ids_crc32"] == zlib.crc32(expected.tobytes())
+    assert [index[k]["start"] for k in (1, 2, 3)] == [0, index[1]["n_tokens"], index[1]["n_tokens"] + len(expected)]
+    parts = sorted(token_files.read_tokens(spark, path).where("doc_id = 2").collect(), key=lambda r: r["part"])
+    assert sum((r["ids"] for r in parts), []) == expected.tolist()
+
+
+def test_shuffled_reads_by_the_index(spark, clashing):
+    path = new_path(spark, "tokens")
+    token_files.write_token_files(clashing, path)
+    plain = sorted((r["doc_id"] or -1, r["ids"]) for r in token_files.read_tokens(spark, path).collect())
+    one = [(r["doc_id"] or -1, r["ids"]) for r in token_files.read_shuffled(spark, path, 1).collect()]
+    assert sorted(one) == plain
+    assert one == [(r["doc_id"] or -1, r["ids"]) for r in token_files.read_shuffled(spark, path, 1).collect()]
+    assert one != [(r["doc_id"] or -1, r["ids"]) for r in token_files.read_shuffled(spark, path, 2).collect()]
+    some = token_files.read_records(spark, path).where("doc_id in (4, 9)")
+    assert sorted(r["doc_id"] for r in token_files.read_shuffled(spark, path, 3, some).collect()) == [4, 9]
+
+
+def test_ids_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError):
+        token_files.pack_document(1, 0, np.array([70_000], "<u4"), False)
+    payload = token_files.pack_document(None, 0, np.array([70_000], "<u4"), True)[0]
+    assert token_files.unpack_payload(memoryview(payload))[4].tolist() == [70_000]
+
+
 def test_damaged_records_are_refused():
     content = token_files.frame(b"payload") + b"\n"
     assert [bytes(p) for _, p in token_files.read_frames(content)] == [b"payload"]
@@ -128,6 +178,15 @@ def test_pieces_join_to_the_ids(spark, library):
     assert sum(lengths) == len(ids[1]) and all(x == 64 for x in lengths[1:])
 
 
+def test_ties_and_repeated_pieces_keep_their_rows(spark):
+    pieces = spark.createDataFrame([(k % 3 or None, 0, 0, n, 9) for k in range(40) for n in (5, 5, 2048, 1024)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(pieces).collect()
+    assert len(rows) == 160 and sum(r["length"] == 2048 for r in rows) == 40
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 160
+    assert check_packing(rows, packing.CAPACITY) <= 40 + 20 + 1
+    assert dict(packing.pack(pieces).dtypes)["piece"] == "int"
+
+
 def test_frequent_length_is_packed_whole(spark):
     pieces = spark.range(3000).selectExpr("id AS doc_id", "0L AS piece", "0L AS start", "IF(id % 3 = 0, 700L, id % 900 + 1) AS length", "id AS ids_crc32")
     rows = packing.pack(pieces).collect()
