@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblio_spark.llm.bytescan import LOWER, WORD, chunks, flat, offsets_in_characters, word_bounds
-from biblio_spark.storage import materialize
+from biblio_spark.storage import materialize, release
 
 #: Words of a window; an item with fewer is one window.
 WINDOW = 13
-#: Words of items in one automaton (about 60 MB in Python); a larger benchmark takes several, each broadcast by itself.
-MAX_WORDS = 100_000
+#: Words of items in one automaton (about 60 MB in Python), and automata that a pass over the documents holds at once.
+MAX_WORDS, MACHINES = 100_000, 4
 #: A document is contaminated if it has hits on at least one word in COVERAGE.
 COVERAGE = 20
 
@@ -38,14 +41,14 @@ def _powers(n: int) -> np.ndarray:
         return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _BASE, np.uint64)]))[:n]
 
 
-def word_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, a slice of words at a time."""
+def word_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray = WORD) -> np.ndarray:
+    """A 64-bit hash of every word, a slice of words at a time; ``inside`` tells which bytes belong to words."""
     out = np.empty(len(starts), dtype=np.uint64)
     for i in range(0, len(starts), _SLICE):
         s, e = starts[i : i + _SLICE], ends[i : i + _SLICE]
         size = e - s
         lo = int(s[0])
-        index = np.flatnonzero(WORD[lowered[lo : int(e[-1])]])
+        index = np.flatnonzero(inside[lowered[lo : int(e[-1])]])
         within = np.arange(len(index)) - np.repeat(np.cumsum(size) - size, size)
         product = (lowered[lo + index].astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[within]
         out[i : i + _SLICE] = np.add.reduceat(product, np.cumsum(size) - size)
@@ -187,59 +190,135 @@ _SPAN = pa.list_(pa.struct([(n, pa.int64()) for n in ("first_word", "end_word",
 _SPAN_DDL = "array<struct<first_word: long, end_word: long, start: long, end: long>>"
 
 
-def _matcher(automaton, item_type: pa.DataType):
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine: SuffixAutomaton = automaton.value
-        known = np.zeros(0, np.uint64)
-        if machine.vocabulary:
-            raw = list(machine.vocabulary)
-            data, offsets = flat(pa.array(raw, type=pa.binary()))
-            known = np.sort(word_hashes(data, offsets[:-1], offsets[1:]))
-        for batch in batches:
-            for first, end, data, offsets in chunks(batch, "text"):
-                rows = end - first
-                starts, ends, before = word_bounds(data, offsets)
-                spans: list[list] = [[] for _ in range(rows)]
-                items: list[set] = [set() for _ in range(rows)]
-                if len(starts) and len(known):
-                    lowered = LOWER[data]
-                    hashes = word_hashes(lowered, starts, ends)
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    inside = known[at] == hashes
-                    # runs of known words that are long enough, cut at the ends of texts
-                    cut = np.zeros(len(starts) + 1, dtype=bool)
-                    cut[before] = True
-                    begin = np.flatnonzero(inside & (cut[:-1] | np.concatenate([[True], ~inside[:-1]])))
-                    finish = np.flatnonzero(inside & (cut[1:] | np.concatenate([~inside[1:], [True]]))) + 1
-                    long = finish - begin >= machine.least
-                    for a, b in zip(begin[long].tolist(), finish[long].tolist(), strict=True):
-                        words = [lowered[starts[i] : ends[i]].tobytes() for i in range(a, b)]
-                        found, of = machine.stream(words)
-                        if found:
-                            k = int(np.searchsorted(before, a, side="right")) - 1
-                            items[k] |= of
-                            for s, e in found:
-                                low = offsets[k]
-                                place = offsets_in_characters(
-                                    data[low : offsets[k + 1]], np.array([starts[a + s] - low, ends[a + e - 1] - low])
-                                )
-                                spans[k].append((a + s - int(before[k]), a + e - int(before[k]), *map(int, place)))
-                spans = [_merge(s) for s in spans]
-                ids = batch.column("id").slice(first, rows)
-                key = batch.column("key").slice(first, rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        key,
+#: Automata of this Python worker by the place of their items, those of the last pass.
+_MACHINES: dict[tuple, SuffixAutomaton] = {}
+
+
+def _machines(label: str, shards: list[list], window: int) -> list[tuple[SuffixAutomaton, np.ndarray]]:
+    """The automata of a pass with the sorted hashes of their words; each worker builds them once."""
+    keys = [(label, k) for k in range(len(shards))]
+    if any(key not in _MACHINES for key in keys):
+        _MACHINES.clear()
+        for key, shard in zip(keys, shards, strict=True):
+            machine = SuffixAutomaton(shard, window)
+            known = np.zeros(0, np.uint64)
+            if machine.vocabulary:
+                data, offsets = flat(pa.array(list(machine.vocabulary), type=pa.binary()))
+                known = np.sort(word_hashes(data, offsets[:-1], offsets[1:]))
+            _MACHINES[key] = machine, known
+    return [_MACHINES[key] for key in keys]
+
+
+def _found(machines: list, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list], list[set]]:
+    """(words before each text, merged spans of each, items of each) of consecutive texts."""
+    rows = len(offsets) - 1
+    starts, ends, before = word_bounds(data, offsets)
+    spans: list[list] = [[] for _ in range(rows)]
+    items: list[set] = [set() for _ in range(rows)]
+    if not len(starts):
+        return before, spans, items
+    lowered = LOWER[data]
+    hashes = word_hashes(lowered, starts, ends)
+    cut = np.zeros(len(starts) + 1, dtype=bool)
+    cut[before] = True
+    for machine, known in machines:
+        if not len(known):
+            continue
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        inside = known[at] == hashes
+        # runs of known words that are long enough, cut at the ends of texts
+        begin = np.flatnonzero(inside & (cut[:-1] | np.concatenate([[True], ~inside[:-1]])))
+        finish = np.flatnonzero(inside & (cut[1:] | np.concatenate([~inside[1:], [True]]))) + 1
+        long = finish - begin >= machine.least
+        for a, b in zip(begin[long].tolist(), finish[long].tolist(), strict=True):
+            found, of = machine.stream([lowered[starts[i] : ends[i]].tobytes() for i in range(a, b)])
+            if found:
+                k = int(np.searchsorted(before, a, side="right")) - 1
+                items[k] |= of
+                low = offsets[k]
+                bounds = np.array([[starts[a + s] - low, ends[a + e - 1] - low] for s, e in found]).ravel()
+                places = offsets_in_characters(data[low : offsets[k + 1]], bounds).tolist()
+                first = int(before[k])
+                spans[k] += [(a + s - first, a + e - first, places[2 * n], places[2 * n + 1]) for n, (s, e) in enumerate(found)]
+    return before, [_merge(s) for s in spans], items
+
+
+def _by_text(items: set) -> list:
+    return sorted(items, key=lambda v: (v is None, str(v)))
+
+
+def _structs(spans: list[list]) -> pa.Array:
+    names = ("first_word", "end_word", "start", "end")
+    return pa.array([[dict(zip(names, s, strict=True)) for s in x] for x in spans], type=_SPAN)
+
+
+def _marked(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, item_id: str, item_text: str, window: int, max_words: int) -> DataFrame:
+    """All rows and columns of ``docs`` with ``_n_words``, ``_n_hit``, ``_items`` and ``_spans`` after them."""
+    spark = docs.sparkSession
+    kind, ddl = (pa.string(), "string") if items.schema[item_id].dataType.simpleString() == "string" else (pa.int64(), "long")
+    names = docs.columns
+    at = names.index(text_column)
+    label = uuid.uuid4().hex
+    extra = f"_n_words long, _n_hit long, _items array<{ddl}>, _spans {_SPAN_DDL}"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + extra
+
+    def matcher(shards, tag: str):
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machines = _machines(tag, shards.value, window)
+            for batch in batches:
+                texts = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], names=["text"])
+                for first, end, data, offsets in chunks(texts, "text"):
+                    before, spans, of = _found(machines, data, offsets)
+                    found = [
                         pa.array(np.diff(before)),
                         pa.array([sum(e - s for s, e, _, _ in x) for x in spans], type=pa.int64()),
-                        pa.array([sorted(x, key=lambda v: (v is None, str(v))) for x in items], type=pa.list_(item_type)),
-                        pa.array([[dict(zip(("first_word", "end_word", "start", "end"), s, strict=True)) for s in x] for x in spans], type=_SPAN),
-                    ],
-                    names=["id", "key", "n_words", "n_hit", "items", "spans"],
-                )
+                        pa.array([_by_text(x) for x in of], type=pa.list_(kind)),
+                        _structs(spans),
+                    ]
+                    columns = [c.slice(first, end - first) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([*columns, *found], names=[*names, "_n_words", "_n_hit", "_items", "_spans"])
+
+        return match
+
+    wanted = items.select(items[item_id].cast(ddl).alias(item_id), item_text)
+    groups = _groups(_shards(wanted, item_id, item_text, window, max_words), MACHINES)
+    first = next(groups)
+    second = next(groups, None)
+    if second is None:
+        return docs.mapInArrow(matcher(spark.sparkContext.broadcast(first), label), schema)
+
+    # several passes: only rows with hits are written, and joined by id and text
+    key = [F.xxhash64(F.col(f"`{text_column}`").cast("string")).alias("_k1"), F.md5(F.col(f"`{text_column}`").cast("string").cast("binary")).alias("_k2")]
+    hits = []
+    for n, group in enumerate(chain([first, second], groups)):
+        shards = spark.sparkContext.broadcast(group)
+        marked = docs.mapInArrow(matcher(shards, f"{label}-{n}"), schema).where("_n_hit > 0")
+        hits.append(materialize(marked.select(F.col(f"`{id_column}`").alias("_id"), *key, "_items", "_spans").distinct(), "hits"))
+        shards.unpersist()
+    found = reduce(DataFrame.unionByName, hits).groupBy("_id", "_k1", "_k2").agg(F.flatten(F.collect_list("_items")).alias("i"), F.flatten(F.collect_list("_spans")).alias("s"))
+    id_type = docs.schema[id_column].dataType.simpleString()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_merge([(s["first_word"], s["end_word"], s["start"], s["end"]) for s in x]) for x in batch.column("s").to_pylist()]
+            of = [_by_text(set(x)) for x in batch.column("i").to_pylist()]
+            counts = pa.array([sum(s[1] - s[0] for s in x) for x in spans], type=pa.int64())
+            columns = [*(batch.column(c) for c in ("_id", "_k1", "_k2")), counts, pa.array(of, type=pa.list_(kind)), _structs(spans)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_k1", "_k2", "_n_hit", "_items", "_spans"])
+
+    found = materialize(found.mapInArrow(merge, f"_id {id_type}, _k1 long, _k2 string, _n_hit long, _items array<{ddl}>, _spans {_SPAN_DDL}"), "hits")
+    release(*hits)
+    nothing = spark.sparkContext.broadcast([[]])
+    counted = docs.mapInArrow(matcher(nothing, f"{label}-none"), schema).drop("_n_hit", "_items", "_spans").withColumns({"_k1": key[0], "_k2": key[1]})
+    same = counted[f"`{id_column}`"].eqNullSafe(found["_id"]) & counted["_k1"].eqNullSafe(found["_k1"]) & counted["_k2"].eqNullSafe(found["_k2"])
+    out = counted.join(found, same, "left")
+    none = {"_n_hit": F.coalesce("_n_hit", F.lit(0).cast("long")), "_items": F.coalesce("_items", F.array().cast(f"array<{ddl}>")), "_spans": F.coalesce("_spans", F.array().cast(_SPAN_DDL))}
+    return out.select(*(counted[f"`{n}`"] for n in names), "_n_words", *(v.alias(k) for k, v in none.items()))
 
-    return match
+
+def _groups(shards: Iterator[list], size: int) -> Iterator[list]:
+    while group := list(islice(shards, size)):
+        yield group
 
 
 def find_contamination(
@@ -260,74 +339,43 @@ def find_contamination(
     hits, in words and in code points; ``items`` the ids of items with an occurring window, sorted as strings.
 
     Null texts have no words, items without words never match, repeated ids count as one item, an empty item table
-    hits nothing, and other columns of ``docs`` are left aside. Documents are read once per ``max_words`` words of items
-    and not shuffled for up to that many; beyond it the hits of the passes are merged by document.
+    hits nothing, and other columns of ``docs`` are left aside. Up to MACHINES automata of ``max_words`` words are built in
+    the tasks and read each document in one pass without a shuffle; a larger benchmark takes a pass for each so many, of
+    which only rows with hits are written and then joined. Items go through the driver, so much of them at a time.
     """
-    spark = docs.sparkSession
     source = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
-    item_type = items.schema[item_id].dataType
-    arrow_type = pa.string() if item_type.simpleString() == "string" else pa.int64()
-    ddl = "string" if item_type.simpleString() == "string" else "long"
-    automata = [
-        spark.sparkContext.broadcast(SuffixAutomaton(shard, window))
-        for shard in _shards(items.select(items[item_id].cast(ddl).alias(item_id), item_text), item_id, item_text, window, max_words)
-    ]
-    several = len(automata) > 1
-    key = F.concat(F.xxhash64("text"), F.lit(":"), F.md5("text")) if several else F.lit(None)
-    source = source.withColumn("key", key.cast("string"))
-    id_type = source.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, key string, n_words long, n_hit long, items array<{ddl}>, spans {_SPAN_DDL}"
-    passes = [source.mapInArrow(_matcher(a, arrow_type), schema) for a in automata]
-    found = passes[0]
-    if several:
-        for other in passes[1:]:
-            found = found.unionByName(other)
-        found = (
-            found.groupBy("id", "key", "n_words")
-            .agg(
-                F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-                F.flatten(F.collect_set("spans")).alias("spans"),
-                (F.count("*") / len(automata)).cast("int").alias("copies"),
-            )
-            .withColumn("items", F.expr("array_sort(items, (a, b) -> CASE WHEN string(a) < string(b) THEN -1 WHEN string(a) > string(b) THEN 1 ELSE 0 END)"))
-            .withColumn("copies", F.explode(F.sequence(F.lit(1), "copies")))
-            .select("id", "n_words", "items", "spans")
-            .mapInArrow(_merged, f"id {id_type}, n_words long, n_hit long, items array<{ddl}>, spans {_SPAN_DDL}")
-        )
-    return found.select(F.col("id").alias(id_column), "n_words", "n_hit", "items", "spans")
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = [_merge([(s["first_word"], s["end_word"], s["start"], s["end"]) for s in x]) for x in batch.column("spans").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                batch.column("n_words"),
-                pa.array([sum(s[1] - s[0] for s in x) for x in spans], type=pa.int64()),
-                batch.column("items"),
-                pa.array([[dict(zip(("first_word", "end_word", "start", "end"), s, strict=True)) for s in x] for x in spans], type=_SPAN),
-            ],
-            names=["id", "n_words", "n_hit", "items", "spans"],
-        )
-
-
-def is_contaminated(coverage: int = COVERAGE):
-    """Hits on at least one word in ``coverage``."""
-    return (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))
+    found = _marked(source, items, "id", "text", item_id, item_text, window, max_words)
+    return found.select(F.col("id").alias(id_column), *(F.col(f"_{c}").alias(c) for c in ("n_words", "n_hit", "items", "spans")))
 
 
-def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the given merged code point spans."""
-    parts, done = [], 0
-    for start, end in spans:
-        parts.append(text[done:start])
-        done = end
-    return "".join([*parts, text[done:]])
+def is_contaminated(coverage: int = COVERAGE, prefix: str = ""):
+    """Hits on at least one word in ``coverage``."""
+    hit, words = F.col(f"{prefix}n_hit"), F.col(f"{prefix}n_words")
+    return (hit > 0) & (coverage * hit >= words)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, texts and all columns as they are. Rows without an id stay."""
-    found = find_contamination(docs, items, id_column, text_column)
-    ids = found.where(is_contaminated() & F.col(id_column).isNotNull()).select(id_column).distinct()
-    return docs.join(materialize(ids, "contaminated"), id_column, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, texts and all columns as they are. Each row is judged by its own text, with or
+    without an id and whether its id is repeated or not; null and empty texts stay."""
+    found = _marked(docs, items, id_column, text_column, "item_id", "text", WINDOW, MAX_WORDS)
+    return found.where(~is_contaminated(prefix="_")).select(*(F.col(f"`{n}`") for n in docs.columns))
+
+
+def remove_contamination(
+    docs: DataFrame, items: DataFrame, least_words: int = WINDOW, coverage: float = 0.0, mark: str = "", id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``docs`` with the contaminated spans of ``text_column`` replaced by ``mark``; all other columns and rows as they are.
+
+    A merged span goes if it has at least ``least_words`` words, the limit of length, and if all hits of its text are at least
+    the share ``coverage`` of its words, the limit of coverage. Null texts stay null.
+    """
+    found = _marked(docs, items, id_column, text_column, "item_id", "text", WINDOW, MAX_WORDS)
+    text = F.col(f"`{text_column}`").cast("string")
+    long = F.filter("_spans", lambda s: s["end_word"] - s["first_word"] >= least_words)
+    # what stays lies between the end of a span and the start of the next
+    left = F.concat(F.array(F.lit(0).cast("long")), F.transform(long, lambda s: s["end"]))
+    right = F.concat(F.transform(long, lambda s: s["start"]), F.array(F.length(text).cast("long")))
+    kept = F.transform(F.arrays_zip(left.alias("a"), right.alias("b")), lambda p: F.substring(text, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
+    cut = (F.size(long) > 0) & (F.col("_n_hit") >= coverage * F.col("_n_words"))
+    new = F.when(cut, F.array_join(kept, mark)).otherwise(text)
+    return found.select(*((new if n == text_column else F.col(f"`{n}`")).alias(n) for n in docs.columns))

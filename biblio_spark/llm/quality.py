@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblio_spark.llm.bytescan import chunks
+from biblio_spark.llm.decontaminate import word_hashes
 from biblio_spark.storage import materialize
 
 #: Labelled rows that a fit uses at most, chosen by a hash of their id.
@@ -93,14 +94,7 @@ def _repeats(data, starts, ends, before, many) -> tuple[np.ndarray, np.ndarray]:
     """Shares of words that equal the word before them, and of words that stood earlier in the text."""
     if not len(starts):
         return np.zeros(len(many)), np.zeros(len(many))
-    # a word's hash from its first and last 8 bytes and its length: enough for shares
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    size = ends - starts
-    head, tail = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    for k in range(8):
-        head |= np.where(size > k, padded[starts + k], 0).astype(np.uint64) << np.uint64(8 * k)
-        tail |= np.where(size > k, data[np.maximum(ends - 1 - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
-    hashed = head * np.uint64(0x9E3779B97F4A7C15) ^ (tail + size.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    hashed = word_hashes(data, starts, ends, ~_WHITE)
     text = np.repeat(np.arange(len(many)), np.diff(before))
     same = (hashed[1:] == hashed[:-1]) & (text[1:] == text[:-1])
     next_count = np.bincount(text[1:][same], minlength=len(many))
@@ -225,6 +219,9 @@ def fit_sample(found: DataFrame, id_column: str = "doc_id", rows: int = FIT_ROWS
 def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted.
 
+    Null texts are empty, repeated rows get equal scores, texts of any length are scored whole, other columns are left aside, an
+    empty table gives an empty result; a score of exactly THRESHOLD is predicted 1. Rows with a null id are not held out.
+
     Statistics of all whole texts are written once (some 130 bytes a document). The fit uses at most ``rows`` labelled
     documents that are not held out; this list, bounded by ``rows``, is the only broadcast. Scores are then plain
     column expressions over the statistics. Empty texts are scored like others; without labels all scores are 0.5.
