@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from biblio_spark.llm.bytescan import chunks
 from biblio_spark.operators.components import connected_components
-from biblio_spark.storage import materialize
+from biblio_spark.storage import materialize, release
 
 SHINGLE = 3
 SEED = 42
@@ -63,8 +63,10 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed 64-bit number. Null texts have no words: fingerprint 0."""
-    source = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
+    """(id, h, fp) of every row; fp is the fingerprint as a signed 64-bit number, h a hash of the text. Null texts have no words:
+    fingerprint 0. Texts are read whole, other columns are left aside."""
+    text = docs[text_column].cast("string")
+    source = docs.select(docs[id_column].alias("id"), F.xxhash64(F.lit("text"), text).alias("h"), text.alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,12 +75,11 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 each = [shingle_hashes(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
                 counts = np.array([len(x) // 8 for x in each], dtype=np.int64)
                 hashes = np.frombuffer(b"".join(each), dtype=">u8").astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, end - first), pa.array(majority(hashes, counts).view(np.int64))], names=["id", "fp"]
-                )
+                own = [batch.column(c).slice(first, end - first) for c in ("id", "h")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(majority(hashes, counts).view(np.int64))], names=["id", "h", "fp"])
 
     id_type = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(scan, f"id {id_type}, fp long")
+    return source.mapInArrow(scan, f"id {id_type}, h long, fp long")
 
 
 _HALF = 0xFFFFFFFF
@@ -147,23 +148,46 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """One row per row of ``docs``: the id, fp and component_id, the smallest id that links reach, itself included.
 
     Equal fingerprints are one node of the graph, so copies cost one row each and never a pair. Documents without words
-    have fingerprint 0 and link like others. Null ids take part and never become a component's id unless it has no
-    other; repeated rows give repeated results; an empty table gives an empty one. The table of (id, fp) is written
-    once; all later steps work on different fingerprints.
+    have fingerprint 0 and link like others; texts of any length are read whole. Null ids take part and never become a
+    component's id unless it has no other; repeated rows give repeated results; other columns are left aside; an empty table
+    gives an empty one. The table of (id, fp) is written once; all later steps work on different fingerprints.
     """
+    found, ids = _components(docs, id_column, text_column)
+    return found.join(ids, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+
+
+def _components(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of all rows, (fp, component, component_id) of different ones), both written."""
     found = materialize(fingerprints(docs, id_column, text_column), "fingerprints")
     distinct = materialize(found.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     parts = connected_components(links(distinct.select("fp")))
     labelled = distinct.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left")
     labelled = materialize(labelled.withColumn("component", F.coalesce("component", "fp")), "labelled")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = materialize(labelled.join(least, "component").select("fp", "component_id"), "components")
-    return found.join(ids, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+    ids = materialize(labelled.join(least, "component").select("fp", "component", "component_id"), "components")
+    release(distinct, labelled)
+    return found, ids
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, all columns as they are. Rows without an id stay, and
-    rows that repeat an id are one document and stay together."""
-    found = near_duplicates(docs, id_column, text_column)
-    others = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
-    return docs.join(materialize(others, "others"), id_column, "left_anti").select(*docs.columns)
+    """One row of each component, all columns as they are: that with the smallest id (null ids last), of rows with one id that
+    with the least hash of its text, of rows that agree in both any one.
+
+    Rows are told apart by id and text, so neither null nor repeated ids let a copy stay or a text vanish. Only ids and
+    hashes of the rows that go are joined; texts are shuffled only where these outgrow a broadcast, or rows agree in both.
+    """
+    found, ids = _components(docs, id_column, text_column)
+    keeper = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("k")
+    rows = found.join(ids, "fp").groupBy("component", "id", "h").agg(F.count("*").alias("copies"))
+    rows = materialize(rows, "rows")
+    keepers = rows.groupBy("component").agg(keeper).select("component", F.col("k.id").alias("kid"), F.col("k.h").alias("kh"))
+    marked = rows.join(keepers, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")))
+    gone = materialize(marked.where("NOT stays OR copies > 1").select("id", F.col("h").alias("_h"), "stays"), "gone")
+    own = docs.withColumn("_text_hash", F.xxhash64(F.lit("text"), docs[text_column].cast("string")))
+    same = own[f"`{id_column}`"].eqNullSafe(gone["id"]) & (own["_text_hash"] == gone["_h"])
+    kept = own.join(gone, same, "left_anti")
+    twins = gone.where("stays")
+    if not twins.isEmpty():
+        repeated = own.join(twins, own[f"`{id_column}`"].eqNullSafe(twins["id"]) & (own["_text_hash"] == twins["_h"]), "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates([id_column, "_text_hash"]))
+    return kept.select(*(F.col(f"`{n}`") for n in docs.columns))
