@@ -40,14 +40,16 @@ WINDOW = 20
 
 #: Suppressed candidates: plain words and word lists, numbers, paths, identifiers of public things, rulers.
 ALLOW = (
-    re.compile(r"[A-Za-z]+\Z"),
+    re.compile(r"(?:[A-Z]*[a-z]{2,})+[A-Z]*\Z|[A-Z]+\Z"),
     re.compile(r"[A-Z]?[a-z]+(?:[-_/=+][A-Z]?[a-z]+)*\Z"),
     re.compile(r"[0-9]+(?:[-_/=+][0-9]+)*\Z"),
     re.compile(r"(?:/?[A-Za-z_-]{1,15}[0-9]{0,4}/)+[A-Za-z_-]*[0-9]{0,4}\Z"),
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z"),
     re.compile(r"(.)\1+\Z"),
-    re.compile(r".*(?:EXAMPLE|example|sample|dummy|placeholder|xxxx|XXXX)"),
 )
+#: Words that mark the part of a candidate in which they stand as made up; parts end at these signs.
+MARKERS = re.compile(r"example|sample|dummy|placeholder|xxxx", re.IGNORECASE)
+PART = re.compile(r"[^=/]+")
 
 
 def entropy_span(text: str, window: int, least: float) -> tuple[int, int] | None:
@@ -75,36 +77,41 @@ def entropy_span(text: str, window: int, least: float) -> tuple[int, int] | None
 
 
 def candidate_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of high entropy in the candidates that no rule allows; a part with a marker word parts the candidate."""
     for match in CANDIDATE.finditer(text):
-        word = match.group(0).rstrip("=-_/+") or match.group(0)
-        if any(rule.match(word) for rule in ALLOW):
-            continue
-        for _, members, least in CLASSES:
-            if members.match(word):
-                if len(word) >= LEAST_CANDIDATE and (span := entropy_span(word, WINDOW, least)):
-                    yield match.start() + span[0], match.start() + span[1]
-                break
+        run = match.group(0)
+        pieces, at = [], 0
+        if MARKERS.search(run):
+            for part in PART.finditer(run):
+                if MARKERS.search(part.group(0)):
+                    pieces.append((at, part.start()))
+                    at = part.end()
+        pieces.append((at, len(run)))
+        for a, b in pieces:
+            word = run[a:b]
+            word, a = word.lstrip("=/"), a + len(word) - len(word.lstrip("=/")) if at else a
+            word = word.rstrip("=-_/+") or word
+            if len(word) < LEAST_CANDIDATE or any(rule.match(word) for rule in ALLOW):
+                continue
+            for _, members, least in CLASSES:
+                if members.match(word):
+                    if span := entropy_span(word, WINDOW, least):
+                        yield match.start() + a + span[0], match.start() + a + span[1]
+                    break
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by start, then kind as listed. Base kinds are leftmost, non-overlapping per kind; entropy
-    spans are added only where no base span overlaps."""
-    base: list[tuple[int, int, int]] = []
+    """(kind, start, end) by start, then kind as listed. Base kinds are leftmost, non-overlapping per kind; entropy spans are
+    found by themselves and may overlap base spans, which confirms them."""
+    found: list[tuple[int, int, int]] = []
     lowered = text.lower()
     if any(hint in lowered for hint in ASSIGN_HINTS):
-        base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST_VALUE]
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST_VALUE]
     if "AKIA" in text:
-        base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
-    base += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
-    base.sort()
-    extra, at, reach = [], 0, -1
-    for start, end in candidate_spans(text):
-        while at < len(base) and base[at][0] < end:
-            reach = max(reach, base[at][2])
-            at += 1
-        if reach <= start:
-            extra.append((start, 3, end))
-    return [(KINDS[kind], start, end) for start, kind, end in sorted(base + extra)]
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
+    found += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
+    found += [(start, 3, end) for start, end in candidate_spans(text)]
+    return [(KINDS[kind], start, end) for start, kind, end in sorted(found)]
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -114,8 +121,9 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per row of ``docs``: the id and ``spans``, an array of (kind, start, end) in code points, end exclusive.
 
     Kinds: assign, access, hex (fixed patterns) and entropy (windows of WINDOW characters in a candidate string whose
-    Shannon entropy reaches the limit of its character class; allow-listed strings and overlaps with base spans are
-    left out). A null text is empty; rows stay as many as they are; other columns are left aside. No shuffle.
+    Shannon entropy reaches the limit of its character class; allow-listed strings are left out). A null text is empty; texts
+    of any length are scanned whole; repeated rows give repeated results; an empty table gives an empty one; other columns are
+    left aside. No shuffle.
     """
     source = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
 
