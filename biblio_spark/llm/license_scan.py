@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -44,25 +46,84 @@ OUTPUT = (
 )
 
 
+#: Forms of licence identifiers and of exceptions, in lower case.
+IDENTIFIER = re.compile(
+    r"""(?:(?:gpl|lgpl|agpl|gfdl)-[1-3]\.[0-9](?:-only|-or-later)?|apache-[12]\.[01]|bsd-[1-4]-clause(?:-[a-z]+)*|0bsd|mit(?:-0|-cmu)?|
+    mpl-[12]\.[01](?:-no-copyleft-exception)?|epl-[12]\.0|cddl-1\.[01]|cpl-1\.0|eupl-1\.[0-2]|osl-[1-3]\.[01]|artistic-[12]\.0(?:-perl)?|bsl-1\.0|ecl-[12]\.0|
+    cc-by(?:-nc)?(?:-nd|-sa)?-[1-4]\.[05]|cc0-1\.0|ofl-1\.[01]|lppl-1\.[0-3][ac]?|isc|zlib|unlicense|wtfpl|x11|ncsa|postgresql|python-2\.0|psf-2\.0|php-3\.0[01]?|
+    ruby|curl|openssl|libpng|libtiff|ijg|ftl|vim|w3c|icu|hpnd|bzip2-1\.0\.[56]|upl-1\.0|unicode-dfs-201[56]|licenseref-[a-z0-9.-]+)\+?""",
+    re.VERBOSE,
+)
+EXCEPTION = re.compile(r"[a-z0-9.-]+-exception(?:-[a-z0-9.-]+)?|linux-syscall-note|u-boot-exception-2\.0")
+
+#: Words that announce the licences of a text, names of licences and of exceptions as they follow, longest first.
+ANNOUNCED = ("licensed under", "released under", "distributed under", "available under")
+NAMES = {
+    "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl", "gnu general public license": "gpl", "apache license": "apache",
+    "apache software license": "apache", "mozilla public license": "mpl", "eclipse public license": "epl", "mit license": "mit", "bsd license": "bsd", "isc license": "isc",
+    "cc by nc sa": "cc-by-nc-sa", "cc by nc nd": "cc-by-nc-nd", "cc by nc": "cc-by-nc", "cc by sa": "cc-by-sa", "cc by nd": "cc-by-nd", "cc by": "cc-by", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl",
+    "mit": "mit", "apache": "apache", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "isc": "isc",
+    "classpath exception": "classpath-exception-2.0", "linking exception": "classpath-exception-2.0", "runtime library exception": "gcc-exception-3.1",
+}
+_NAMES = sorted(((tuple(k.split()), v) for k, v in NAMES.items()), key=lambda x: -len(x[0]))
+FILLERS = ("the", "terms", "of", "either", "a", "both", "license", "licenses", "its")
+PROSE = 60
+
+
 def tokenize_expression(text: str) -> list[str]:
-    """The longest run of tokens from the start of ``text`` that can be an expression; it ends with the line."""
+    """The longest run of tokens from the start of ``text`` that can be an expression of known identifiers; it ends with the line.
+    After ``with`` an exception must stand."""
     line = text.split("\n", 1)[0].replace("(", " ( ").replace(")", " ) ").replace("*/", " ").replace("-->", " ")
     tokens: list[str] = []
     operand = True  # what may come next
     depth = 0
     for raw in line.split():
         token = raw.strip("\"'`,;").rstrip(".").lower()
-        if token == "(" and operand:
+        if token == "(" and operand and tokens[-1:] != ["with"]:
             depth += 1
         elif token == ")" and not operand and depth:
             depth -= 1
         elif token in OPERATORS and not operand:
             operand = True
-        elif token and operand and token not in OPERATORS and token not in "()" and all(c.isalnum() or c in ".+-" for c in token):
+        elif operand and (EXCEPTION if tokens[-1:] == ["with"] else IDENTIFIER).fullmatch(token):
             operand = False
         else:
             break
         tokens.append(token)
+    while tokens and (tokens[-1] in OPERATORS or tokens[-1] == "("):
+        tokens.pop()
+    return tokens
+
+
+def tokenize_notice(words: list[str]) -> list[str]:
+    """The same from the words after an announcement: names of licences with their versions, parted by operators."""
+    tokens: list[str] = []
+    at, operand = 0, True
+    while at < len(words):
+        name = next((x for x in _NAMES if tuple(words[at : at + len(x[0])]) == x[0]), None) if operand else None
+        if name and ("exception" in name[1]) == (tokens[-1:] == ["with"]):
+            at += len(name[0])
+            token = name[1]
+            after = at + 1 if words[at : at + 1] == ["version"] else at
+            number = re.fullmatch(r"v?([0-9])", words[after]) if after < len(words) else None
+            if number and "exception" not in token:
+                minor = words[after + 1] if re.fullmatch("[0-9]", (words[after + 1 : after + 2] or [""])[0]) else "0"
+                token = f"{token}-{number[1]}.{minor}"
+                at = after + (2 if words[after + 1 : after + 2] == [minor] else 1)
+                if words[at : at + 2] == ["or", "later"] or words[at : at + 4] == ["or", "any", "later", "version"]:
+                    at += 2 if words[at + 1] == "later" else 4
+                    token += "-or-later"
+            tokens.append(token)
+            operand = False
+        elif words[at] in OPERATORS and not operand:
+            tokens.append(words[at])
+            operand, at = True, at + 1
+        elif words[at] in FILLERS:
+            at += 1
+        else:
+            break
+    while tokens and tokens[-1] in OPERATORS:
+        tokens.pop()
     return tokens
 
 
@@ -122,6 +183,7 @@ def _automaton():
     phrases = [(p, ("base", label, BASE_WEIGHT)) for p, label in BASE_PHRASES.items()]
     phrases += [(p, ("notice", label, weight)) for p, (label, weight) in NOTICES.items()]
     phrases.append((TAG, ("tag", "", TAG_WEIGHT)))
+    phrases += [(p, ("announced", "", TAG_WEIGHT)) for p in ANNOUNCED]
     for phrase, value in phrases:
         machine.add_word(f" {phrase} ", (len(phrase) + 1, *value))
     machine.make_automaton()
@@ -131,35 +193,42 @@ def _automaton():
 def scan_text(machine, text: str, words: str) -> tuple:
     """The row of OUTPUT after n_words. ``words``: the text as lower-case words with one space before, between and
     after; ``text``: as it is, for the expressions after tags."""
-    starts, base, labels, expressions = [], set(), set(), []
+    places, base, labels, expressions = [], set(), set(), []
     permissive, rest = None, 1.0
-    tags = 0
+    tagged, parsed = False, []
     for end, (length, kind, label, weight) in machine.iter(words):
         if kind == "base":
-            starts.append(words.count(" ", 0, end - length))
+            places.append(end - length)
             base.add(label)
             labels.add(label)
             rest *= 1 - weight
         elif kind == "notice":
             labels.add(label)
             rest *= 1 - weight
+        elif kind == "announced":
+            parsed.append(tokenize_notice(words[end : end + 16 * PROSE].split()[:PROSE]))
         else:
-            tags += 1
-    if tags:
+            tagged = True
+    if tagged:
         lowered, at = text.lower(), 0
         while (at := lowered.find("spdx-license-identifier", at)) >= 0:
             at += len("spdx-license-identifier")
-            after = lowered[at:].split("\n", 1)[0].lstrip(" \t")
-            if not after.startswith(":"):
-                continue
-            postfix = parse_expression(tokenize_expression(after[1:]))
-            if found := evaluate_expression(postfix):
-                labels |= found[0]
-                permissive = found[1] if permissive is None else permissive and found[1]
-                expressions.append(" ".join(postfix))
-                rest *= 1 - TAG_WEIGHT
-    span = (min(starts), max(starts)) if starts else (None, None)
-    return len(starts), *span, sorted(base), sorted(labels), expressions, permissive, 1.0 - rest
+            line = lowered.find("\n", at)
+            after = lowered[at : line if line >= 0 else len(lowered)].lstrip(" \t")
+            if after.startswith(":"):
+                parsed.append(tokenize_expression(after[1:]))
+    for tokens in parsed:
+        postfix = parse_expression(tokens)
+        if found := evaluate_expression(postfix):
+            labels |= found[0]
+            permissive = found[1] if permissive is None else permissive and found[1]
+            expressions.append(" ".join(postfix))
+            rest *= 1 - TAG_WEIGHT
+    span = (None, None)
+    if places:
+        spaces = np.flatnonzero(np.frombuffer(words.encode("utf-32-le"), dtype="<u4") == 0x20)
+        span = tuple(np.searchsorted(spaces, [min(places), max(places)]).tolist())
+    return len(places), *span, sorted(base), sorted(labels), expressions, permissive, 1.0 - rest
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -167,10 +236,11 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     n_words counts the lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; n_base counts all places where a base
     phrase stands as consecutive words; first_word and last_word are the least and greatest of their starts, in
-    words from 0, null without any. ``labels`` holds those of base phrases, of further notices and the identifiers
-    in SPDX expressions; ``permissive`` is the value of all expressions together, null without one. ``score`` is
-    1 minus the product of (1 - weight) over all evidence, so 0 without any. A null text is empty, repeated rows
-    give repeated results, other columns of ``docs`` are left aside. Row by row: no shuffle, texts of any length whole.
+    words from 0, null without any. ``labels`` holds those of base phrases, of further notices and the licences in
+    expressions, which follow an SPDX tag (known identifiers and exceptions only) or words like "licensed under" (names with
+    their versions); ``permissive`` is the value of all expressions together, null without one. ``score`` is 1 minus the
+    product of (1 - weight) over all evidence, so 0 without any. A null text is empty, repeated rows give repeated results,
+    an empty table an empty one, other columns of ``docs`` are left aside. Row by row: no shuffle, texts of any length whole.
     """
     source = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
 
