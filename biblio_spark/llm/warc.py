@@ -21,8 +21,8 @@ from biblio_spark.storage import materialize
 
 #: Payloads of at least so many bytes may be replaced by a revisit.
 REVISIT_BYTES = 1000
-#: Records of one file at most, so that a reader can hold a file.
-RECORDS_PER_FILE = 2000
+#: Bytes of records that make one file, so that a reader can hold it; a larger record is a file by itself.
+FILE_BYTES = 32_000_000
 
 #: Fixed values of the formats.
 ARC_V1_HEADER = ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length")
@@ -86,7 +86,7 @@ def arc_record(url: str | None, payload: bytes, version: int = 1, date: str = "2
 
 
 def parse_arc(content: bytes, version: int | None = None) -> Iterator[dict]:
-    """The records of an ARC stream as dicts: url, ip, date, mime, status (None in version 1), block.
+    """The records of an ARC stream as dicts: offset (of the header line), url, ip, date, mime, status (None in version 1), block.
 
     A version block sets how the header lines after it are read; ``version`` is for streams without one. The block is
     as long as the line declares; a line with other fields or a block that ends early raises ValueError.
@@ -104,6 +104,8 @@ def parse_arc(content: bytes, version: int | None = None) -> Iterator[dict]:
         if fields[0].startswith("filedesc://"):
             length = int(fields[-1])
             block = content[end + 1 : end + 1 + length]
+            if len(block) < length:
+                raise ValueError(f"version block of {length} bytes is cut off")
             version = int(block.split(b" ", 1)[0])
             at = end + 1 + length
             continue
@@ -117,6 +119,7 @@ def parse_arc(content: bytes, version: int | None = None) -> Iterator[dict]:
             raise ValueError(f"block of {length} bytes is cut off")
         status = row.get("Result-code", "-")
         yield {
+            "offset": at,
             "url": row["URL"],
             "ip": row["IP-address"],
             "date": row["Archive-date"],
@@ -144,23 +147,31 @@ def warc_date(arc_date: str) -> str:
         return "1970-01-01T00:00:00Z"
 
 
-#: Upper 16 + 12 bits of record ids that hold the key of the source row, and of those of rows without a key.
-_KEYED, _KEYLESS = 0x70616765, 0x6E6F6E65
+#: Upper 32 bits of record ids that hold the key of the source row.
+_KEYED = 0x70616765
 
 
-def record_id(key: int | None, digest: str = "") -> str:
-    """A UUID (version 8, free form) that holds the row's key: the same key always has the same id, and the key can be
-    read back. Without a key, the payload's digest makes it."""
-    if key is None:
-        low = int((digest or "0" * 40)[:16], 16)
-    else:
-        low = key & 0xFFFFFFFFFFFFFFFF
-    top = _KEYLESS if key is None else _KEYED
-    value = top << 96 | (low >> 56) << 80 | 8 << 76 | ((low >> 44) & 0xFFF) << 64 | 2 << 62 | (low & 0xFFFFFFFFFFF)
+def _uuid(value: int) -> str:
     h = f"{value:032x}"
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
+def record_id(key: int) -> str:
+    """A UUID (version 8, free form) that holds the row's key: the same key always has the same id, and the key can be
+    read back."""
+    low = key & 0xFFFFFFFFFFFFFFFF
+    return _uuid(_KEYED << 96 | (low >> 56) << 80 | 8 << 76 | ((low >> 44) & 0xFFF) << 64 | 2 << 62 | (low & 0xFFFFFFFFFFF))
+
+
+def place_id(stream: str, offset: int, url: str, date: str) -> str:
+    """A UUID (version 8) of a record without a key, from where it stands and what its header line says."""
+    value = int.from_bytes(hashlib.sha1("\n".join((stream, str(offset), url, date)).encode(), usedforsecurity=False).digest()[:16], "big")
+    value = value & ~(0xF << 76) & ~(0x3 << 62) | 8 << 76 | 2 << 62
+    if value >> 96 == _KEYED:
+        value ^= 1 << 127
+    return _uuid(value)
+
+
 def record_key(text: str) -> int | None:
     """The key in a record id of ``record_id``, else None."""
     value = int(text.strip("<>").removeprefix("urn:uuid:").replace("-", ""), 16)
@@ -174,13 +185,14 @@ def base32_sha1(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def warc_record(key, url: str, ip: str, date: str, head: bytes, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
+def warc_record(identity: str, url: str, ip: str, date: str, head: bytes, payload: bytes, digest: str, refers_to: str | None = None) -> bytes:
     """A response with the whole block, or a revisit with the HTTP head alone that refers to the record with the payload."""
+    revisit = refers_to is not None
     block = head if revisit else head + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(key, digest)}",
+        f"WARC-Record-ID: {identity}",
         f"WARC-Date: {warc_date(date)}",
         f"WARC-Target-URI: {url}",
         f"WARC-IP-Address: {ip}",
@@ -189,7 +201,7 @@ def warc_record(key, url: str, ip: str, date: str, head: bytes, payload: bytes,
         f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
+        lines += [f"WARC-Refers-To: {refers_to}", f"WARC-Profile: {REVISIT_PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response" if head else "Content-Type: text/html", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -231,63 +243,119 @@ def pages_to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     return source.mapInArrow(convert, "key long, arc binary")
 
 
-_RECORD = "key long, url string, ip string, date string, head binary, payload binary, digest string"
+_RECORD = "key long, record_id string, url string, ip string, date string, head binary, payload binary, digest string"
+_RECORD_TYPES = [pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary(), pa.string()]
+#: Bytes of payloads that a task hands on at once.
+_BATCH_BYTES = 4_000_000
+
+
+def _record_rows(stream: str, key: int | None, content: bytes) -> Iterator[tuple]:
+    """Rows of _RECORD of one ARC stream. The first record of a stream with a key has the key and its id."""
+    for n, r in enumerate(parse_arc(content)):
+        head, payload = split_http(r["block"])
+        digest = hashlib.sha1(payload, usedforsecurity=False).hexdigest()
+        own = key if n == 0 else None
+        identity = record_id(own) if own is not None else place_id(stream, r["offset"], r["url"], r["date"])
+        yield own, identity, r["url"], r["ip"], r["date"], head, payload, digest
+
+
+def _record_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[6]) + 500
+        if size > _BATCH_BYTES:
+            yield _batch(out, _RECORD, _RECORD_TYPES)
+            out, size = [], 0
+    if out:
+        yield _batch(out, _RECORD, _RECORD_TYPES)
+
+
+def _batch(rows: list[tuple], ddl: str, types: list) -> pa.RecordBatch:
+    columns = [pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ddl.split(", ")])
 
 
 def read_arc(arcs: DataFrame) -> DataFrame:
-    """A row for each record in the ARC streams of (key, arc): the columns of _RECORD; records of a stream share its key."""
+    """A row for each record in the ARC streams of (key, arc): the columns of _RECORD. Of a stream of several records the first
+    has the key; the ids of the others come from the stream's hash, their offsets, addresses and dates."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = []
-                for key, arc in zip(batch.column("key").slice(at, 500), batch.column("arc").slice(at, 500), strict=True):
-                    for r in parse_arc(arc.as_py()):
-                        head, payload = split_http(r["block"])
-                        digest = hashlib.sha1(payload, usedforsecurity=False).hexdigest()
-                        rows.append((key.as_py(), r["url"], r["ip"], r["date"], head, payload, digest))
-                if rows:
-                    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string()]
-                    columns = [pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "url", "ip", "date", "head", "payload", "digest"])
+            pairs = zip(batch.column("key"), batch.column("arc"), strict=True)
+            streams = ((key.as_py(), arc.as_py()) for key, arc in pairs)
+            yield from _record_batches(row for key, arc in streams for row in _record_rows(hashlib.sha1(arc, usedforsecurity=False).hexdigest(), key, arc))
 
     return arcs.mapInArrow(parse, _RECORD)
 
 
+def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record of the ``.arc`` and ``.arc.gz`` files under ``path`` (a gzip member for each record, or one for all): the
+    columns of _RECORD without keys. A file is read by one task, as ARC files (100 MB by custom) cannot be split."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{arc,arc.gz}").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                raw = content.as_buffer()
+                data = b"".join(gunzip_members(raw)) if bytes(memoryview(raw)[:2]) == b"\x1f\x8b" else memoryview(raw).tobytes()
+                yield from _record_batches(_record_rows(name.as_py().rsplit("/", 1)[-1], None, data))
+
+    return files.mapInArrow(parse, _RECORD)
+
+
 def mark_revisits(records: DataFrame, originals: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """``records`` with refers_to: the largest key among records with an equal payload of at least ``least`` bytes, null for
-    that record itself and for payloads that are smaller or stand alone. ``originals``: (digest, original)."""
+    """``records`` with refers_to: the record with the largest key (of those without, the largest id) among records with an
+    equal payload of at least ``least`` bytes, null for that record itself and for payloads that are smaller or stand alone.
+    ``originals``: (digest, original), a struct of k, key and record_id."""
     joined = records.join(originals, "digest", "left")
-    other = (F.length("payload") >= least) & F.col("original").isNotNull() & ~F.col("key").eqNullSafe(F.col("original"))
-    return joined.withColumn("refers_to", F.when(other, F.col("original"))).drop("original")
+    o = F.col("original")
+    same = F.when(o["k"], F.col("key").eqNullSafe(o["key"])).otherwise(F.col("record_id").eqNullSafe(o["record_id"]))
+    other = (F.length("payload") >= least) & o.isNotNull() & ~same
+    return joined.withColumns({"refers_key": F.when(other, o["key"]), "refers_id": F.when(other, o["record_id"])}).drop("original")
 
 
 def repeated_payloads(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """(digest, original) of payloads that several rows hold; only ids and digests are shuffled."""
+    """(digest, original) of payloads that several rows hold, at least one of them with a key; only ids and digests are shuffled."""
     body = F.coalesce(pages[html].cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(pages[key].cast("long").alias("key"), F.length(body).alias("n"), F.sha1(body).alias("digest")).where(F.col("n") >= least)
-    return rows.groupBy("digest").agg(F.max("key").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = pages.select(pages[key].cast("long").alias("key"), F.lit(None).cast("string").alias("record_id"), F.length(body).alias("n"), F.sha1(body).alias("digest"))
+    return _repeated(rows.where(F.col("n") >= least)).where("original.k")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    largest = F.struct(F.col("key").isNotNull().alias("k"), "key", "record_id")
+    return rows.groupBy("digest").agg(F.max(largest).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write (_RECORD with refers_to) as WARC files, one gzip member a record."""
+    """Write (_RECORD with refers_key or refers_id) as WARC files, one gzip member a record, in files of about FILE_BYTES."""
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "url", "ip", "date", "head", "payload", "digest", "refers_to"]
+        names = ["record_id", "url", "ip", "date", "head", "payload", "digest", "refers_key", "refers_id"]
+        one = lambda parts: pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], type=pa.binary())], names=["record"])
+        out, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 columns = [batch.column(n).slice(at, 500).to_pylist() for n in names]
-                out = [gzip_member(warc_record(*row, revisit=row[-1] is not None)) for row in zip(*columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["record"])
+                for *row, key, identity in zip(*columns, strict=True):
+                    refers = record_id(key) if key is not None else identity
+                    member = gzip_member(warc_record(*row, refers))
+                    if out and size + len(member) > FILE_BYTES:
+                        yield one(out)
+                        out, size = [], 0
+                    out.append(member)
+                    size += len(member)
+        if out:
+            yield one(out)
 
     framed = records.mapInArrow(serialise, "record binary").select(F.col("record").cast("string").alias("value"))
     writer = framed.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the WARC files under ``path``: key, url, date, record_type, payload_bytes,
-    payload_digest (hex), refers_to (key), block."""
+    """A row for each record of the WARC files under ``path``: key, record_id, url, date, record_type, payload_bytes,
+    payload_digest (hex), refers_to (key), refers_to_id, block."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,36 +373,43 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         length = len(payload)
                     else:
                         length = int(headers["x-payload-length"])
-                    refers = headers.get("warc-refers-to")
+                    refers, identity = headers.get("warc-refers-to"), headers["warc-record-id"]
                     rows.append(
-                        (record_key(headers["warc-record-id"]), headers["warc-target-uri"], headers["warc-date"], kind, length, digest, refers and record_key(refers), block)
+                        (record_key(identity), identity, headers["warc-target-uri"], headers["warc-date"], kind, length, digest, refers and record_key(refers), refers, block)
                     )
                     size += len(block)
-                    if size > 4_000_000:
-                        yield _read_rows(rows)
+                    if size > _BATCH_BYTES:
+                        yield _batch(rows, _READ, _READ_TYPES)
                         rows, size = [], 0
                 if rows:
-                    yield _read_rows(rows)
+                    yield _batch(rows, _READ, _READ_TYPES)
 
     return files.mapInArrow(parse, _READ)
 
 
-_READ = "key long, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long, block binary"
-
-
-def _read_rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    columns = [pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _READ.split(", ")])
+_READ = (
+    "key long, record_id string, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
+    "refers_to_id string, block binary"
+)
+_READ_TYPES = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
 
 def convert_pages(pages: DataFrame, path: str, version: int = 2, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Pages as ARC streams, converted to WARC files under ``path``.
 
     Of equal payloads of at least REVISIT_BYTES the record with the largest key is a response and the others revisit
-    it; rows that repeat that key are responses too, and so are all smaller payloads. Null keys get an id from their
-    payload; among copies they revisit the largest key, if there is one. An empty table gives no records.
+    it; rows that repeat that key are responses too, and so are all smaller payloads. Null keys get an id from the stream;
+    among copies they revisit the largest key, if there is one. Pages of any length are kept whole, other columns are left
+    aside, an empty table gives no records.
     """
     originals = materialize(repeated_payloads(pages, key, html), "originals")
     records = read_arc(pages_to_arc(pages, key, url, html, version))
     write_warc(mark_revisits(records, originals), path)
+
+
+def convert_arc_files(spark: SparkSession, source: str, path: str) -> None:
+    """The ARC files under ``source`` as WARC files under ``path``. Of equal payloads of at least REVISIT_BYTES one record is a
+    response and the others revisit it; only digests and ids are shuffled for that, and the files are read twice."""
+    records = read_arc_files(spark, source)
+    rows = records.where(F.length("payload") >= REVISIT_BYTES).select("key", "record_id", "digest")
+    write_warc(mark_revisits(records, materialize(_repeated(rows), "originals")), path)
