@@ -47,7 +47,27 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert kinds(SECRETS[3]) == ["entropy"]
     assert kinds(SECRETS[5]) == []
     assert kinds("9233A8ECF7C5B09FE5949719B6B82BC439E9329B") == ["entropy"]
-    assert kinds("token = 9233A8ECF7C5B09FE5949719B6B82BC439E9329B") == ["assign"]
+    assert kinds("token = 9233A8ECF7C5B09FE5949719B6B82BC439E9329B") == ["assign", "entropy"]
+    assert kinds("sample_config=kJ8sPq2LxZ0vWb7RtY4nMc1dF6gH3aQe") == ["entropy"]
+    assert kinds("config=example/of/a/path sampleKJ8sPq2LxZ0vWb7RtY4nM") == []
+
+
+def test_planted_keys_of_every_class_are_found():
+    """Random keys without a telling name before them, in plain words: found by entropy alone, and no plain word is."""
+    import string
+
+    rng = random.Random(11)
+    signs = {"hex": "0123456789ABCDEF", "alnum": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "letters": string.ascii_letters}
+    hits = dict.fromkeys(signs, 0)
+    for name, of in signs.items():
+        for _ in range(200):
+            key = "".join(rng.choice(of) for _ in range(40))
+            text = f"the words before {key} and after"
+            hits[name] += any(k == "entropy" and s >= 17 and e <= 57 for k, s, e in secret_scan.find_secrets(text))
+    assert hits["hex"] >= 190 and min(hits.values()) >= 180, hits
+    parts = ["licht", "keit", "tion", "ment", "the", "ing", "elle", "verein", "heit", "Sch", "A", "über"]
+    false = sum(bool(secret_scan.find_secrets("".join(rng.choice(parts) for _ in range(8)))) for _ in range(2000))
+    assert false == 0
 
 
 def test_entropy_counts_move_with_the_window():
@@ -110,8 +130,10 @@ def test_licenses_match_brute_force(spark, odd, clashing):
         ("MIT OR GPL-3.0-only", ["mit", "gpl-3.0-only", "or"], True),
         ("MIT AND GPL-3.0-only OR BSD-2-Clause", ["mit", "gpl-3.0-only", "and", "bsd-2-clause", "or"], True),
         ("MIT AND (GPL-3.0-only OR LGPL-2.1)", ["mit", "gpl-3.0-only", "lgpl-2.1", "or", "and"], False),
-        ("Apache-2.0 WITH LLVM-exception and more text", ["apache-2.0", "llvm-exception", "with", "more", "and"], False),
-        ("MIT AND", ["mit", "and"], True),
+        ("Apache-2.0 WITH LLVM-exception and more text", ["apache-2.0", "llvm-exception", "with"], True),
+        ("MIT AND", ["mit"], True),
+        ("MIT and you may use it", ["mit"], True),
+        ("(MIT OR (Apache-2.0 WITH LLVM-exception)) AND prose", ["mit", "apache-2.0", "llvm-exception", "with", "or"], True),
     ],
 )
 def test_expressions(text, postfix, permissive):
@@ -120,6 +142,30 @@ def test_expressions(text, postfix, permissive):
     assert license_scan.evaluate_expression(found)[1] is permissive
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "permissive"),
+    [
+        ("Licensed under the Apache License, Version 2.0 (the text)", ["apache", "apache-2.0"], True),
+        ("is licensed under the GNU General Public License, version 3 or later.", ["gpl", "gpl-3.0-or-later"], False),
+        ("Released under the MIT License and you may use it", ["mit"], True),
+        ("Licensed under CC BY-NC 4.0.", ["cc-by", "cc-by-nc-4.0"], False),
+        ("licensed under either the MIT license or the GNU General Public License v2 with classpath exception", ["gpl", "gpl-2.0 with classpath-exception-2.0", "mit"], True),
+        ("licensed under nothing", [], None),
+        ("SPDX-License-Identifier: prose", [], None),
+    ],
+)
+def test_notices_are_parsed(spark, text, labels, permissive):
+    row = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["labels"] == labels and row["permissive"] is permissive
+
+
+def test_positions_of_many_matches(spark):
+    text = "mit license é " * 30_000
+    row = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (90_000, 30_000, 0, 89_997)
+    assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def brute_contamination(text, items, window=13):
     w = words_of(text)
     hit, found = set(), set()
@@ -179,6 +225,22 @@ def test_contaminated_documents_go_and_others_stay(spark):
     docs = spark.createDataFrame([(1, item), (2, item + " x" * 400), (3, "w1 w2 w3")], "doc_id long, text string")
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()) == [2, 3]
-    found = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, items).collect()}
-    spans = [(s["start"], s["end"]) for s in found[2]["spans"]]
-    assert decontaminate.remove_spans(item + " x" * 400, spans) == " x" * 400
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    assert texts(decontaminate.remove_contamination(docs, items)) == {1: "", 2: " x" * 400, 3: "w1 w2 w3"}
+    assert texts(decontaminate.remove_contamination(docs, items, least_words=21))[1] == item
+    assert texts(decontaminate.remove_contamination(docs, items, coverage=0.5, mark="[...]")) == {1: "[...]", 2: item + " x" * 400, 3: "w1 w2 w3"}
+
+
+def test_rows_are_judged_by_their_own_texts(spark, monkeypatch):
+    """Null and repeated ids, columns with clashing names, one pass and several."""
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, item, 1), (None, "clean text", 2), (5, item, 3), (5, "clean too", 4), (6, "é " + item + " é", 5), (7, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items int")
+    items = spark.createDataFrame([(1, item), (2, " ".join(f"v{k}" for k in range(30)))], "item_id long, text string")
+    for most, machines in ((100_000, 4), (20, 1)):
+        monkeypatch.setattr(decontaminate, "MAX_WORDS", most)
+        monkeypatch.setattr(decontaminate, "MACHINES", machines)
+        kept = decontaminate.keep_clean(docs, items)
+        assert sorted(r["items"] for r in kept.collect()) == [2, 4, 6] and kept.columns == docs.columns
+        out = {r["items"]: r["text"] for r in decontaminate.remove_contamination(docs, items).collect()}
+        assert out == {1: "", 2: "clean text", 3: "", 4: "clean too", 5: "é  é", 6: None}
