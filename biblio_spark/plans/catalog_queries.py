@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from biblio_spark.operators import analytics, links, search
 from biblio_spark.operators import catalog as cat
 from biblio_spark.plans.registry import query
-from biblio_spark.plans.views import CATALOG, CURRENT_YEAR, LIT, LIT_WHOLE, catalog, lit
+from biblio_spark.plans.views import CATALOG, CURRENT_YEAR, LIT, catalog, lit
 
 WITH = "WITH" + CATALOG
 LOAD = "WITH" + LIT + """
@@ -51,38 +51,18 @@ def j5(spark, d):
 @query("j6_citing", WITH + """
 SELECT cited_article_id, citing_article_id FROM (
   SELECT *, row_number() OVER (PARTITION BY cited_article_id ORDER BY citing_article_id) AS n
-  FROM (SELECT DISTINCT cited_article_id, citing_article_id FROM citations WHERE cited_article_id % 10 = 1)) WHERE n <= 20""")
+  FROM (SELECT DISTINCT cited_article_id, citing_article_id FROM citations WHERE cited_article_id IN (SELECT article_id FROM articles))) WHERE n <= 1000""", also="j6_citing_whole")
 def j6(spark, d):
-    c = catalog(spark, d)
-    ids = c["articles"].where("article_id % 10 = 1").select(F.col("article_id").alias("id"))
-    return links.citing(c["citations"], ids, 20).select("cited_article_id", "citing_article_id")
-
-
-@query("j6_references", WITH + """
-SELECT citing_article_id, cited_article_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY citing_article_id ORDER BY cited_article_id) AS n
-  FROM (SELECT DISTINCT citing_article_id, cited_article_id FROM citations WHERE citing_article_id % 10 = 1 AND cited_article_id IS NOT NULL)) WHERE n <= 2""")
-def j6b(spark, d):
-    c = catalog(spark, d)
-    ids = c["articles"].where("article_id % 10 = 1").select(F.col("article_id").alias("id"))
-    return links.references(c["citations"], ids, 2).select("citing_article_id", "cited_article_id")
-
-
-@query("j6_citing_whole", WITH + """
-SELECT cited_article_id, citing_article_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY cited_article_id ORDER BY citing_article_id) AS n
-  FROM (SELECT DISTINCT cited_article_id, citing_article_id FROM citations WHERE cited_article_id IN (SELECT article_id FROM articles))) WHERE n <= 1000""")
-def j6_whole(spark, d):
     """All articles, with the operator's own limit."""
     c = catalog(spark, d)
     return links.citing(c["citations"], c["articles"].select(F.col("article_id").alias("id"))).select("cited_article_id", "citing_article_id")
 
 
-@query("j6_references_whole", WITH + """
+@query("j6_references", WITH + """
 SELECT citing_article_id, cited_article_id FROM (
   SELECT *, row_number() OVER (PARTITION BY citing_article_id ORDER BY cited_article_id) AS n
-  FROM (SELECT DISTINCT citing_article_id, cited_article_id FROM citations WHERE cited_article_id IS NOT NULL AND citing_article_id IN (SELECT article_id FROM articles))) WHERE n <= 1000""")
-def j6b_whole(spark, d):
+  FROM (SELECT DISTINCT citing_article_id, cited_article_id FROM citations WHERE cited_article_id IS NOT NULL AND citing_article_id IN (SELECT article_id FROM articles))) WHERE n <= 1000""", also="j6_references_whole")
+def j6b(spark, d):
     c = catalog(spark, d)
     return links.references(c["citations"], c["articles"].select(F.col("article_id").alias("id"))).select("citing_article_id", "cited_article_id")
 
@@ -104,28 +84,14 @@ def j7(spark, d):
 SELECT a.ord AS id1, b.ord AS id2, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS overlap
 FROM t a JOIN t b ON a.y = b.y AND a.ord < b.ord AND len(a.w) > 0 AND len(b.w) > 0
 WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6
-AND NOT EXISTS (SELECT 1 FROM keys x JOIN keys z USING (key) WHERE x.ord = a.ord AND z.ord = b.ord)""")
+AND NOT EXISTS (SELECT 1 FROM keys x JOIN keys z USING (key) WHERE x.ord = a.ord AND z.ord = b.ord)""", also="j8_candidate_duplicates_whole")
 def j8(spark, d):
-    return _candidates(lit(spark, d))
-
-
-def _candidates(records):
+    records = lit(spark, d)
     articles = records.select(F.col("ord").alias("article_id"), "article.publication_year", "article.title")
     ids = records.select(F.col("ord").alias("article_id"), F.explode("identifiers").alias("i")).select("article_id", "i.identifier_type", "i.identifier_value")
     return links.candidate_duplicates(articles, ids, 0.6).withColumn("overlap", F.round("overlap", 6))
 
 
-@query("j8_candidate_duplicates_whole", "WITH" + LIT_WHOLE + """
-, t AS (SELECT ord, publication_year AS y, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'),
-    lambda w: w <> '' AND NOT list_contains(['a', 'an', 'the', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by'], w)))) AS w FROM lit)
-SELECT a.ord AS id1, b.ord AS id2, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS overlap
-FROM t a JOIN t b ON a.y = b.y AND a.ord < b.ord AND len(a.w) > 0 AND len(b.w) > 0
-WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6
-AND NOT EXISTS (SELECT 1 FROM keys x JOIN keys z USING (key) WHERE x.ord = a.ord AND z.ord = b.ord)""")
-def j8_whole(spark, d):
-    return _candidates(lit(spark, d, whole=True))
-
-
 @query("j9_delete_articles", WITH + """
 SELECT 'articles' AS name, count(*) AS n, sum(article_id)::BIGINT AS s FROM articles WHERE article_id % 7 <> 0
 UNION ALL SELECT 'article_authors', count(*), sum(article_id)::BIGINT FROM article_authors WHERE article_id % 7 <> 0
@@ -290,37 +256,14 @@ def l5(spark, d):
 
 
 @query("w1_rank_pdf_urls", """
-WITH l AS (
-  SELECT l_partkey AS doi, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS pos, l_orderkey AS o, l_suppkey AS s FROM lineitem),
-u AS (
-  SELECT doi, 'https://x/' || o || '/' || pos || CASE WHEN s % 3 = 0 THEN '/PMC.pdf' ELSE '/a.pdf' END AS url, CASE WHEN s % 3 = 0 THEN 0 ELSE 1 END AS class, CASE WHEN s % 3 = 0 THEN -pos ELSE pos END AS place FROM l WHERE pos <= 4
-  UNION ALL SELECT doi, 'https://pub/' || o || '/' || pos, CASE WHEN pos = 5 THEN 2 ELSE 3 END, pos FROM l WHERE pos IN (5, 6))
-SELECT doi::VARCHAR AS doi, url, row_number() OVER (PARTITION BY doi ORDER BY class, place, url)::INTEGER AS rank FROM u""")
-def w1(spark, d):
-    from pyspark.sql import Window as W
-
-    from biblio_spark.storage import read_table
-
-    items = read_table(spark, d, "lineitem")
-    pos = F.row_number().over(W.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"))
-    rows = items.select(F.col("l_partkey").cast("string").alias("doi"), pos.alias("pos"), F.col("l_orderkey").cast("string").alias("o"), F.col("l_suppkey").alias("s"), "l_partkey")
-    place = F.concat_ws("/", F.lit("https:/"), F.lit("x"), "o", F.col("pos").cast("string"))
-    url = F.concat(place, F.when(F.col("s") % 3 == 0, "/PMC.pdf").otherwise("/a.pdf"))
-    locations = rows.where("pos <= 4").select("doi", "pos", F.when(F.col("s") % 2 == 0, url).alias("url_for_pdf"), F.when(F.col("s") % 3 == 0, F.regexp_replace(url, "/PMC", "/PMC")).otherwise(url).alias("url_for_landing_page"))
-    locations = locations.withColumn("url_for_pdf", F.coalesce("url_for_pdf", "url_for_landing_page"))
-    publisher = rows.where("pos IN (5, 6)").select("doi", "pos", F.when(F.col("pos") == 5, "application/pdf").alias("content_type"), F.concat_ws("/", F.lit("https:/"), F.lit("pub"), "o", F.col("pos").cast("string")).alias("url"))
-    return search.rank_pdf_urls(locations, publisher)
-
-
-@query("w1_rank_pdf_urls_whole", """
 WITH l AS (
   SELECT l_partkey AS doi, l_linenumber AS pos, l_orderkey AS o, (l_orderkey + l_linenumber) % 4 AS kind, CASE l_suppkey % 3 WHEN 0 THEN '/PMC.pdf' ELSE '/a.pdf' END AS f, l_suppkey % 3 AS s FROM lineitem),
 u AS (
   SELECT doi, 'https://x/' || o || '/' || pos || f AS url, CASE WHEN s = 0 THEN 0 ELSE 1 END AS class, CASE WHEN s = 0 THEN -pos ELSE pos END AS place FROM l WHERE kind < 2
   UNION ALL SELECT doi, 'https://pub/' || o || '/' || pos || CASE kind WHEN 2 THEN '.pdf' ELSE '' END, kind, pos FROM l WHERE kind >= 2)
-SELECT doi::VARCHAR AS doi, url, row_number() OVER (PARTITION BY doi ORDER BY class, place, url)::INTEGER AS rank FROM u""")
-def w1_whole(spark, d):
-    """Every lineitem row: two of four as locations, one as PDF link and one as landing page. w1_rank_pdf_urls takes six rows of a part."""
+SELECT doi::VARCHAR AS doi, url, row_number() OVER (PARTITION BY doi ORDER BY class, place, url)::INTEGER AS rank FROM u""", also="w1_rank_pdf_urls_whole")
+def w1(spark, d):
+    """Every lineitem row: two of four as locations, one as PDF link and one as landing page."""
     from biblio_spark.storage import read_table
 
     o, pos = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from biblio_spark.functions import dates, identifiers, scores, text
 from biblio_spark.operators import analytics, dedup, fuzzy, links, merge, search, validate
 from biblio_spark.plans.registry import query
-from biblio_spark.plans.views import CURRENT_YEAR, FIRST_SEEN, GROUPED, ID_LIST, LIT, LIT_WHOLE, id_list, lit
+from biblio_spark.plans.views import CURRENT_YEAR, FIRST_SEEN, GROUPED, ID_LIST, LIT, id_list, lit
+from biblio_spark.schema import AUTHOR, CATEGORY, IDENTIFIER, struct_of
 from biblio_spark.sources import files, landed
 
 WITH = "WITH" + LIT
-WITH_WHOLE = "WITH" + LIT_WHOLE
 DEDUP = "WITH RECURSIVE" + LIT + "," + FIRST_SEEN
 MERGED = DEDUP + "," + GROUPED
 
@@ -38,23 +38,10 @@ def f1(spark, d):
     return ids.select("ord", F.col("i.identifier_type").alias("kind"), F.col("i.identifier_value").alias("value"), identifiers.normalize_identifier("i.identifier_type", "i.identifier_value").alias("norm"))
 
 
-def _normal_names(records):
-    return records.select("ord", text.normalize_title("article.title").alias("title"), F.array_join(text.author_names("authors"), "|").alias("authors"))
-
-
 @query("f2_f3_normal_names", WITH + f"""
-SELECT ord, {normal('title')} AS title, array_to_string(list_transform(authors, lambda a: lower(trim(a))), '|') AS authors FROM lit""")
+SELECT ord, {normal('title')} AS title, array_to_string(list_transform(authors, lambda a: lower(trim(a))), '|') AS authors FROM lit""", also="f2_f3_normal_names_whole")
 def f2(spark, d):
-    return _normal_names(lit(spark, d))
-
-
-NORMAL_NAMES = f"SELECT ord, {normal('title')} AS title, array_to_string(list_transform(authors, lambda a: lower(trim(a))), '|') AS authors FROM lit"
-
-
-@query("f2_f3_normal_names_whole", WITH_WHOLE + NORMAL_NAMES)
-def f2_whole(spark, d):
-    """Whole first sentences as titles, as in all queries named _whole that take titles."""
-    return _normal_names(lit(spark, d, whole=True))
+    return lit(spark, d).select("ord", text.normalize_title("article.title").alias("title"), F.array_join(text.author_names("authors"), "|").alias("authors"))
 
 
 @query("f4_extract_identifiers", WITH + "SELECT ord, string_agg(kind || '=' || value, ';' ORDER BY kind) AS ids FROM ids GROUP BY ord")
@@ -71,11 +58,19 @@ def f5(spark, d):
     return ids.select("ord", F.col("i.identifier_type").alias("kind"), identifiers.is_valid_identifier("i.identifier_type", "i.identifier_value").alias("valid"))
 
 
-@query("f6_f7_partial_dates", WITH + """
-SELECT ord, coalesce(try_strptime(publication_date, '%Y-%m-%d'), try_strptime(publication_date, '%Y-%m'), try_strptime(publication_date, '%Y'))::DATE AS first_day,
-  true AS valid FROM lit""")
+#: Dates by the rest of a record's number: as it has it, and forms that are none.
+ODD_DATES = ("2021-13", "2021-02-30", "2021-2-3", "2021-11-", "Nov 2021", "", " 2021", "21", "2021/05/01")
+
+
+@query("f6_f7_partial_dates", WITH + f"""
+, o AS (SELECT ord, publication_date, {list(ODD_DATES)!r}[ord % 10] AS odd FROM lit),
+p AS (SELECT ord, CASE WHEN ord % 10 = 0 THEN publication_date ELSE odd END AS t FROM o),
+q AS (SELECT ord, coalesce(CASE WHEN regexp_full_match(t, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN try_strptime(t, '%Y-%m-%d') END,
+  CASE WHEN regexp_full_match(t, '\\d{{4}}-\\d{{1,2}}') THEN try_strptime(t, '%Y-%m') END, CASE WHEN regexp_full_match(t, '\\d{{4}}') THEN try_strptime(t, '%Y') END)::DATE AS first_day FROM p)
+SELECT ord, first_day, first_day IS NOT NULL AS valid FROM q""")
 def f6(spark, d):
-    return lit(spark, d).select("ord", dates.parse_partial_date("article.publication_date").alias("first_day"), dates.is_valid_date("article.publication_date").alias("valid"))
+    date = F.coalesce(F.get(F.array(F.lit(None).cast("string"), *(F.lit(x) for x in ODD_DATES)), (F.col("ord") % 10).cast("int")), F.col("article.publication_date"))
+    return lit(spark, d).select("ord", dates.parse_partial_date(date).alias("first_day"), dates.is_valid_date(date).alias("valid"))
 
 
 @query("f8_f9_dates_from_parts", WITH + """
@@ -92,22 +87,30 @@ def f8(spark, d):
 
 
 @query("f10_year_range", WITH + f"""
-SELECT ord, CASE WHEN ord % 4 = 3 THEN 1900 ELSE publication_year END AS a,
-  CASE ord % 4 WHEN 0 THEN publication_year WHEN 1 THEN publication_year + 1 WHEN 2 THEN {CURRENT_YEAR} ELSE publication_year END AS b FROM lit""")
+SELECT ord, CASE WHEN ord % 8 > 3 THEN NULL WHEN ord % 4 = 3 THEN 1900 ELSE publication_year END AS a,
+  CASE WHEN ord % 8 > 3 THEN NULL ELSE CASE ord % 4 WHEN 0 THEN publication_year WHEN 1 THEN publication_year + 1 WHEN 2 THEN {CURRENT_YEAR} ELSE publication_year END END AS b FROM lit""")
 def f10(spark, d):
+    """Four forms of a range, and four that are none: backwards, before 1900, too far ahead, no years."""
     y = F.col("article.publication_year")
-    shape = F.when(F.col("ord") % 4 == 0, y.cast("string")).when(F.col("ord") % 4 == 1, F.concat_ws("-", y, y + 1))
-    shape = shape.when(F.col("ord") % 4 == 2, F.concat(y.cast("string"), F.lit("-"))).otherwise(F.concat(F.lit("-"), y.cast("string")))
+    text_of = y.cast("string")
+    forms = (
+        text_of, F.concat_ws("-", y, y + 1), F.concat(text_of, F.lit("-")), F.concat(F.lit("-"), text_of),
+        F.concat_ws("-", y, y - 1), F.lit("1899"), F.concat(text_of, F.lit(f"-{CURRENT_YEAR + 2}")), F.concat(text_of, F.lit("x")),
+    )
+    shape = F.get(F.array(*forms), (F.col("ord") % 8).cast("int"))
     return lit(spark, d).select("ord", dates.year_range(shape, CURRENT_YEAR).alias("r")).select("ord", F.col("r.start").alias("a"), F.col("r.end").alias("b"))
 
 
 @query("f11_f18_f22_small_functions", WITH + """
 SELECT ord, CASE WHEN type_name = 'Article' THEN 'JournalArticle' WHEN type_name = 'Review' THEN 'Review' END AS semantic_type,
-  type_name AS normal_type, true AS is_uuid, false AS is_nil, md5(doi) AS folder FROM lit""")
+  type_name AS normal_type, ord % 6 NOT IN (3, 4) AS is_uuid, ord % 6 = 5 AS is_nil, md5(doi) AS folder FROM lit""")
 def f11(spark, d):
+    """UUIDs of several cases and signs, two forms that are none, and the nil UUID."""
     kind = F.col("publication_types")[0]["type_name"]
     h = F.md5("article.title")
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    forms = F.array(uuid, F.upper(uuid), uuid, F.substring(uuid, 2, 40), F.concat(uuid, F.lit("g")), F.lit("00000000-0000-0000-0000-000000000000"))
+    uuid = F.get(forms, (F.col("ord") % 6).cast("int"))
     return lit(spark, d).select(
         "ord", text.map_document_type(kind, "to_semantic").alias("semantic_type"), text.map_document_type(kind).alias("normal_type"),
         text.is_valid_uuid(uuid).alias("is_uuid"), text.is_nil_uuid(uuid).alias("is_nil"), text.doi_folder("article.primary_doi").alias("folder"),
@@ -131,10 +134,12 @@ def f12(spark, d):
     )
 
 
-@query("f16_get_identifier", WITH + "SELECT ord, doi, pmid, arxiv_id, NULL::VARCHAR AS primary_pmid FROM lit")
+@query("f16_get_identifier", WITH + "SELECT ord, doi, pmid, arxiv_id, CASE WHEN ord % 3 = 0 THEN pmid END AS primary_pmid FROM lit")
 def f16(spark, d):
+    """Each third record's PMID is primary."""
     get = identifiers.get_identifier
-    return lit(spark, d).select("ord", *(get("identifiers", k).alias(k) for k in ("doi", "pmid", "arxiv_id")), get("identifiers", "pmid", True).alias("primary_pmid"))
+    ids = F.transform("identifiers", lambda i: i.withField("is_primary", (i["identifier_type"] == "pmid") & (F.col("ord") % 3 == 0)))
+    return lit(spark, d).select("ord", *(get("identifiers", k).alias(k) for k in ("doi", "pmid", "arxiv_id")), get(ids, "pmid", True).alias("primary_pmid"))
 
 
 @query("f17_add_identifier", WITH + """
@@ -146,6 +151,19 @@ def f17(spark, d):
     return df.withColumn("identifiers", identifiers.add_identifier(again, "pii", F.lit("  "))).select("ord", F.size("identifiers").alias("n"))
 
 
+@query("f17_add_named", WITH + """
+SELECT ord, array_to_string(list_concat(authors, CASE WHEN ord % 3 = 0 THEN ['New ' || ord] ELSE []::VARCHAR[] END), '|') AS authors,
+  array_to_string(list_concat([language], CASE WHEN ord % 2 = 0 THEN ['added'] ELSE []::VARCHAR[] END), '|') AS categories, ord % 3 = 0 AS has_order FROM lit""")
+def f17_named(spark, d):
+    """Authors and categories, where the name is not blank."""
+    name = F.when(F.col("ord") % 3 == 0, F.concat(F.lit(" New "), "record_id", F.lit(" "))).when(F.col("ord") % 3 == 1, " ")
+    people = identifiers.add_named("authors", AUTHOR, name, "full_name", author_order=(F.size("authors") + 1).cast("int"))
+    kinds = identifiers.add_named("categories", CATEGORY, F.when(F.col("ord") % 2 == 0, "added").otherwise(""), "category_name", is_major_topic=F.lit(False))
+    df = lit(spark, d).select("ord", F.size("authors").alias("n"), people.alias("authors"), kinds.alias("categories"))
+    last = F.coalesce(F.get("authors", F.col("n"))["author_order"] == F.col("n") + 1, F.lit(False))
+    return df.select("ord", names("authors", "full_name").alias("authors"), names("categories", "category_name").alias("categories"), last.alias("has_order"))
+
+
 @query("f21_pdf_links", """
 SELECT page_id, len(regexp_extract_all(html || ' <a href="//x.example/' || page_id || '.pdf">', '//[^\\s<>"]+\\.pdf')) AS n,
   'https:' || regexp_extract_all(html || ' <a href="//x.example/' || page_id || '.pdf">', '//[^\\s<>"]+\\.pdf')[1] AS first_link FROM pages""")
@@ -235,23 +253,6 @@ def s5(spark, d):
 
 
 @query("s7_format_records", WITH + """
-SELECT ord, 'pubmed' AS source, title, publication_year, publication_date, array_to_string(authors, '|') AS authors, venue_name AS venue,
-  concat_ws(';', concat_ws('=', 'doi', doi, 'true'), concat_ws('=', 'pmid', pmid, 'false')) AS ids, '' AS categories, '' AS types FROM lit WHERE ord % 5 = 0
-UNION ALL
-SELECT ord, 'arxiv', title, publication_year, publication_date, array_to_string(authors, '|'), venue_name,
-  concat_ws(';', concat_ws('=', 'doi', doi, 'true'), concat_ws('=', 'arxiv_id', arxiv_id, 'false')), '', '' FROM lit WHERE ord % 5 = 1""")
-def s7(spark, d):
-    get = identifiers.get_identifier
-    raw = lit(spark, d).select(
-        "ord", "article.title", "article.abstract", F.col("article.primary_doi").alias("doi"), get("identifiers", "pmid").alias("pmid"), get("identifiers", "arxiv_id").alias("arxiv_id"),
-        F.col("article.publication_year").alias("year"), F.col("article.publication_date").alias("published_date"), F.transform("authors", lambda a: a["full_name"]).alias("authors"),
-        F.col("venue.venue_name").alias("journal"),
-    )
-    both = landed.format_records(raw.where("ord % 5 = 0"), "pubmed").unionByName(landed.format_records(raw.where("ord % 5 = 1"), "arxiv"))
-    return _flat(both)
-
-
-@query("s7_format_records_whole", WITH + """
 , f AS (
   SELECT lit.*, array_to_string(authors, '|') AS people, concat_ws('=', 'doi', doi, 'true') AS d, concat_ws('=', 'pmid', pmid, 'false') AS p, concat_ws('=', 'arxiv_id', arxiv_id, 'false') AS a FROM lit)
 SELECT ord, CASE WHEN ord % 5 < 4 THEN ['pubmed', 'arxiv', 'semantic_scholar', 'wos'][ord % 5 + 1] ELSE source END AS source, title, publication_year, publication_date, people AS authors,
@@ -259,8 +260,8 @@ SELECT ord, CASE WHEN ord % 5 < 4 THEN ['pubmed', 'arxiv', 'semantic_scholar', '
   CASE ord % 5 WHEN 0 THEN concat_ws(';', d, p) WHEN 1 THEN concat_ws(';', d, a) WHEN 2 THEN concat_ws(';', d, p, a, 'semantic_scholar_id=S' || ord || '=false')
     WHEN 3 THEN concat_ws(';', d, p, 'wos_uid=WOS:' || ord || '=false')
     ELSE concat_ws(';', 'doi=' || doi || '=true', 'pmid=' || pmid || '=false', 'arxiv_id=' || arxiv_id || '=false') END AS ids,
-  CASE WHEN ord % 5 < 4 THEN '' ELSE language END AS categories, CASE WHEN ord % 5 >= 2 THEN type_name ELSE '' END AS types FROM f""")
-def s7_whole(spark, d):
+  CASE WHEN ord % 5 < 4 THEN '' ELSE language END AS categories, CASE WHEN ord % 5 >= 2 THEN type_name ELSE '' END AS types FROM f""", also="s7_format_records_whole")
+def s7(spark, d):
     """Every record by the rest of its number: four sources, and unified records under a name that passes through."""
     get = identifiers.get_identifier
     records = lit(spark, d)
@@ -276,12 +277,6 @@ def s7_whole(spark, d):
     return _flat(out)
 
 
-@query("s8_flat_export", WITH + """
-SELECT record_id, source, array_to_string(authors, '; ') AS authors, venue_name AS venue, publication_year AS year, doi, pmid, arxiv_id FROM lit""")
-def s8(spark, d):
-    return _exported(spark, lit(spark, d)).select("record_id", "source", "authors", "venue", "year", "doi", "pmid", "arxiv_id")
-
-
 def _exported(spark, records):
     from biblio_spark.storage import new_path
 
@@ -292,12 +287,38 @@ def _exported(spark, records):
     return back.withColumns(filled | {n: F.col(n).cast("int") for n in ("year", "citation_count")})
 
 
-@query("s8_flat_export_whole", WITH_WHOLE + """
+@query("s8_flat_export", WITH + """
 SELECT record_id, source, title, array_to_string(authors, '; ') AS authors, venue_name AS venue, publication_year AS year, publication_date AS date, doi, pmid, arxiv_id,
-  citation_count, language AS categories, abstract FROM lit""")
-def s8_whole(spark, d):
-    """All flat columns, with whole titles and texts."""
-    return _exported(spark, lit(spark, d, whole=True))
+  citation_count, language AS categories, abstract FROM lit""", also="s8_flat_export_whole")
+def s8(spark, d):
+    """All flat columns, written as CSV and read again."""
+    return _exported(spark, lit(spark, d))
+
+
+@query("s8_json_export", WITH + """
+SELECT record_id, source, title, len(authors)::INTEGER AS n_authors, (SELECT count(*) FROM ids WHERE ids.ord = lit.ord)::INTEGER AS n_ids, citation_count, abstract FROM lit""")
+def s8_json(spark, d):
+    """Nested records written as JSON lines and read again."""
+    from biblio_spark.schema import RECORD_DDL
+    from biblio_spark.storage import new_path
+
+    path = new_path(spark, "export")
+    files.write_json(lit(spark, d), path)
+    back = spark.read.schema(RECORD_DDL).json(path)
+    return back.select(
+        "record_id", F.col("source_specific.source").alias("source"), F.col("article.title").alias("title"), F.size("authors").alias("n_authors"),
+        F.size("identifiers").alias("n_ids"), F.col("article.citation_count").alias("citation_count"), F.col("article.abstract").alias("abstract"),
+    )
+
+
+@query("s8_bibtex_export", WITH + r"""
+, e AS (SELECT lit.*, CASE WHEN title <> '' THEN '  title = {' || regexp_replace(title, '([{}\\])', '\\\1', 'g') || '}' END AS f1,
+    CASE WHEN len(authors) > 0 THEN '  author = {' || array_to_string(authors, ' and ') || '}' END AS f2, '  year = {' || publication_year || '}' AS f3,
+    '  journal = {' || venue_name || '}' AS f4, '  volume = {' || ord % 30 || '}' AS f5, '  doi = {' || doi || '}' AS f6 FROM lit)
+SELECT record_id, md5('@article{rec' || record_id || ',' || chr(10) || concat_ws(',' || chr(10), f1, f2, f3, f4, f5, f6) || chr(10) || '}' || chr(10)) AS entry FROM e""")
+def s8_bibtex(spark, d):
+    """The BibTeX entry of every record, as a digest."""
+    return lit(spark, d).select("record_id", F.md5(files.bibtex_entry()).alias("entry"))
 
 
 @query("s9_id_list", WITH + ", " + ID_LIST + "SELECT row_id, doi, pmid, NULL::VARCHAR AS url FROM id_list")
@@ -354,21 +375,12 @@ def j3(spark, d):
 
 
 @query("j4_match_titles", WITH + f"""
-, t AS (SELECT ord AS row_id, {normal('title')} AS k FROM lit WHERE ord % 25 = 0), o AS (SELECT ord, {normal('title')} AS k FROM lit)
-SELECT row_id, count(o.ord) AS hits, min(o.ord) AS first_ord FROM t LEFT JOIN o ON t.k = o.k AND o.k <> '' GROUP BY row_id""")
+, o AS (SELECT ord, {normal('title')} AS k FROM lit)
+SELECT t.ord AS row_id, count(o.ord) AS hits, min(o.ord) AS first_ord FROM o t LEFT JOIN o ON t.k = o.k AND o.k <> '' GROUP BY t.ord""", also="j4_match_titles_whole")
 def j4(spark, d):
-    return _match_titles(lit(spark, d))
-
-
-def _match_titles(records):
-    return links.match_titles(records.where("ord % 25 = 0").select(F.col("ord").alias("row_id"), F.concat(F.lit("The "), "article.title", F.lit("!")).alias("title")), records)
-
-
-@query("j4_match_titles_whole", WITH_WHOLE + f"""
-, t AS (SELECT ord AS row_id, {normal('title')} AS k FROM lit WHERE ord % 25 = 0), o AS (SELECT ord, {normal('title')} AS k FROM lit)
-SELECT row_id, count(o.ord) AS hits, min(o.ord) AS first_ord FROM t LEFT JOIN o ON t.k = o.k AND o.k <> '' GROUP BY row_id""")
-def j4_whole(spark, d):
-    return _match_titles(lit(spark, d, whole=True))
+    """The title of every record, with a stop word before and a sign after it."""
+    records = lit(spark, d)
+    return links.match_titles(records.select(F.col("ord").alias("row_id"), F.concat(F.lit("The "), "article.title", F.lit("!")).alias("title")), records)
 
 
 @query("j11_pending_files", WITH + ", " + ID_LIST + "SELECT row_id, doi FROM id_list WHERE row_id % 2 <> 0")
@@ -390,9 +402,17 @@ def d2(spark, d):
     return dedup.dedup_by_identifier(lit(spark, d), mode="connected").select("ord", "kept", "owner_id")
 
 
-@query("d3_dedup_listed", DEDUP + "SELECT ord, kept, owner_id FROM first_seen")
+#: Identifiers in reverse: the listed order is then not that of priority.
+REVERSED = DEDUP.replace("pos AS place FROM ids)", "(9 - pos)::BIGINT AS place FROM ids)")
+
+
+def _reversed(records):
+    return records.withColumn("identifiers", F.reverse("identifiers"))
+
+
+@query("d3_dedup_listed", REVERSED + "SELECT ord, kept, owner_id FROM first_seen")
 def d3(spark, d):
-    return dedup.dedup_by_identifier(lit(spark, d), id_order="listed").select("ord", "kept", "owner_id")
+    return dedup.dedup_by_identifier(_reversed(lit(spark, d)), id_order="listed").select("ord", "kept", "owner_id")
 
 
 @query("d4_share_identifier", WITH + """
@@ -404,17 +424,17 @@ def d4(spark, d):
 
 @query("d5_fuzzy_pairs")
 def d5(spark, d):
-    return fuzzy.fuzzy_pairs(lit(spark, d, whole=True)).select("ord", "earlier", F.round("ratio", 6).alias("ratio"))
+    return fuzzy.fuzzy_pairs(lit(spark, d)).select("ord", "earlier", F.round("ratio", 6).alias("ratio"))
 
 
 @query("d6_dedup_fuzzy")
 def d6(spark, d):
-    return fuzzy.dedup_fuzzy(lit(spark, d, whole=True))
+    return fuzzy.dedup_fuzzy(lit(spark, d))
 
 
 @query("d7_deduplicate")
 def d7(spark, d):
-    unique, _ = fuzzy.deduplicate(lit(spark, d, whole=True))
+    unique, _ = fuzzy.deduplicate(lit(spark, d))
     return unique.select(F.col("owner_id").alias("ord"), F.col("article.title").alias("title"), "merge_count", F.size("identifiers").alias("n_ids"))
 
 
@@ -486,11 +506,11 @@ def m3(spark, d):
     )
 
 
-@query("m8_merge_pairwise", (MERGED + MERGE_SQL).replace("+ 2 * (reference_count <> 0)::INT AS score", "+ 5 * (venue_name IS NOT NULL)::INT AS score").replace("coalesce(citation_count, 0) <> 0", "coalesce(citation_count, 0) > 0"))
+@query("m8_merge_pairwise", (REVERSED + "," + GROUPED + MERGE_SQL).replace("min(x.ord * 10 + pos)", "min(x.ord * 10 + 9 - pos)").replace("+ 2 * (reference_count <> 0)::INT AS score", "+ 5 * (venue_name IS NOT NULL)::INT AS score").replace("coalesce(citation_count, 0) <> 0", "coalesce(citation_count, 0) > 0"))
 def m8(spark, d):
     from biblio_spark.storage import materialize
 
-    return _merged(merge.merge_group(materialize(dedup.dedup_by_identifier(lit(spark, d), id_order="listed"), "marked"), with_venue=True))
+    return _merged(merge.merge_group(materialize(dedup.dedup_by_identifier(_reversed(lit(spark, d)), id_order="listed"), "marked"), with_venue=True))
 
 
 @query("j1_a1_search_summary", DEDUP + """
@@ -504,9 +524,12 @@ def a1(spark, d):
 
 
 @query("a2_dedup_stats", DEDUP + """
-SELECT count(*) AS total, count(*) FILTER (NOT kept) AS exact, 0::BIGINT AS fuzzy, count(*) FILTER (NOT kept) AS duplicates, count(*) FILTER (kept) AS unique_records FROM first_seen""")
+SELECT count(*) AS total, count(*) FILTER (NOT kept) AS exact, count(*) FILTER (kept AND ord % 6 = 0) AS fuzzy, count(*) FILTER (NOT kept OR ord % 6 = 0) AS duplicates,
+  count(*) FILTER (kept AND ord % 6 <> 0) AS unique_records FROM first_seen""")
 def a2(spark, d):
-    return dedup.dedup_stats(dedup.dedup_by_identifier(lit(spark, d)))
+    """As if each sixth of the exact survivors had a near copy."""
+    marked = dedup.dedup_by_identifier(lit(spark, d))
+    return dedup.dedup_stats(marked, marked.where("kept").select("ord", (F.col("ord") % 6 != 0).alias("kept")))
 
 
 VALID = WITH + rf"""
@@ -524,7 +547,7 @@ e AS (
 """
 
 
-@query("v1_v5_validate", VALID + "SELECT ord, n_errors = 0 AS is_valid, n_errors::INTEGER AS n_errors, n_warnings::INTEGER AS n_warnings FROM e")
+@query("v1_v5_validate", VALID + "SELECT ord, n_errors = 0 AS is_valid, n_errors::INTEGER AS n_errors, n_warnings::INTEGER AS n_warnings FROM e", also="v1_v5_validate_whole")
 def v1(spark, d):
     return _validated(lit(spark, d))
 
@@ -533,9 +556,40 @@ def _validated(records):
     return validate.validate(records, CURRENT_YEAR).select("ord", "is_valid", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
 
 
-@query("v1_v5_validate_whole", VALID.replace(LIT, LIT_WHOLE) + "SELECT ord, n_errors = 0 AS is_valid, n_errors::INTEGER AS n_errors, n_warnings::INTEGER AS n_warnings FROM e")
-def v1_whole(spark, d):
-    return _validated(lit(spark, d, whole=True))
+@query("v1_v5_messages", VALID + rf"""
+, m AS (
+  SELECT ord, list_filter([CASE WHEN t = '' THEN 'title=Title is required' END,
+      CASE WHEN ord % 7 = 1 THEN 'publication_year=Invalid publication year: 1850' END, CASE WHEN ord % 7 = 2 THEN 'publication_date=Invalid publication date format: 2020-13' END,
+      CASE WHEN ord % 7 = 3 THEN 'citation_count=Citation count must be a non-negative number' END], lambda x: x IS NOT NULL) AS errors,
+    list_filter([CASE WHEN t <> '' AND length(t) < 10 THEN 'title=Title is too short (minimum 10 characters)' END, CASE WHEN length(t) > 500 THEN 'title=Title is too long (maximum 500 characters)' END,
+      CASE WHEN a <> '' AND length(a) < 50 THEN 'abstract=Abstract is too short (minimum 50 characters)' END, CASE WHEN length(a) > 5000 THEN 'abstract=Abstract is too long (maximum 5000 characters)' END,
+      CASE WHEN a = '' THEN 'abstract=Abstract is missing' END], lambda x: x IS NOT NULL) AS w1,
+    CASE WHEN ord % 5 = 0 THEN ['authors[0].full_name=Author 1 missing full name', 'authors[1].full_name=Author 2 name too short'] WHEN len(authors) = 0 THEN ['authors=No authors specified'] ELSE []::VARCHAR[] END AS w2,
+    CASE WHEN ord % 4 = 0 THEN ['identifiers[0].identifier_type=Unknown identifier type: isbn', 'identifiers[2].identifier_type=Duplicate identifier type: doi']
+      WHEN len(il) = 0 THEN ['identifiers=No identifiers specified'] ELSE []::VARCHAR[] END AS w3,
+    CASE WHEN ord % 3 = 0 THEN ['venue.venue_type=Unknown venue type: kiosk'] ELSE []::VARCHAR[] END AS w5, CASE WHEN venue_name IS NULL THEN ['venue.venue_name=Venue name is missing'] ELSE []::VARCHAR[] END AS w4,
+    CASE WHEN ord % 4 = 0 THEN ['identifiers[1].identifier_value=Invalid DOI format: x', 'identifiers[1].identifier_value=Invalid doi length: 1 (expected 10-100)'] ELSE
+      list_filter(list_transform(il, lambda x, i: CASE WHEN NOT regexp_matches(x.value, CASE x.kind WHEN 'doi' THEN '^10\.\d{{4,}}/[^\s]+$' WHEN 'pmid' THEN '^\d+$' ELSE '^(\d{{4}}\.\d{{4,5}}|[a-z-]+(\.[A-Z]{{2}})?/\d{{7}})(v\d+)?$' END)
+        THEN 'identifiers[' || (i - 1) || '].identifier_value=Invalid ' || CASE x.kind WHEN 'doi' THEN 'DOI' WHEN 'pmid' THEN 'PMID' ELSE 'ArXiv ID' END || ' format: ' || x.value END), lambda z: z IS NOT NULL) END AS e2
+  FROM v)
+SELECT ord, array_to_string(list_concat(errors, e2), '; ') AS errors, array_to_string(list_concat(list_concat(list_concat(w1, w2), w3), list_concat(w4, w5)), '; ') AS warnings FROM m""")
+def v1_messages(spark, d):
+    """Messages and fields of every issue, with values that break each rule set into some records."""
+    article = F.col("article")
+    rest = F.col("ord") % 7
+    article = article.withField("publication_year", F.when(rest == 1, 1850).otherwise(article["publication_year"]))
+    article = article.withField("publication_date", F.when(rest == 2, "2020-13").otherwise(article["publication_date"]))
+    article = article.withField("citation_count", F.when(rest == 3, -1).otherwise(article["citation_count"]))
+    person = lambda name: struct_of(AUTHOR, full_name=F.lit(name))
+    one = lambda kind, value: struct_of(IDENTIFIER, identifier_type=F.lit(kind), identifier_value=F.lit(value))
+    records = lit(spark, d).withColumns({
+        "article": article,
+        "authors": F.when(F.col("ord") % 5 == 0, F.array(person(" "), person("X"))).otherwise(F.col("authors")),
+        "identifiers": F.when(F.col("ord") % 4 == 0, F.array(one("isbn", "1"), one("doi", "x"), one("doi", "10.1000/abc"))).otherwise(F.col("identifiers")),
+        "venue": F.col("venue").withField("venue_type", F.when(F.col("ord") % 3 == 0, "kiosk").otherwise(F.col("venue.venue_type"))),
+    })
+    line = lambda issues: F.array_join(F.transform(issues, lambda i: F.concat_ws("=", i["field"], i["message"])), "; ").alias(issues)
+    return validate.validate(records, CURRENT_YEAR).select("ord", line("errors"), line("warnings"))
 
 
 @query("a3_validation_stats", VALID + """
@@ -549,15 +603,6 @@ def v7(spark, d):
     return lit(spark, d).select("ord", validate.passes_load_gate(CURRENT_YEAR).alias("passes"))
 
 
-@query("s1_s6_pubmed_xml", WITH + """
-SELECT ord::VARCHAR AS pmid, 'Title ' || md5(title) AS title, publication_year, publication_year || '-' || lpad((1 + ord % 12)::VARCHAR, 2, '0') AS publication_date,
-  array_to_string(list_transform(authors, lambda a: 'Fore ' || a), '|') AS authors, coalesce(venue_name, '') AS venue,
-  concat_ws(';', 'doi=10.1000/' || CASE WHEN doi IS NOT NULL THEN ord END || '=true', 'pmid=' || ord || '=' || (doi IS NULL)) AS ids, language AS categories,
-  ord % 5 = 0 AS major, 'Journal Article' AS types, 'Abstract text' AS abstract FROM lit""")
-def s1(spark, d):
-    return _through_xml(spark, lit(spark, d), F.concat(F.lit("Title "), F.md5("article.title")), F.lit("Abstract text"))
-
-
 def _escaped(value: Column | str) -> Column:
     """Text as XML content. A carriage return needs its number, since readers turn it into a line feed."""
     for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
@@ -604,11 +649,11 @@ def _through_xml(spark, records, title, abstract):
     return flat.join(more, "pmid")
 
 
-@query("s1_s6_pubmed_xml_whole", WITH_WHOLE + """
+@query("s1_s6_pubmed_xml", WITH + """
 SELECT ord::VARCHAR AS pmid, title, publication_year, publication_year || '-' || lpad((1 + ord % 12)::VARCHAR, 2, '0') AS publication_date,
   array_to_string(list_transform(authors, lambda a: 'Fore ' || a), '|') AS authors, coalesce(venue_name, '') AS venue,
   concat_ws(';', 'doi=10.1000/' || CASE WHEN doi IS NOT NULL THEN ord END || '=true', 'pmid=' || ord || '=' || (doi IS NULL)) AS ids, language AS categories,
-  ord % 5 = 0 AS major, 'Journal Article' AS types, abstract FROM lit""")
-def s1_whole(spark, d):
-    """With the whole titles and texts."""
-    return _through_xml(spark, lit(spark, d, whole=True), _escaped("article.title"), _escaped("article.abstract"))
+  ord % 5 = 0 AS major, 'Journal Article' AS types, abstract FROM lit""", also="s1_s6_pubmed_xml_whole")
+def s1(spark, d):
+    """Titles and texts whole, written as XML and read again."""
+    return _through_xml(spark, lit(spark, d), _escaped("article.title"), _escaped("article.abstract"))

@@ -10,15 +10,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, sf_dir) under ``name``, with SQL that gives the same rows if there is any."""
+def query(name: str, sql: str | None = None, also: str | None = None):
+    """Register a function (spark, sf_dir) under ``name``, with SQL that gives the same rows if there is any. ``also``: a further
+    name under which it was known."""
 
     def register(function):
-        if name in QUERIES:
-            raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = function
-        if sql:
-            ORACLE_SQL[name] = sql
+        for own in (name, also):
+            if own in QUERIES:
+                raise ValueError(f"{own} is registered twice")
+            if own:
+                QUERIES[own] = function
+            if own and sql:
+                ORACLE_SQL[own] = sql
         return function
 
     return register

@@ -12,12 +12,10 @@ CURRENT_YEAR = 2024
 _SOURCES = ("pubmed", "arxiv", "biorxiv", "semantic_scholar", "wos")
 
 
-def lit(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Unified records, one for each row of ``documents``. The title is the first sentence: all of it if ``whole``, else
-    160 characters, as ``LIT`` has it."""
+def lit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unified records, one for each row of ``documents``. The title is the whole first sentence."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    title = F.substring_index("text", ". ", 1)
-    d = d.withColumn("title", title if whole else F.substring(title, 1, 160)).withColumn("hash", F.md5("title"))
+    d = d.withColumn("title", F.substring_index("text", ". ", 1)).withColumn("hash", F.md5("title"))
     i = F.col("doc_id")
     source = F.element_at(F.array(*(F.lit(s) for s in _SOURCES)), (i % 5 + 1).cast("int"))
     year = (1990 + i % 35).cast("int")
@@ -56,7 +54,7 @@ LIT = """
 lit AS (
   SELECT doc_id AS ord, doc_id::VARCHAR AS record_id, doc_id AS i,
     ['pubmed', 'arxiv', 'biorxiv', 'semantic_scholar', 'wos'][doc_id % 5 + 1] AS source,
-    substr(split_part(text, '. ', 1), 1, 160) AS title, text AS abstract, lang AS language,
+    split_part(text, '. ', 1) AS title, text AS abstract, lang AS language,
     (1990 + doc_id % 35)::INTEGER AS publication_year,
     CASE doc_id % 3 WHEN 0 THEN (1990 + doc_id % 35)::VARCHAR
       WHEN 1 THEN (1990 + doc_id % 35)::VARCHAR || '-' || lpad((1 + doc_id % 12)::VARCHAR, 2, '0')
@@ -65,7 +63,7 @@ lit AS (
     (doc_id % 60)::INTEGER AS reference_count, doc_id % 2 = 0 AS is_open_access,
     CASE WHEN doc_id % 2 = 0 THEN 'https://oa.example/' || doc_id END AS open_access_url,
     CASE WHEN doc_id % 17 = 0 THEN []::VARCHAR[] ELSE
-      ['Author ' || substr(md5(substr(split_part(text, '. ', 1), 1, 160)), 1, 2), 'Author ' || substr(md5(substr(split_part(text, '. ', 1), 1, 160)), 3, 2)] END AS authors,
+      ['Author ' || substr(md5(split_part(text, '. ', 1)), 1, 2), 'Author ' || substr(md5(split_part(text, '. ', 1)), 3, 2)] END AS authors,
     CASE WHEN doc_id % 13 <> 0 THEN 'Venue ' || doc_id % 40 END AS venue_name,
     CASE WHEN doc_id % 4 = 0 THEN 'Review' WHEN doc_id % 2 = 1 THEN 'article' ELSE 'Article' END AS type_name,
     CASE WHEN doc_id % 7 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN '10.1000/' || md5(text)
@@ -85,9 +83,6 @@ ids AS (
 keys AS (SELECT ord, kind || ':' || norm AS key, pos AS place FROM ids)
 """
 
-#: ``LIT`` with whole first sentences as titles.
-LIT_WHOLE = LIT.replace("substr(split_part(text, '. ', 1), 1, 160)", "split_part(text, '. ', 1)")
-
 #: CTE ``first_seen`` (ord, kept, owner_id) after LIT, by going through the records in order. Needs WITH RECURSIVE.
 FIRST_SEEN = """
 seq AS (SELECT lit.ord, row_number() OVER (ORDER BY lit.ord) AS n, coalesce(k.ks, []::VARCHAR[]) AS ks
