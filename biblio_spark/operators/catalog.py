@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from biblio_spark.functions.identifiers import normalize_identifier
 from biblio_spark.functions.text import blank_to_null, filled, nonblank, strip
 from biblio_spark.operators.validate import passes_load_gate
-from biblio_spark.schema import AUTHOR, CATEGORY, IDENTIFIER, PUBLICATION, PUBLICATION_TYPE, VENUE, struct_of
+from biblio_spark.schema import AUTHOR, CATEGORY, IDENTIFIER, PUBLICATION, PUBLICATION_TYPE, VENUE, struct_of, with_ord
+from biblio_spark.storage import materialize
 
 
 def key_of(kind: str, *parts: Column | str) -> Column:
@@ -27,16 +28,18 @@ SOURCES = ("pubmed", "arxiv", "biorxiv", "semantic_scholar", "wos")
 
 
 def load_catalog(lit: DataFrame, current_year: int) -> dict[str, DataFrame]:
-    """All tables of the catalogue from unified records, lazily; ``rejects`` has the records that do not pass the gate.
+    """All tables of the catalogue from unified records; ``rejects`` has the records that do not pass the gate. Records need an
+    ``ord`` (``landed.numbered`` gives it); one without it ends the job.
 
-    The first record of an article key is loaded. Dimensions come from natural keys by aggregation, children by one
+    The records with their keys are written once, and all tables read them. The first record of an article key is loaded. Dimensions come from natural keys by aggregation, children by one
     ``posexplode`` each; identifiers are unique by type and value, children by article and order.
     """
     passes = passes_load_gate(current_year)
-    keyed = lit.where(passes).withColumn("article_id", article_key())
-    first = keyed.groupBy("article_id").agg(F.min("ord").alias("ord"))
+    marked = materialize(with_ord(lit).withColumn("article_id", F.when(passes, article_key())), "keyed")
+    keyed = marked.where("article_id IS NOT NULL")
+    first = materialize(keyed.groupBy("article_id").agg(F.min("ord").alias("ord")), "first")
     rows = keyed.join(first, ["article_id", "ord"])
-    out = {"rejects": lit.where(~passes)}
+    out = {"rejects": marked.where("article_id IS NULL").drop("article_id")}
     out["articles"] = rows.select("article_id", "article.*")
     out["data_sources"] = lit.sparkSession.createDataFrame([(s,) for s in SOURCES], "source_name string").select(key_of("source", "source_name").alias("source_id"), "source_name")
     out["article_sources"] = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblio_spark.storage import materialize
+from biblio_spark.storage import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,6 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _state(edges)) != before and now[0]:
         before = now
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        after = materialize(_small_star(_large_star(edges)), "edges")
+        release(edges)
+        edges = after
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

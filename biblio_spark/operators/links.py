@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from biblio_spark.functions.identifiers import normalize_identifier
 from biblio_spark.functions.text import filled, nonblank, normalize_title
+from biblio_spark.storage import materialize
 
 
 def combine_sources(sources: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:
@@ -97,7 +98,8 @@ def candidate_duplicates(articles: DataFrame, identifiers: DataFrame, threshold:
     identifier, id1 < id2.
 
     Titles with equal token sets are one node, so copies do not multiply the comparison; each set emits its rarest tokens
-    only, as many as two sets with that overlap must share.
+    only, as many as two sets with that overlap must share. Identifiers are compared for the pairs found, so one that many
+    articles have makes no pairs.
     """
     rows = articles.select("article_id", "publication_year", F.array_sort(title_tokens("title")).alias("tokens")).where(F.size("tokens") > 0)
     sets = rows.select("publication_year", "tokens").distinct()
@@ -113,9 +115,11 @@ def candidate_duplicates(articles: DataFrame, identifiers: DataFrame, threshold:
     left = rows.select("publication_year", "tokens", F.col("article_id").alias("id1"))
     right = rows.select("publication_year", F.col("tokens").alias("others"), F.col("article_id").alias("id2"))
     found = left.join(pairs, ["publication_year", "tokens"]).join(right, ["publication_year", "others"]).where("id1 < id2").select("id1", "id2", "overlap")
-    own = identifiers.select("article_id", "identifier_type", normalize_identifier("identifier_type", "identifier_value").alias("v")).where(filled("v"))
-    one, two = own.withColumnRenamed("article_id", "id1"), own.withColumnRenamed("article_id", "id2")
-    shared = one.join(two, ["identifier_type", "v"]).where("id1 < id2").select("id1", "id2")
+    found = materialize(found, "candidates")
+    own = identifiers.select("article_id", F.concat_ws(":", "identifier_type", normalize_identifier("identifier_type", "identifier_value")).alias("v"))
+    own = own.where("v NOT LIKE '%:'").groupBy("article_id").agg(F.collect_set("v").alias("ids"))
+    asked = found.join(own.select(F.col("article_id").alias("id1"), F.col("ids").alias("ids1")), "id1").join(own.select(F.col("article_id").alias("id2"), F.col("ids").alias("ids2")), "id2")
+    shared = materialize(asked.where(F.arrays_overlap("ids1", "ids2")).select("id1", "id2"), "shared")
     return found.join(shared, ["id1", "id2"], "left_anti")
 
 

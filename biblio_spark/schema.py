@@ -57,3 +57,11 @@ def struct_of(kind: str, **values):
         raise ValueError(f"no such field: {sorted(missing)}")
     null = F.lit(None)
     return F.struct(*(values.get(name, null).alias(name) for name in field_names(kind))).cast(kind)
+
+
+def with_ord(records):
+    """``records``, of which none may lack ``ord``: a null would silently drop out of joins on it."""
+    from pyspark.sql import functions as F
+
+    known = F.when(F.col("ord").isNotNull(), F.col("ord")).otherwise(F.raise_error(F.lit("a record without ord: number the records first")).cast("long"))
+    return records.withColumn("ord", known)
