@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblio_spark.operators import analytics, links, search
@@ -224,14 +227,50 @@ def l1(spark, d):
     return out
 
 
+_CHECK = "sum(('0x' || substr(md5({}), 1, 8))::BIGINT)::BIGINT"
+
+
+@query("l1_catalog_contents", LOAD + f"""
+SELECT 'articles' AS name, {_CHECK.format("title || publication_year")} AS digest FROM loaded UNION ALL SELECT 'rejects', {_CHECK.format("record_id")} FROM lit WHERE trim(title) = ''
+UNION ALL SELECT 'article_identifiers', {_CHECK.format("kind || value")} FROM (SELECT DISTINCT kind, value FROM ids JOIN loaded USING (ord))
+UNION ALL SELECT 'authors', {_CHECK.format("a")} FROM (SELECT DISTINCT unnest(authors) AS a FROM loaded)
+UNION ALL SELECT 'article_authors', {_CHECK.format("a || n")} FROM (SELECT unnest(authors) AS a, generate_subscripts(authors, 1) AS n FROM loaded)
+UNION ALL SELECT 'venues', {_CHECK.format("venue_name")} FROM (SELECT DISTINCT venue_name FROM loaded WHERE venue_name IS NOT NULL)
+UNION ALL SELECT 'article_categories', {_CHECK.format("language || (ord % 5 = 0)::VARCHAR")} FROM loaded
+UNION ALL SELECT 'publication_types', {_CHECK.format("type_name")} FROM (SELECT DISTINCT type_name FROM loaded)""")
+def l1_contents(spark, d):
+    """What the tables hold, as sums of digests of their natural values."""
+    t = cat.load_catalog(lit(spark, d), CURRENT_YEAR)
+    text = lambda *parts: F.concat(*(F.col(p).cast("string") if isinstance(p, str) else p for p in parts))
+    rows = {
+        "articles": t["articles"].select(text("title", "publication_year").alias("v")),
+        "rejects": t["rejects"].select(F.col("record_id").alias("v")),
+        "article_identifiers": t["article_identifiers"].select(text("identifier_type", "identifier_value").alias("v")),
+        "authors": t["authors"].select(F.col("full_name").alias("v")),
+        "article_authors": t["article_authors"].join(t["authors"], "author_id").select(text("full_name", "author_order").alias("v")),
+        "venues": t["venues"].select(F.col("venue_name").alias("v")),
+        "article_categories": t["article_categories"].join(t["subject_categories"], "category_id").select(text("category_name", "is_major_topic").alias("v")),
+        "publication_types": t["publication_types"].select(F.col("type_name").alias("v")),
+    }
+    digest = F.sum(F.conv(F.substring(F.md5("v"), 1, 8), 16, 10).cast("long"))
+    parts = [df.agg(F.lit(name).alias("name"), digest.alias("digest")) for name, df in rows.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("l2_resolve_authors", WITH + """
 , n AS (SELECT author_id AS row_id, CASE WHEN author_id % 3 = 0 THEN 'Someone ' || author_id ELSE full_name END AS full_name FROM authors)
-SELECT row_id, (SELECT min(author_id::VARCHAR) FROM authors a WHERE a.full_name = n.full_name) AS known, row_id % 3 = 0 AS is_new FROM n""")
+SELECT row_id, CASE WHEN row_id % 8 = 0 THEN row_id::VARCHAR ELSE (SELECT min(author_id::VARCHAR) FROM authors a WHERE a.full_name = n.full_name) END AS known,
+  row_id % 3 = 0 AND row_id % 8 <> 0 AS is_new FROM n""")
 def l2(spark, d):
+    """By a known ORCID (whatever the name), by name where the ORCID is unknown or missing, else new."""
     authors = catalog(spark, d)["authors"]
-    none = F.lit(None).cast("string")
-    new = authors.select(F.col("author_id").alias("row_id"), F.when(F.col("author_id") % 3 == 0, F.concat(F.lit("Someone "), F.col("author_id").cast("string"))).otherwise(F.col("full_name")).alias("full_name"), none.alias("orcid"))
-    found = cat.resolve_authors(new, authors.select(F.col("author_id").cast("string").alias("author_id"), "full_name", none.alias("orcid")))
+    i, name = F.col("author_id"), F.col("author_id").cast("string")
+    orcid = F.when(i % 8 == 0, F.concat(F.lit("0000-"), name))
+    new = authors.select(
+        i.alias("row_id"), F.when(i % 3 == 0, F.concat(F.lit("Someone "), name)).otherwise(F.col("full_name")).alias("full_name"),
+        orcid.when(i % 8 == 4, F.concat(F.lit("9999-"), name)).alias("orcid"),
+    )
+    found = cat.resolve_authors(new, authors.select(name.alias("author_id"), "full_name", orcid.alias("orcid")))
     return found.select("row_id", F.when(~F.col("is_new"), F.col("author_id")).alias("known"), "is_new")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblio_spark.functions import dates, identifiers, scores, text
@@ -184,41 +186,43 @@ def _flat(df):
     )
 
 
-@query("s2_from_arxiv", WITH + """
-SELECT ord, 'arxiv' AS source, title, publication_year, publication_date, array_to_string(authors, '|') AS authors, coalesce(venue_name, 'arXiv') AS venue,
-  concat_ws(';', 'doi=' || doi || '=true', 'arxiv_id=' || arxiv_id || '=' || (doi IS NULL)) AS ids, language AS categories, '' AS types
-FROM lit WHERE trim(title) <> ''""")
-def s2(spark, d):
-    raw = lit(spark, d).select(
+def _arxiv(records):
+    return records.select(
         "ord", "article.title", "article.abstract", F.concat(F.transform("authors", lambda a: a["full_name"]), F.array(F.lit(" "), F.lit(None).cast("string"))).alias("authors"),
         F.col("article.primary_doi").alias("doi"), identifiers.get_identifier("identifiers", "arxiv_id").alias("arxiv_id"), F.col("article.publication_year").alias("year"),
         F.col("article.publication_date").alias("published_date"), F.lit(None).cast("string").alias("updated_date"), F.col("venue.venue_name").alias("journal"),
         F.lit("u").alias("url"), F.array(F.col("article.language"), F.lit("")).alias("categories"), F.lit("p").alias("pdf_url"),
     )
-    return _flat(landed.from_arxiv(raw))
 
 
-@query("s3_from_biorxiv", WITH + """
-SELECT ord, 'biorxiv' AS source, title, CASE WHEN ord % 3 = 2 THEN publication_year END AS publication_year, CASE WHEN ord % 3 = 2 THEN publication_date END AS publication_date,
-  array_to_string(authors, '|') AS authors, coalesce(venue_name, 'bioRxiv') AS venue, coalesce('doi=' || doi || '=true', '') AS ids, language AS categories, 'Preprint' AS types
+@query("s2_from_arxiv", WITH + """
+SELECT ord, 'arxiv' AS source, title, publication_year, publication_date, array_to_string(authors, '|') AS authors, coalesce(venue_name, 'arXiv') AS venue,
+  concat_ws(';', 'doi=' || doi || '=true', 'arxiv_id=' || arxiv_id || '=' || (doi IS NULL)) AS ids, language AS categories, '' AS types
 FROM lit WHERE trim(title) <> ''""")
-def s3(spark, d):
+def s2(spark, d):
+    return _flat(landed.from_arxiv(_arxiv(lit(spark, d))))
+
+
+def _biorxiv(records):
     text_of = F.lit(None).cast("string")
-    raw = lit(spark, d).select(
+    return records.select(
         "ord", "article.title", "article.abstract", names("authors", "full_name", " ; ").alias("authors"), F.col("article.primary_doi").alias("doi"),
         F.col("article.publication_date").alias("date"), F.lit("1").alias("version"), F.col("article.language").alias("category"),
         F.col("venue.venue_name").alias("server"), text_of.alias("license"),
     )
-    return _flat(landed.from_biorxiv(raw))
 
 
-@query("s4_from_semantic_scholar", WITH + """
-SELECT ord, 'semantic_scholar' AS source, title, publication_year, publication_date, array_to_string(authors, '|') AS authors, coalesce(venue_name, 'J') AS venue,
-  concat_ws(';', 'doi=' || doi || '=true', 'pmid=' || pmid || '=false', 'arxiv_id=' || arxiv_id || '=false', 'semantic_scholar_id=S' || ord || '=false', 'corpus_id=' || ord || '=false') AS ids,
-  language || '|s2' AS categories, type_name AS types FROM lit""")
-def s4(spark, d):
+@query("s3_from_biorxiv", WITH + """
+SELECT ord, 'biorxiv' AS source, title, CASE WHEN ord % 3 = 2 THEN publication_year END AS publication_year, CASE WHEN ord % 3 = 2 THEN publication_date END AS publication_date,
+  array_to_string(authors, '|') AS authors, coalesce(venue_name, 'bioRxiv') AS venue, coalesce('doi=' || doi || '=true', '') AS ids, language AS categories, 'Preprint' AS types
+FROM lit WHERE trim(title) <> ''""")
+def s3(spark, d):
+    return _flat(landed.from_biorxiv(_biorxiv(lit(spark, d))))
+
+
+def _semantic_scholar(records):
     get = identifiers.get_identifier
-    raw = lit(spark, d).select(
+    return records.select(
         "ord", F.concat(F.lit("S"), "record_id").alias("paperId"), F.col("record_id").alias("corpusId"),
         F.struct(F.col("article.primary_doi").alias("DOI"), get("identifiers", "pmid").alias("PubMed"), get("identifiers", "arxiv_id").alias("ArXiv")).alias("externalIds"),
         "article.title", "article.abstract", F.coalesce("venue.venue_name", F.lit("")).alias("venue"),
@@ -230,16 +234,19 @@ def s4(spark, d):
         F.struct(F.lit("3").alias("volume"), F.lit("1-2").alias("pages"), F.lit("J").alias("name")).alias("journal"),
         F.transform("authors", lambda a: F.struct(F.lit("1").alias("authorId"), a["full_name"].alias("name"), F.array(F.lit("A")).alias("affiliations"))).alias("authors"),
     )
-    return _flat(landed.from_semantic_scholar(raw))
 
 
-@query("s5_from_wos", WITH + """
-SELECT ord, 'wos' AS source, regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title, publication_year, publication_year || '-11-01' AS publication_date, array_to_string(authors, '|') AS authors,
-  coalesce(venue_name, '') AS venue, concat_ws(';', 'doi=' || doi || '=true', 'pmid=' || pmid || '=false', 'wos_uid=WOS:' || ord || '=false') AS ids,
-  'Book|Review' AS categories, 'Book|Review' AS types FROM lit WHERE ord % 7 <> 0""")
-def s5(spark, d):
+@query("s4_from_semantic_scholar", WITH + """
+SELECT ord, 'semantic_scholar' AS source, title, publication_year, publication_date, array_to_string(authors, '|') AS authors, coalesce(venue_name, 'J') AS venue,
+  concat_ws(';', 'doi=' || doi || '=true', 'pmid=' || pmid || '=false', 'arxiv_id=' || arxiv_id || '=false', 'semantic_scholar_id=S' || ord || '=false', 'corpus_id=' || ord || '=false') AS ids,
+  language || '|s2' AS categories, type_name AS types FROM lit""")
+def s4(spark, d):
+    return _flat(landed.from_semantic_scholar(_semantic_scholar(lit(spark, d))))
+
+
+def _wos(records):
     get = identifiers.get_identifier
-    raw = lit(spark, d).select(
+    return records.select(
         "ord", F.concat(F.lit("WOS:"), "record_id").alias("uid"), "article.title", "article.abstract", F.array(F.lit("Book, Review")).alias("types"),
         F.struct(
             F.col("venue.venue_name").alias("sourceTitle"), F.col("article.publication_year").alias("publishYear"), F.lit("NOV-DEC").alias("publishMonth"),
@@ -249,7 +256,14 @@ def s5(spark, d):
         F.array(F.struct(F.lit("WOS").alias("db"), F.lit(4).alias("count"))).alias("citations"),
         F.when(F.col("ord") % 7 != 0, F.struct(F.col("article.primary_doi").alias("doi"), get("identifiers", "pmid").alias("pmid"), F.lit("1").alias("issn"), F.lit("").alias("eissn"))).alias("identifiers"),
     )
-    return _flat(landed.from_wos(raw))
+
+
+@query("s5_from_wos", WITH + """
+SELECT ord, 'wos' AS source, regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title, publication_year, publication_year || '-11-01' AS publication_date, array_to_string(authors, '|') AS authors,
+  coalesce(venue_name, '') AS venue, concat_ws(';', 'doi=' || doi || '=true', 'pmid=' || pmid || '=false', 'wos_uid=WOS:' || ord || '=false') AS ids,
+  'Book|Review' AS categories, 'Book|Review' AS types FROM lit WHERE ord % 7 <> 0""")
+def s5(spark, d):
+    return _flat(landed.from_wos(_wos(lit(spark, d))))
 
 
 @query("s7_format_records", WITH + """
@@ -610,6 +624,20 @@ def _escaped(value: Column | str) -> Column:
     return value
 
 
+def _write_xml(rows, path):
+    """Rows of XML as files with the rows of a partition within one root element."""
+
+    def file(batches):
+        import pyarrow as pa
+
+        line = lambda value: pa.RecordBatch.from_pydict({"value": [value]})
+        yield line("<PubmedArticleSet>")
+        yield from batches
+        yield line("</PubmedArticleSet>")
+
+    rows.mapInArrow(file, "value string").write.text(path)
+
+
 def _through_xml(spark, records, title, abstract):
     """Records written as PubMed XML and read again."""
     from biblio_spark.sources import pubmed_xml
@@ -631,16 +659,7 @@ def _through_xml(spark, records, title, abstract):
     row = tag("PubmedArticle", tag("MedlineCitation", tag("PMID", F.col("record_id")), article, mesh), tag("PubmedData", tag("ArticleIdList", doi), other))
     path = new_path(spark, "pubmed")
 
-    def file(batches):
-        """The rows of a partition within one root element, as files have it."""
-        import pyarrow as pa
-
-        line = lambda value: pa.RecordBatch.from_pydict({"value": [value]})
-        yield line("<PubmedArticleSet>")
-        yield from batches
-        yield line("</PubmedArticleSet>")
-
-    records.select(row.alias("value")).mapInArrow(file, "value string").write.text(path)
+    _write_xml(records.select(row.alias("value")), path)
     out = landed.from_pubmed(pubmed_xml.read_pubmed_xml(spark, path))
     flat = _flat(out).drop("ord", "source").withColumn("pmid", F.regexp_extract("ids", r"pmid=(\d+)=", 1))
     more = out.select(
@@ -657,3 +676,95 @@ SELECT ord::VARCHAR AS pmid, title, publication_year, publication_year || '-' ||
 def s1(spark, d):
     """Titles and texts whole, written as XML and read again."""
     return _through_xml(spark, lit(spark, d), _escaped("article.title"), _escaped("article.abstract"))
+
+
+@query("p1_landed_to_export", WITH + """
+, r AS (SELECT ord, coalesce(regexp_replace(lower(doi), '^(doi:|https?://doi\\.org/|https?://dx\\.doi\\.org/)', ''), 'record ' || ord) AS k FROM lit WHERE trim(title) <> '' AND (ord % 4 <> 3 OR ord % 7 <> 0))
+SELECT 'read' AS step, count(*) AS n FROM r UNION ALL SELECT 'without ord or id', 0 UNION ALL SELECT 'different ord', count(*) FROM r
+UNION ALL SELECT 'unique', count(DISTINCT k) FROM r UNION ALL SELECT 'articles', count(DISTINCT k) FROM r UNION ALL SELECT 'rejects', 0 UNION ALL SELECT 'exported', count(DISTINCT k) FROM r""")
+def p1(spark, d):
+    """The whole way of landed files: four providers' JSON files written, read and numbered, unified, de-duplicated by DOI, merged,
+    loaded into the catalogue and exported as CSV."""
+    from biblio_spark.operators import catalog
+    from biblio_spark.storage import materialize, new_path
+
+    records = lit(spark, d).where(text.nonblank("article.title"))
+    records = records.withColumn("identifiers", F.filter("identifiers", lambda i: i["identifier_type"] == "doi"))
+    makers = (_arxiv, _biorxiv, _semantic_scholar, _wos)
+    readers = (landed.read_arxiv, landed.read_biorxiv, landed.read_semantic_scholar, landed.read_wos)
+    shapers = (landed.from_arxiv, landed.from_biorxiv, landed.from_semantic_scholar, landed.from_wos)
+    unified = []
+    for rest, (make, read, shape) in enumerate(zip(makers, readers, shapers, strict=True)):
+        path = new_path(spark, "landed")
+        make(records.where(F.col("ord") % 4 == rest)).drop("ord").write.json(path)
+        unified.append(shape(read(spark, path, lines=True)))
+    unified = materialize(landed.in_sequence(unified), "unified")
+    merged = materialize(merge.merge_group(materialize(dedup.dedup_by_identifier(unified), "marked")).drop("owner_id"), "merged")
+    tables = catalog.load_catalog(merged, CURRENT_YEAR)
+    path = new_path(spark, "export")
+    files.write_csv(merged, path)
+    counts = {
+        "read": unified, "without ord or id": unified.where("ord IS NULL OR record_id IS NULL"), "different ord": unified.select("ord").distinct(), "unique": merged,
+        "articles": tables["articles"], "rejects": tables["rejects"], "exported": files.read_csv(spark, path),
+    }
+    rows = [df.agg(F.lit(name).alias("step"), F.count("*").alias("n")) for name, df in counts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("v6_rejects_at_read", WITH + """
+SELECT source, count(*) FILTER (ord % 5 <> 0) AS records, count(*) FILTER (ord % 5 = 0) AS rejects FROM lit GROUP BY source""")
+def v6(spark, d):
+    """A JSON line of every record, each fifth cut off, read into records and rejects by source (a folder each)."""
+    from biblio_spark.storage import new_path
+
+    path = new_path(spark, "lines")
+    source = F.col("source_specific.source")
+    row = F.to_json(F.struct(F.col("article.title").alias("title"), F.col("article.abstract").alias("abstract"), source.alias("journal")))
+    row = F.when(F.col("ord") % 5 == 0, F.concat(F.lit("{"), F.substring(row, 1, 20))).otherwise(row)
+    lit(spark, d).select(row.alias("value"), source.alias("of")).write.partitionBy("of").text(path)
+    good, bad = landed.read_checked(spark, path, "title string, abstract string, journal string, of string")
+    rejects = bad.select(F.regexp_extract("file", "of=([a-z_]+)", 1).alias("source")).groupBy("source").agg(F.count("*").alias("rejects"))
+    records = good.where("title IS NOT NULL").groupBy(F.col("journal").alias("source")).agg(F.count("*").alias("records"))
+    return records.join(rejects, "source", "full").select("source", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("rejects", F.lit(0)).alias("rejects"))
+
+
+@query("l4_pubmed_details", WITH + """
+SELECT 'mesh_qualifiers' AS name, count(DISTINCT ord % 3) AS n, NULL::BIGINT AS s FROM lit UNION ALL SELECT 'article_mesh_qualifiers', count(*), count(*) FILTER (ord % 2 = 0) FROM lit
+UNION ALL SELECT 'funding_agencies', count(DISTINCT ord % 5), NULL FROM lit WHERE ord % 4 <> 0 UNION ALL SELECT 'article_funding', count(*), sum(ord)::BIGINT FROM lit WHERE ord % 4 <> 0
+UNION ALL SELECT 'citations', 2 * count(*), count(*) FILTER (ord + 1 IN (SELECT ord FROM lit)) FROM lit UNION ALL SELECT 'abstract_sections', 2 * count(*), 3 * count(*) FROM lit
+UNION ALL SELECT 'article_versions', count(DISTINCT (regexp_replace(lower(doi), '^(doi:|https?://doi\\.org/|https?://dx\\.doi\\.org/)', ''), 1 + ord % 2)), NULL FROM lit WHERE doi IS NOT NULL""")
+def l4_details(spark, d):
+    """PubMed records with qualifiers, grants, references and labelled abstracts as XML, read again and loaded; versions of preprints."""
+    from biblio_spark.operators import catalog
+    from biblio_spark.sources import pubmed_xml
+    from biblio_spark.storage import materialize, new_path
+
+    records = lit(spark, d)
+    i, text_of = F.col("ord"), lambda c: c.cast("string")
+    tag = lambda name, *parts: F.concat(F.lit(f"<{name}>"), *(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit(f"</{name.split(' ')[0]}>"))
+    grant = F.when(i % 4 != 0, tag("GrantList", tag("Grant", tag("GrantID", "g", text_of(i)), tag("Agency", "Agency ", text_of(i % 5)), tag("Country", "C")))).otherwise("")
+    article = tag(
+        "Article", tag("Journal", tag("JournalIssue", tag("PubDate", tag("Year", "2020"))), tag("Title", "J")), tag("ArticleTitle", "T", text_of(i)),
+        tag("Abstract", tag('AbstractText Label="AIM"', "One"), tag('AbstractText Label="END"', "Two")), grant,
+    )
+    qualifier = F.concat(F.lit('<QualifierName UI="Q'), text_of(i % 3), F.lit('" MajorTopicYN="'), F.when(i % 2 == 0, "Y").otherwise("N"), F.lit('">q'), text_of(i % 3), F.lit("</QualifierName>"))
+    mesh = tag("MeshHeadingList", tag("MeshHeading", tag('DescriptorName UI="D" MajorTopicYN="N"', F.col("article.language")), qualifier))
+    cites = lambda kind, value: tag("Reference", tag("Citation", "cites"), tag("ArticleIdList", tag(f'ArticleId IdType="{kind}"', value)))
+    refs = tag("ReferenceList", cites("pubmed", text_of(i + 1)), cites("doi", "10.9/x"))
+    row = tag("PubmedArticle", tag("MedlineCitation", tag("PMID", text_of(i)), article, mesh), tag("PubmedData", refs))
+    path = new_path(spark, "pubmed")
+    _write_xml(records.select(row.alias("value")), path)
+    parsed = materialize(pubmed_xml.read_pubmed_xml(spark, path), "parsed")
+    tables = catalog.load_catalog(landed.from_pubmed(parsed.withColumn("ord", F.col("pmid").cast("long"))), CURRENT_YEAR)
+    found = catalog.load_pubmed_details(parsed, tables["articles"], tables["article_identifiers"])
+    versions = catalog.load_biorxiv_versions(
+        records.select(F.col("article.primary_doi").alias("doi"), text_of(1 + i % 2).alias("version"), F.col("article.publication_date").alias("date"))
+    )
+    sums = {
+        "mesh_qualifiers": None, "article_mesh_qualifiers": F.sum(F.col("is_major_topic").cast("long")), "funding_agencies": None,
+        "article_funding": F.sum(F.substring("grant_id", 2, 20).cast("long")), "citations": F.count("cited_article_id"), "abstract_sections": F.sum("section_order"),
+    }
+    null = F.lit(None).cast("long")
+    rows = [found[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), (null if s is None else s.cast("long")).alias("s")) for name, s in sums.items()]
+    rows.append(versions.agg(F.lit("article_versions").alias("name"), F.count("*").alias("n"), null.alias("s")))
+    return reduce(DataFrame.unionByName, rows)

@@ -1,17 +1,19 @@
 """Landed records of five providers, reshaped to the unified record.
 
-Each ``from_*`` takes a DataFrame of raw records (``read_*`` explodes files with explicit schemas) that has an ``ord`` column,
-or gets ``ord`` null. Rows without a title are dropped where a provider's records cannot do without one (arXiv, bioRxiv).
+``read_*`` reads files with explicit schemas and numbers their records; each ``from_*`` takes such a DataFrame, or any other raw
+records with an ``ord``. Rows without a title are dropped where a provider's records cannot do without one (arXiv, bioRxiv).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from biblio_spark.functions.dates import wos_pub_date
 from biblio_spark.functions.text import blank_to_null, col, filled, nonblank, strip
 from biblio_spark.schema import ARTICLE, AUTHOR, CATEGORY, IDENTIFIER, PUBLICATION, PUBLICATION_TYPE, RECORD, SOURCE, VENUE, struct_of
+from biblio_spark.storage import materialize
 
 ARXIV_DDL = (
     "title string, abstract string, authors array<string>, doi string, arxiv_id string, year int, published_date string, "
@@ -44,26 +46,73 @@ FLAT_DDL = (
 )
 
 
+def numbered(raw: DataFrame, order: list[str], source: str, natural: tuple[str, ...], first: int = 0) -> DataFrame:
+    """``raw`` with ``ord``, running numbers from ``first`` on in the order of the columns ``order`` (which go), and ``record_id``, from
+    the source and the first of the columns ``natural`` that has a value, else from ``ord``.
 
-def read_arxiv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ARXIV_DDL).json(path, multiLine=True)
+    A range shuffle sorts the rows; numbers within its partitions and the rows of the partitions before (one count each)
+    make ``ord``, so no task sees all rows. The result is written, so the numbers stay.
+    """
+    rows = raw.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialize(rows.withColumns({"_task": F.spark_partition_id(), "_place": place}), f"{source}-rows")
+    counts = rows.groupBy("_task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = materialize(counts.select("_task", (before + first).alias("_before")), f"{source}-counts")
+    ord_ = (F.col("_before") + F.col("_place")).cast("long")
+    own = [F.when(nonblank(F.col(n).cast("string")), F.concat_ws(":", F.lit(source), F.lit(n.rpartition(".")[2]), strip(F.col(n).cast("string")))) for n in natural]
+    out = rows.join(counts, "_task").withColumn("ord", ord_).withColumn("record_id", F.coalesce(*own, F.concat_ws(":", F.lit(source), F.lit("ord"), F.col("ord").cast("string"))))
+    return out.drop("_task", "_place", "_before")
 
 
-def _members(spark: SparkSession, path: str, field: str, ddl: str) -> DataFrame:
-    member = spark.createDataFrame([], ddl).schema.simpleString()
-    return spark.read.schema(f"{field} array<{member}>").json(path, multiLine=True).select(F.inline(field))
+_ORDER = ["_file", "_start", "_row", "_member"]
 
 
-def read_biorxiv(spark: SparkSession, path: str) -> DataFrame:
-    return _members(spark, path, "collection", BIORXIV_DDL)
+def _read(spark: SparkSession, path: str, ddl: str, source: str, natural: tuple[str, ...], lines: bool, first: int, field: str | None = None) -> DataFrame:
+    """Numbered records of JSON files: a record a line if ``lines``; else a file is one JSON text, a list of records or an object with
+    them under ``field``, which one task reads whole, so such files must fit in its memory."""
+    where = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    if field and not lines:
+        member = spark.createDataFrame([], ddl).schema.simpleString()
+        raw = spark.read.schema(f"{field} array<{member}>").json(path, multiLine=True)
+        raw = raw.select(*where, F.posexplode(field).alias("_member", "_of")).select(*_ORDER, "_of.*")
+    else:
+        raw = spark.read.schema(ddl).json(path, multiLine=not lines).select(*where, F.lit(0).alias("_member"), "*")
+    return numbered(raw, _ORDER, source, natural, first)
 
 
-def read_semantic_scholar(spark: SparkSession, path: str) -> DataFrame:
-    return _members(spark, path, "data", SEMANTIC_DDL)
+def read_arxiv(spark: SparkSession, path: str, lines: bool = False, first: int = 0) -> DataFrame:
+    return _read(spark, path, ARXIV_DDL, "arxiv", ("doi", "arxiv_id"), lines, first)
 
 
-def read_wos(spark: SparkSession, path: str) -> DataFrame:
-    return _members(spark, path, "hits", WOS_DDL)
+def read_biorxiv(spark: SparkSession, path: str, lines: bool = False, first: int = 0) -> DataFrame:
+    return _read(spark, path, BIORXIV_DDL, "biorxiv", ("doi",), lines, first, "collection")
+
+
+def read_semantic_scholar(spark: SparkSession, path: str, lines: bool = False, first: int = 0) -> DataFrame:
+    return _read(spark, path, SEMANTIC_DDL, "semantic_scholar", ("paperId",), lines, first, "data")
+
+
+def read_wos(spark: SparkSession, path: str, lines: bool = False, first: int = 0) -> DataFrame:
+    return _read(spark, path, WOS_DDL, "wos", ("uid",), lines, first, "hits")
+
+
+def read_checked(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of files with a JSON record a line: ``rejects`` (file, text) are the lines that are none."""
+    rows = spark.read.schema(f"{ddl}, _corrupt_record string").json(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    rows = materialize(rows, "checked")
+    bad = F.col("_corrupt_record").isNotNull()
+    return rows.where(~bad).drop("_corrupt_record", "_file"), rows.where(bad).select(F.col("_file").alias("file"), F.col("_corrupt_record").alias("text"))
+
+
+def in_sequence(sources: list[DataFrame]) -> DataFrame:
+    """The unified records of several sources under one another, ``ord`` going on from one to the next."""
+    out, after = None, 0
+    for records in sources:
+        records = records.withColumn("ord", F.col("ord") + after)
+        out = records if out is None else out.unionByName(records)
+        after = (records.agg(F.max("ord")).first()[0] or after - 1) + 1
+    return out
 
 
 def _unified(raw: DataFrame, source: str, **columns: Column) -> DataFrame:
@@ -71,11 +120,11 @@ def _unified(raw: DataFrame, source: str, **columns: Column) -> DataFrame:
     from biblio_spark.functions.text import col as as_col
 
     order = as_col("ord").cast("long") if "ord" in raw.columns else F.lit(None).cast("long")
-    values = {"ord": order, "record_id": order.cast("string")}
+    values = {"ord": order, "record_id": F.col("record_id") if "record_id" in raw.columns else order.cast("string")}
     out = []
     for name, kind in RECORD.items():
         if name == "source_specific":
-            payload = F.to_json(F.struct(*(c for c in raw.columns if c != "ord")))
+            payload = F.to_json(F.struct(*(c for c in raw.columns if c not in ("ord", "record_id"))))
             value = struct_of(SOURCE, source=F.lit(source), raw=payload)
         elif name in columns:
             value = columns[name]

@@ -128,3 +128,44 @@ def test_empty_tables(spark):
     none = records(spark, [])
     assert dedup.dedup_by_identifier(none).count() == 0
     assert merge.merge_records(none.withColumn("owner_id", F.lit(1))).count() == 0
+
+
+def test_long_chains_by_rounds_and_in_one_task(spark):
+    """Records 1-2, 2-3, 3-4, ... that share keys pairwise, and random keys, against the sequential rule."""
+    import random
+
+    from biblio_spark.operators.dedup import first_seen
+
+    rng = random.Random(4)
+    pairs = [(n, f"k{n + s}") for n in range(60) for s in (0, 1)] + [(100 + rng.randint(0, 80), f"r{rng.randint(0, 60)}") for _ in range(200)]
+    seen, want = set(), {}
+    for n in sorted({n for n, _ in pairs}):
+        keys = {k for m, k in pairs if m == n}
+        want[n] = not (keys & seen)
+        seen |= keys if want[n] else set()
+    shared = {k for k in {k for _, k in pairs} if len({n for n, x in pairs if x == k}) > 1}
+    want = {n: kept for n, kept in want.items() if any(m == n and k in shared for m, k in pairs)}
+    keys = spark.createDataFrame(pairs, "ord long, key string")
+    for small in (10**6, 60, 0):
+        assert {r["ord"]: r["kept"] for r in first_seen(keys, small).collect()} == want
+    assert first_seen(keys.limit(0)).count() == 0
+
+
+def test_common_characters_bound_the_ratio(spark):
+    """No pair that reaches a ratio is left out by its profile."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from biblio_spark.functions.similarity import ratio
+    from biblio_spark.operators.fuzzy import may_match, profile
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdé xyz09ß") for _ in range(rng.randint(1, 30)))
+        b = "".join(c if rng.random() < 0.85 else rng.choice("abqé ") for c in a)
+        rows.append((a, b, ratio(a, b)))
+    df = spark.createDataFrame(rows, "a string, b string, r double").select("*", F.length("a").alias("n"), F.length("b").alias("m"), profile("a").alias("p"), profile("b").alias("q"))
+    out = df.select("r", may_match("p", "n", "q", "m", 0.85).alias("may")).collect()
+    assert all(r["may"] for r in out if r["r"] >= 0.85) and not all(r["may"] for r in out)
