@@ -180,9 +180,11 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     keeper = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("k")
     rows = found.join(ids, "fp").groupBy("component", "id", "h").agg(F.count("*").alias("copies"))
     rows = materialize(rows, "rows")
-    keepers = rows.groupBy("component").agg(keeper).select("component", F.col("k.id").alias("kid"), F.col("k.h").alias("kh"))
+    # written, so that the join below has exchanges of its own, which Spark splits where a component is hot
+    keepers = materialize(rows.groupBy("component").agg(keeper).select("component", F.col("k.id").alias("kid"), F.col("k.h").alias("kh")), "keepers")
     marked = rows.join(keepers, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")))
     gone = materialize(marked.where("NOT stays OR copies > 1").select("id", F.col("h").alias("_h"), "stays"), "gone")
+    release(rows, keepers, found, ids)
     own = docs.withColumn("_text_hash", F.xxhash64(F.lit("text"), docs[text_column].cast("string")))
     same = own[f"`{id_column}`"].eqNullSafe(gone["id"]) & (own["_text_hash"] == gone["_h"])
     kept = own.join(gone, same, "left_anti")
