@@ -99,7 +99,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_words")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +119,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL7 = """
+WITH q AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, url FROM pages),
+o AS (SELECT payload_digest, max(page_id) AS top FROM q WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, q.payload_digest, CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to, url, '2000-01-01T00:00:00Z' AS warc_date
+FROM q LEFT JOIN o ON o.payload_digest = q.payload_digest AND payload_bytes >= 1000
+"""
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_files.write_token_files(read_table(spark, sf_dir, "documents"), path)
@@ -142,4 +151,4 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op1_kdtree_topk": SQL1, "op4_decontaminate": SQL4}
+ORACLE_SQL = {"op1_kdtree_topk": SQL1, "op4_decontaminate": SQL4, "op7_warc": SQL7}

@@ -86,6 +86,16 @@ def test_one_document_of_each_group_stays(spark, clashing):
     assert (False, 5) not in ids and (False, 4) in ids and (False, 2) not in ids and (True, 0) in ids
 
 
+def test_keeper_is_chosen_by_row(spark):
+    """Copies without ids, one id with two texts, and rows that agree in id and text."""
+    a, b = "one two three four five six", "other words stand in this text here"
+    rows = [(None, a, 1), (None, a, 2), (7, b, 3), (7, a, 4), (7, a, 5), (9, b, 6), (None, "alone it is and short", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h int")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs).collect())
+    assert kept == sorted([(7, a), (7, b), (0, "alone it is and short")])
+    assert simhash.keep_one(docs).columns == docs.columns
+
+
 def brute_repeats(texts, length=400):
     seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
@@ -120,16 +130,17 @@ def test_repeats_match_brute_force(spark, chunk, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
-def test_runs_are_the_same_in_any_chunks(monkeypatch):
+@pytest.mark.parametrize("unit", [repeats.BYTES, repeats.WORDS])
+def test_runs_are_the_same_in_any_chunks(unit, monkeypatch):
     import pyarrow as pa
 
     def marks(chunk):
         monkeypatch.setattr(repeats, "CHUNK", chunk)
         batch = pa.RecordBatch.from_pydict({"text": [t or "" for t in repeat_texts()]})
         out = set()
-        for part, rows, bounds, shift in repeats.pieces(batch):
+        for part, rows, bounds, shift in repeats.pieces(batch, unit):
             hashes = repeats.RollingHash(part)
-            text, begin, count, mark = repeats.phrases(part, bounds, hashes)
+            text, begin, count, mark = repeats.phrases(part, bounds, hashes, unit)
             for t, b, n, m in zip(text, begin, count, mark, strict=True):
                 place = b - bounds[t] + shift[t]
                 out |= {(rows[t], place + k, m - b - k) for k in range(n)}
@@ -138,6 +149,44 @@ def test_runs_are_the_same_in_any_chunks(monkeypatch):
     assert marks(1_000_000) == marks(300)
 
 
+def brute_passages(rows, length=50):
+    """(passages, words in them) of each (id, text): words in windows that a row with another id or text holds."""
+    import re
+
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    holders = {}
+    for row, w in zip(rows, words, strict=True):
+        for k in range(len(w) - length + 1):
+            holders.setdefault(tuple(w[k : k + length]), set()).add(row)
+    out = []
+    for w in words:
+        mark = bytearray(len(w))
+        for k in range(len(w) - length + 1):
+            if len(holders[tuple(w[k : k + length])]) > 1:
+                mark[k : k + length] = b"\1" * length
+        out.append(((b"\0" + bytes(mark)).count(b"\0\1"), sum(mark)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1_000_000, 90])
+def test_passages_match_brute_force(spark, chunk, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    rng = random.Random(12)
+    fresh = lambda n: [rng.choice(["of", "Tion", "é", "the", "ing", "x1", "an", "ou", "re"]) + rng.choice(["", "a", "ed", "er"]) for _ in range(n)]
+    passage = fresh(120)
+    edited = list(passage)
+    edited[60] = "other"
+    some = [
+        fresh(70) + passage + fresh(30), fresh(9) + edited, passage[:51] + fresh(20), passage[:50], passage[:49] + fresh(60), fresh(40) + passage[20:75],
+        ["a"] * 200, ["a"] * 60, ["b"] * 300, fresh(55) * 2, fresh(30), [], fresh(25) + [w.upper() for w in passage if w.isascii()] + fresh(9),
+    ]
+    rows = [(k, rng.choice([" ", ", ", "\n"]).join(w)) for k, w in enumerate(some)]
+    rows += [(3, rows[3][1]), (50, None), (51, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = repeats.remove_repeats(docs).select("doc_id", "n_passages", "passage_words").collect()
+    assert sorted(tuple(r) for r in out) == sorted((i, *found) for (i, _), found in zip(rows, brute_passages(rows), strict=True))
+
+
 def test_repeats_edges(spark, clashing, empty):
     out = repeats.remove_repeats(clashing).collect()
     assert len(out) == clashing.count()
@@ -167,11 +216,33 @@ def test_top_k_matches_brute_force(spark):
             scored = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:7]
             want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
     assert got == sorted(want)
+    for rounds in (1, 2):
+        found = kdtree.top_k(kdtree.quantized(df), F.col("vec_id") % 20 == 0, k=7, shard=40, block=4, rounds=rounds).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(want)
+    none = kdtree.quantized(spark.createDataFrame(odd[:5], "vec_id long, embedding array<double>"))
+    assert kdtree.top_k(none.where("size(v) > 0"), F.col("vec_id") % 20 == 0).count() == 0
     few = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<double>")
     assert kdtree.top_k(kdtree.quantized(few), F.col("vec_id") % 20 == 0).count() == 2
     assert kdtree.top_k(kdtree.quantized(few.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_tree_search_prunes_and_stays_exact():
+    rng = np.random.default_rng(7)
+    centres = rng.integers(-60, 60, (12, 8))
+    vectors = centres[rng.integers(0, 12, 3000)] + rng.integers(-3, 4, (3000, 8))
+    ids = rng.permutation(10_000)[:3000].astype(np.int64)
+    tree = kdtree.KDTree(ids, vectors, leaf=32)
+    assert (np.diff(tree.starts) <= 32).all() and sorted(tree.ids) == sorted(ids)
+    own, queries = ids[:50], vectors[:50]
+    q, others, scores = tree.search(own, queries, 5, np.full(50, -(2**62)))
+    for n in range(50):
+        want = sorted((-int(queries[n] @ v), int(i)) for v, i in zip(vectors, ids, strict=True) if i != own[n])[:5]
+        assert [(-s, i) for s, i in zip(scores[q == n].tolist(), others[q == n].tolist(), strict=True)] == want
+    huge = vectors.astype(np.int64) * 2**22
+    q2, others2, _ = kdtree.KDTree(ids, huge, leaf=32).search(own, huge[:50], 5, np.full(50, -(2**62)))
+    assert (q2 == q).all() and (others2 == others).all()
+
+
 def pages_rows():
     big, small = "é" * 600, "x" * 999
     return [
@@ -234,4 +305,42 @@ def test_arc_headers_of_both_versions():
 def test_record_ids_hold_keys():
     for key in (0, 1, -1, 2**63 - 1, -(2**63), 123456789012345):
         assert warc.record_key(warc.record_id(key)) == key
-    assert warc.record_key(warc.record_id(None, "ab" * 20)) is None
+    assert warc.record_key(warc.place_id("a.arc", 0, "u", "2000")) is None
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_arc_files_of_many_records(spark, tmp_path, zipped):
+    """Streams with a version block and several records, equal payloads within a file and over files."""
+    same, small = b"<p>" * 800, b"short"
+    pack = warc.gzip_member if zipped else bytes
+    for name, version, bodies in (("a", 1, [same, small, same, b"x" * 1500]), ("b", 2, [same, small, b""])):
+        parts = [warc.arc_version_block(version), *(warc.arc_record(f"http://{name}/{n % 2}", body, version, f"2001010100000{n % 2}") for n, body in enumerate(bodies))]
+        (tmp_path / f"{name}.arc{'.gz' if zipped else ''}").write_bytes(b"".join(pack(p) for p in parts))
+    path = new_path(spark, "warc")
+    warc.convert_arc_files(spark, f"file://{tmp_path}", path)
+    back = warc.read_warc(spark, path).collect()
+    assert len(back) == 7 and len({r["record_id"] for r in back}) == 7
+    copies = [r for r in back if r["payload_digest"] == hashlib.sha1(same).hexdigest()]
+    original = [r for r in copies if r["record_type"] == "response"]
+    assert len(copies) == 3 and len(original) == 1
+    assert {r["refers_to_id"] for r in copies if r["record_type"] == "revisit"} == {original[0]["record_id"]}
+    assert all(r["record_type"] == "response" for r in back if r not in copies)
+    again = new_path(spark, "warc")
+    warc.convert_arc_files(spark, f"file://{tmp_path}", again)
+    assert {r["record_id"] for r in warc.read_warc(spark, again).collect()} == {r["record_id"] for r in back}
+
+
+def test_long_pages_and_files_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh<>") for _ in range(3_000_000))
+    pages = spark.createDataFrame([(1, "u", long), *((k, "u", str(k) * 500) for k in range(2, 30))], "page_id long, url string, html string")
+    path = new_path(spark, "warc")
+    warc.convert_pages(pages, path)
+    back = {r["key"]: r["payload_bytes"] for r in warc.read_warc(spark, path).collect()}
+    assert len(back) == 29 and back[1] == 3_000_000
+
+
+def test_cut_version_block_is_refused():
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(warc.arc_version_block(1)[:-20]))

@@ -133,3 +133,22 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path, corpus):
             assert all(now[i] == was[i] for i in now if name != "secrets")
     assert decontaminate.COVERAGE == 20
     assert corpus_pipeline.run(spark, folder).count() == state.count()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_take_odd_rows(spark, tmp_path, clashing, corpus, empty):
+    """Null and repeated ids, null, empty and very long texts, equal rows, columns with names that operators use inside."""
+    import corpus_pipeline
+
+    docs, labels = corpus
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "w1 w2 w3"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    state = clashing.limit(0) if empty else clashing
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, state, str(tmp_path))
+        if name != "packing":
+            assert out.columns == clashing.columns
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        state = spark.read.parquet(path)
+        assert (state.count() == 0) is empty
