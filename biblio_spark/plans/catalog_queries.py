@@ -37,10 +37,10 @@ def q8(spark, d):
 
 
 @query("q9_lookup", WITH + """
-SELECT article_id, identifier_type, identifier_value FROM article_identifiers WHERE identifier_type = 'doi' AND identifier_value IN (SELECT '10.1000/' || o_orderkey FROM orders WHERE o_orderkey % 100 = 4)""")
+SELECT article_id, identifier_type, identifier_value FROM article_identifiers WHERE identifier_type = 'doi' AND identifier_value IN (SELECT '10.1000/' || o_orderkey FROM orders)""")
 def q9(spark, d):
     c = catalog(spark, d)
-    wanted = c["articles"].where("article_id % 100 = 4").select(F.concat(F.lit("https://doi.org/10.1000/"), F.col("article_id").cast("string")).alias("value"))
+    wanted = c["articles"].select(F.concat(F.lit("https://doi.org/10.1000/"), F.col("article_id").cast("string")).alias("value"))
     return search.lookup(c["article_identifiers"], "doi", wanted)
 
 

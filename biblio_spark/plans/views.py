@@ -171,10 +171,10 @@ citations AS (SELECT l_orderkey AS citing_article_id, CASE WHEN l_linenumber <>
 
 
 def id_list(records: DataFrame) -> DataFrame:
-    """Every 25th record as (row_id, doi, arxiv_id, pmid, url), and one unknown id for each."""
+    """Every record as (row_id, doi, arxiv_id, pmid, url), and one unknown id for each."""
     from biblio_spark.functions.identifiers import get_identifier
 
-    known = records.where("ord % 25 = 0").select(
+    known = records.select(
         F.col("ord").alias("row_id"), *(get_identifier("identifiers", k).alias(k) for k in ("doi", "arxiv_id", "pmid")), F.col("article.open_access_url").alias("url")
     )
     none = F.lit(None).cast("string")
@@ -184,7 +184,7 @@ def id_list(records: DataFrame) -> DataFrame:
 
 ID_LIST = """
 id_list AS (
-  SELECT ord AS row_id, doi, arxiv_id, pmid, open_access_url AS url FROM lit WHERE ord % 25 = 0
-  UNION ALL SELECT -ord - 1, '10.9999/' || ord, NULL, NULL, NULL FROM lit WHERE ord % 25 = 0
+  SELECT ord AS row_id, doi, arxiv_id, pmid, open_access_url AS url FROM lit
+  UNION ALL SELECT -ord - 1, '10.9999/' || ord, NULL, NULL, NULL FROM lit
 )
 """
