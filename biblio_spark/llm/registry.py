@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from biblio_spark.llm import decontaminate, kdtree, license_scan, packing, quality, repeats, secret_scan, simhash, token_files, warc
+from biblio_spark.llm import alignment, clusters, decontaminate, kdtree, license_scan, multiset, packing, quality, repeats, secret_scan, simhash, token_files, warc
 from biblio_spark.storage import new_path, read_table
 
 
@@ -134,6 +134,54 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.centroid_clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def _round11(n: int, last: bool = False) -> str:
+    """One assignment to the centroids of round ``n`` (c{n}: num, v) and, unless it is the last, the centroids after it."""
+    assign = f"""
+a{n} AS (
+  SELECT vec_id, v, num, dist FROM (
+    SELECT vec_id, x.v, num, dist, row_number() OVER (PARTITION BY row ORDER BY dist, num) AS r
+    FROM (SELECT row, vec_id, q.v, num, (list_inner_product(q.v, q.v) - 2 * list_inner_product(q.v, c.v) + list_inner_product(c.v, c.v))::BIGINT AS dist FROM q, c{n} c) x
+  ) WHERE r = 1
+)"""
+    if last:
+        return assign
+    return assign + f""",
+s{n} AS (SELECT num, p, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS k FROM (SELECT num, unnest(v)::BIGINT AS x, unnest(range(64)) AS p FROM a{n}) GROUP BY num, p),
+m{n} AS (SELECT num, list(((s - ((s % k) + k) % k) / k)::DOUBLE ORDER BY p) AS v FROM s{n} GROUP BY num),
+c{n + 1} AS (SELECT c.num, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN m{n} m USING (num))"""
+
+
+SQL11 = f"""
+WITH q AS (
+  SELECT row_number() OVER () AS row, vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len([1 for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64
+),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS num, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM q ORDER BY h LIMIT 16)),
+{_round11(0)},
+{_round11(1)},
+{_round11(2)},
+{_round11(3, last=True)}
+SELECT vec_id, num::INTEGER AS cluster, dist AS distance, (sum(dist) OVER (PARTITION BY num))::BIGINT AS cluster_inertia, (sum(dist) OVER ())::BIGINT AS inertia,
+       sha256((SELECT array_to_string([x::BIGINT for x in c3.v], ',') FROM c3 WHERE c3.num = a3.num)) AS centroid_sha256
+FROM a3
+"""
+
+
+def op12_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multiset.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+    text = {"fingerprint": "fp", "edited_fingerprint": "edited_fp"}
+    return found.select("doc_id", "n_chars", "edited_sha256", *(multiset.as_text(F.col(c)).alias(n) for n, c in text.items()), "near_edited", "near_next")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures, _ = alignment.align_documents(read_table(spark, sf_dir, "documents"))
+    return measures
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -149,6 +197,9 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op8_token_files": op8_token_files,
     "op10_license_scan": op10_license_scan,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_multiset_hash": op12_multiset_hash,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op1_kdtree_topk": SQL1, "op4_decontaminate": SQL4, "op7_warc": SQL7}
+ORACLE_SQL = {"op1_kdtree_topk": SQL1, "op4_decontaminate": SQL4, "op7_warc": SQL7, "op11_centroid_clusters": SQL11}

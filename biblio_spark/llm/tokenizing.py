@@ -180,17 +180,19 @@ class _Table:
 
 
 class WordEncoder:
-    """ids of texts, equal to those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+    """ids of texts, equal to those of ``Tokenizer.encode(text, add_special_tokens=False)``; with ``plain`` the strings of special tokens
+    inside a text are ordinary text.
 
     For byte-level BPE files with the usual pattern (``public_tokenizers`` byte_bpe_*.json) each different pre-token goes to
     the library once while it is remembered; at ``limit`` pre-tokens all are forgotten. Other files take whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 1 << 20, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         own = json.loads(self.tokenizer.to_str())
         cutter = own.get("pre_tokenizer") or {}
         self.by_words = (
@@ -321,14 +323,14 @@ class WordEncoder:
         return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, plain: bool = False) -> WordEncoder:
     """The encoder of this Python worker for a tokenizer file; it outlives single tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = WordEncoder(path, plain=plain)
+    return _ENCODERS[path, plain]
 
 
 def default_tokenizer() -> str:
