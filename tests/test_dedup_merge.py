@@ -130,7 +130,7 @@ def test_empty_tables(spark):
     assert merge.merge_records(none.withColumn("owner_id", F.lit(1))).count() == 0
 
 
-def test_long_chains_by_rounds_and_in_one_task(spark):
+def test_long_chains_by_rounds_and_in_groups(spark):
     """Records 1-2, 2-3, 3-4, ... that share keys pairwise, and random keys, against the sequential rule."""
     import random
 
@@ -146,19 +146,19 @@ def test_long_chains_by_rounds_and_in_one_task(spark):
     shared = {k for k in {k for _, k in pairs} if len({n for n, x in pairs if x == k}) > 1}
     want = {n: kept for n, kept in want.items() if any(m == n and k in shared for m, k in pairs)}
     keys = spark.createDataFrame(pairs, "ord long, key string")
-    for small in (10**6, 60, 0):
-        assert {r["ord"]: r["kept"] for r in first_seen(keys, small).collect()} == want
+    for group, rounds in ((10**6, 3), (10**6, 0), (12, 1), (0, 3)):
+        assert {r["ord"]: r["kept"] for r in first_seen(keys, group, rounds).collect()} == want
     assert first_seen(keys.limit(0)).count() == 0
 
 
 def test_common_characters_bound_the_ratio(spark):
-    """No pair that reaches a ratio is left out by its profile."""
+    """No pair that reaches a ratio is left out by its characters."""
     import random
 
     from pyspark.sql import functions as F
 
     from biblio_spark.functions.similarity import ratio
-    from biblio_spark.operators.fuzzy import may_match, profile
+    from biblio_spark.operators.fuzzy import counts, may_match
 
     rng = random.Random(9)
     rows = []
@@ -166,6 +166,93 @@ def test_common_characters_bound_the_ratio(spark):
         a = "".join(rng.choice("abcdé xyz09ß") for _ in range(rng.randint(1, 30)))
         b = "".join(c if rng.random() < 0.85 else rng.choice("abqé ") for c in a)
         rows.append((a, b, ratio(a, b)))
-    df = spark.createDataFrame(rows, "a string, b string, r double").select("*", F.length("a").alias("n"), F.length("b").alias("m"), profile("a").alias("p"), profile("b").alias("q"))
-    out = df.select("r", may_match("p", "n", "q", "m", 0.85).alias("may")).collect()
+    df = spark.createDataFrame(rows, "a string, b string, r double").select("*", F.length("a").alias("n"), F.length("b").alias("m"))
+    other = [c.alias(f"q{k}") for k, c in enumerate(counts("b", "m"))]
+    out = df.select("r", "n", "m", *counts("a", "n"), *other).select("r", may_match("n", "m", 0.85).alias("may")).collect()
     assert all(r["may"] for r in out if r["r"] >= 0.85) and not all(r["may"] for r in out)
+
+
+def test_ratio_from_is_the_ratio_or_none():
+    """Long texts, in which frequent characters start no block, and very long ones too."""
+    import time
+
+    from biblio_spark.functions.similarity import common_length, ratio_from
+
+    rng = random.Random(2)
+    made = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for letters, most in (("ab", 12), ("abcdefgh ", 60), ("abcdefghijklmnopqrstuvwxyz éß", 700)):
+        for _ in range(120):
+            a = made(rng.randint(0, most), letters)
+            b = "".join(c if rng.random() < rng.choice((0.5, 0.9, 0.99)) else rng.choice(letters + "#") for c in a) if rng.random() < 0.7 else made(rng.randint(0, most), letters)
+            for least in (0.8, 0.85, 0.95):
+                r = ratio(a, b)
+                assert ratio_from(a, b, least) == (r if r >= least else None)
+            matched = common_length(a, b)
+            assert 2 * matched >= ratio(a, b) * (len(a) + len(b)) - 1e-9 and (matched == len(a)) >= (a == b)
+    long = [made(45_000, "abcdefghijklmnopqrstuvwxyz ") for _ in range(2)]
+    began = time.time()
+    assert ratio_from(*long, 0.85) is None and time.time() - began < 5
+
+
+def brute_pairs(plain):
+    """(later, earlier) of different (title, authors) by all pairs."""
+    out = set()
+    for k, (o, t, a) in enumerate(plain):
+        for p, u, b in plain[:k]:
+            if t and u and (t, a) != (u, b):
+                q = ratio(t, u)
+                if q > 0.95 if not a or not b else q >= 0.85 and author_ratio(a, b) >= 0.7:
+                    out.add((o, p))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fuzzy_pairs_are_all_pairs(spark, seed):
+    """Titles of 1 to 260 characters, copies with a few changes, names that resemble each other or not, a sixth without authors."""
+    rng = random.Random(seed)
+    words = ["deep", "learn", "protein", "etude", "cell", "graph", "neural", "study", "x", "quark", "zeta"]
+    people = ["ann lee", "bob ray", "bob rayy", "cy ng", "dora m", "ev", "evi", "bo"]
+    plain = []
+    for o in range(220):
+        title = " ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 4, 9, 20, 45))))
+        if plain and rng.random() < 0.6:
+            title = list(rng.choice(plain)[1])
+            for _ in range(rng.randint(0, 1 + len(title) // 12)):
+                title[rng.randrange(len(title))] = rng.choice("bcxq")
+            title = " ".join("".join(title).split())
+        plain.append((o, title, sorted(rng.sample(people, rng.choice((0, 1, 1, 2, 2, 3))))))
+    first = {}
+    for o, t, a in plain:
+        first.setdefault((t, tuple(a)), (o, t, a))
+    want = brute_pairs(list(first.values()))
+    got = {(r["ord"], r["earlier"]) for r in fuzzy.fuzzy_pairs(records(spark, [record(*p) for p in plain])).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_merging_one_large_group_is_linear(spark):
+    """Groups of equal identifiers and of distinct ones, with one record or many; the result has distinct elements in order."""
+    import time
+
+    from biblio_spark.schema import IDENTIFIER, PUBLICATION_TYPE, RECORD, SOURCE, struct_of
+
+    def group(n):
+        o = F.col("id")
+        ids = F.array(*(struct_of(IDENTIFIER, identifier_type=F.lit(k), identifier_value=v.cast("string"), is_primary=F.lit(False)) for k, v in (("doi", o % 50), ("pmid", o % 7), ("doi", o % 3))))
+        own = {"ord": o, "identifiers": ids, "publication_types": F.array(struct_of(PUBLICATION_TYPE, type_name=F.concat(F.lit("T"), (o % 4).cast("string")))), "source_specific": struct_of(SOURCE, source=F.when(o % 5 > 0, F.concat(F.lit("s"), (o % 5).cast("string"))))}
+        return spark.range(n).select(*(own.get(c, F.lit(None)).cast(k).alias(c) for c, k in RECORD.items())).withColumn("owner_id", F.lit(0).cast("long"))
+
+    times = {}
+    for n in (6000, 100_000):
+        rows = group(n)
+        for function in (merge.merge_group, merge.merge_records):
+            began = time.time()
+            found = function(rows).collect()
+            times[function, n] = time.time() - began
+            assert len(found) == 1 and found[0]["merge_count"] == n
+            values = [(i["identifier_type"], i["identifier_value"]) for i in found[0]["identifiers"]]
+            seen = list(dict.fromkeys((k, str(o % m)) for o in range(60) for k, m in (("doi", 50), ("pmid", 7), ("doi", 3))))
+            assert values == seen
+            assert found[0]["merged_from_sources"] == (["s1", "s2", "s3", "s4"] if function is merge.merge_group else ["unknown", "s1", "s2", "s3", "s4"])
+        assert dict(found[0]["source_counts"]) == {s: n // 5 for s in ("unknown", "s1", "s2", "s3", "s4")}
+        assert [t["type_name"] for t in found[0]["publication_types"]] == ["T0", "T1", "T2", "T3"]
+    assert all(times[f, 100_000] < 20 * times[f, 6000] + 5 for f in (merge.merge_group, merge.merge_records))
