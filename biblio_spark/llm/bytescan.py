@@ -20,6 +20,14 @@ WORD = np.zeros(256, dtype=bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = WORD[0x80:] = True
 
 
+def free_prefix(*names: str) -> str:
+    """Underscores with which none of the names begins: columns of an operator's own under it never meet those of the caller."""
+    prefix = "_"
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """The column as strings; null is the empty text."""
     if pa.types.is_null(column.type):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblio_spark.llm.bytescan import LOWER, WORD, chunks, flat, offsets_in_characters, word_bounds
+from biblio_spark.llm.bytescan import LOWER, WORD, chunks, flat, free_prefix, offsets_in_characters, word_bounds
 from biblio_spark.storage import materialize, release
 
 #: Words of a window; an item with fewer is one window.
@@ -253,13 +253,14 @@ def _structs(spans: list[list]) -> pa.Array:
 
 
 def _marked(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, item_id: str, item_text: str, window: int, max_words: int) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_n_words``, ``_n_hit``, ``_items`` and ``_spans`` after them."""
+    """All rows and columns of ``docs`` with n_words, n_hit, items and spans after them, each under ``free_prefix`` of its columns."""
     spark = docs.sparkSession
+    own = free_prefix(*docs.columns)
     kind, ddl = (pa.string(), "string") if items.schema[item_id].dataType.simpleString() == "string" else (pa.int64(), "long")
     names = docs.columns
     at = names.index(text_column)
     label = uuid.uuid4().hex
-    extra = f"_n_words long, _n_hit long, _items array<{ddl}>, _spans {_SPAN_DDL}"
+    extra = f"{own}n_words long, {own}n_hit long, {own}items array<{ddl}>, {own}spans {_SPAN_DDL}"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + extra
 
     def matcher(shards, tag: str):
@@ -276,7 +277,7 @@ def _marked(docs: DataFrame, items: DataFrame, id_column: str, text_column: str,
                         _structs(spans),
                     ]
                     columns = [c.slice(first, end - first) for c in batch.columns]
-                    yield pa.RecordBatch.from_arrays([*columns, *found], names=[*names, "_n_words", "_n_hit", "_items", "_spans"])
+                    yield pa.RecordBatch.from_arrays([*columns, *found], names=[*names, f"{own}n_words", f"{own}n_hit", f"{own}items", f"{own}spans"])
 
         return match
 
@@ -288,14 +289,14 @@ def _marked(docs: DataFrame, items: DataFrame, id_column: str, text_column: str,
         return docs.mapInArrow(matcher(spark.sparkContext.broadcast(first), label), schema)
 
     # several passes: only rows with hits are written, and joined by id and text
-    key = [F.xxhash64(F.col(f"`{text_column}`").cast("string")).alias("_k1"), F.md5(F.col(f"`{text_column}`").cast("string").cast("binary")).alias("_k2")]
+    key = [F.xxhash64(F.col(f"`{text_column}`").cast("string")).alias(f"{own}k1"), F.md5(F.col(f"`{text_column}`").cast("string").cast("binary")).alias(f"{own}k2")]
     hits = []
     for n, group in enumerate(chain([first, second], groups)):
         shards = spark.sparkContext.broadcast(group)
-        marked = docs.mapInArrow(matcher(shards, f"{label}-{n}"), schema).where("_n_hit > 0")
-        hits.append(materialize(marked.select(F.col(f"`{id_column}`").alias("_id"), *key, "_items", "_spans").distinct(), "hits"))
+        marked = docs.mapInArrow(matcher(shards, f"{label}-{n}"), schema).where(f"{own}n_hit > 0")
+        hits.append(materialize(marked.select(F.col(f"`{id_column}`").alias(f"{own}id"), *key, f"{own}items", f"{own}spans").distinct(), "hits"))
         shards.unpersist()
-    found = reduce(DataFrame.unionByName, hits).groupBy("_id", "_k1", "_k2").agg(F.flatten(F.collect_list("_items")).alias("i"), F.flatten(F.collect_list("_spans")).alias("s"))
+    found = reduce(DataFrame.unionByName, hits).groupBy(f"{own}id", f"{own}k1", f"{own}k2").agg(F.flatten(F.collect_list(f"{own}items")).alias("i"), F.flatten(F.collect_list(f"{own}spans")).alias("s"))
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,17 +304,17 @@ def _marked(docs: DataFrame, items: DataFrame, id_column: str, text_column: str,
             spans = [_merge([(s["first_word"], s["end_word"], s["start"], s["end"]) for s in x]) for x in batch.column("s").to_pylist()]
             of = [_by_text(set(x)) for x in batch.column("i").to_pylist()]
             counts = pa.array([sum(s[1] - s[0] for s in x) for x in spans], type=pa.int64())
-            columns = [*(batch.column(c) for c in ("_id", "_k1", "_k2")), counts, pa.array(of, type=pa.list_(kind)), _structs(spans)]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_k1", "_k2", "_n_hit", "_items", "_spans"])
+            columns = [*(batch.column(c) for c in (f"{own}id", f"{own}k1", f"{own}k2")), counts, pa.array(of, type=pa.list_(kind)), _structs(spans)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"{own}id", f"{own}k1", f"{own}k2", f"{own}n_hit", f"{own}items", f"{own}spans"])
 
-    found = materialize(found.mapInArrow(merge, f"_id {id_type}, _k1 long, _k2 string, _n_hit long, _items array<{ddl}>, _spans {_SPAN_DDL}"), "hits")
+    found = materialize(found.mapInArrow(merge, f"{own}id {id_type}, {own}k1 long, {own}k2 string, {own}n_hit long, {own}items array<{ddl}>, {own}spans {_SPAN_DDL}"), "hits")
     release(*hits)
     nothing = spark.sparkContext.broadcast([[]])
-    counted = docs.mapInArrow(matcher(nothing, f"{label}-none"), schema).drop("_n_hit", "_items", "_spans").withColumns({"_k1": key[0], "_k2": key[1]})
-    same = counted[f"`{id_column}`"].eqNullSafe(found["_id"]) & counted["_k1"].eqNullSafe(found["_k1"]) & counted["_k2"].eqNullSafe(found["_k2"])
+    counted = docs.mapInArrow(matcher(nothing, f"{label}-none"), schema).drop(f"{own}n_hit", f"{own}items", f"{own}spans").withColumns({f"{own}k1": key[0], f"{own}k2": key[1]})
+    same = counted[f"`{id_column}`"].eqNullSafe(found[f"{own}id"]) & counted[f"{own}k1"].eqNullSafe(found[f"{own}k1"]) & counted[f"{own}k2"].eqNullSafe(found[f"{own}k2"])
     out = counted.join(found, same, "left")
-    none = {"_n_hit": F.coalesce("_n_hit", F.lit(0).cast("long")), "_items": F.coalesce("_items", F.array().cast(f"array<{ddl}>")), "_spans": F.coalesce("_spans", F.array().cast(_SPAN_DDL))}
-    return out.select(*(counted[f"`{n}`"] for n in names), "_n_words", *(v.alias(k) for k, v in none.items()))
+    none = {f"{own}n_hit": F.coalesce(f"{own}n_hit", F.lit(0).cast("long")), f"{own}items": F.coalesce(f"{own}items", F.array().cast(f"array<{ddl}>")), f"{own}spans": F.coalesce(f"{own}spans", F.array().cast(_SPAN_DDL))}
+    return out.select(*(counted[f"`{n}`"] for n in names), f"{own}n_words", *(v.alias(k) for k, v in none.items()))
 
 
 def _groups(shards: Iterator[list], size: int) -> Iterator[list]:
@@ -358,7 +359,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
     """The rows of ``docs`` that are not contaminated, texts and all columns as they are. Each row is judged by its own text, with or
     without an id and whether its id is repeated or not; null and empty texts stay."""
     found = _marked(docs, items, id_column, text_column, "item_id", "text", WINDOW, MAX_WORDS)
-    return found.where(~is_contaminated(prefix="_")).select(*(F.col(f"`{n}`") for n in docs.columns))
+    return found.where(~is_contaminated(prefix=free_prefix(*docs.columns))).select(*(F.col(f"`{n}`") for n in docs.columns))
 
 
 def remove_contamination(
@@ -370,12 +371,12 @@ def remove_contamination(
     the share ``coverage`` of its words, the limit of coverage. Null texts stay null.
     """
     found = _marked(docs, items, id_column, text_column, "item_id", "text", WINDOW, MAX_WORDS)
-    text = F.col(f"`{text_column}`").cast("string")
-    long = F.filter("_spans", lambda s: s["end_word"] - s["first_word"] >= least_words)
+    text, own = F.col(f"`{text_column}`").cast("string"), free_prefix(*docs.columns)
+    long = F.filter(f"{own}spans", lambda s: s["end_word"] - s["first_word"] >= least_words)
     # what stays lies between the end of a span and the start of the next
     left = F.concat(F.array(F.lit(0).cast("long")), F.transform(long, lambda s: s["end"]))
     right = F.concat(F.transform(long, lambda s: s["start"]), F.array(F.length(text).cast("long")))
     kept = F.transform(F.arrays_zip(left.alias("a"), right.alias("b")), lambda p: F.substring(text, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
-    cut = (F.size(long) > 0) & (F.col("_n_hit") >= coverage * F.col("_n_words"))
+    cut = (F.size(long) > 0) & (F.col(f"{own}n_hit") >= coverage * F.col(f"{own}n_words"))
     new = F.when(cut, F.array_join(kept, mark)).otherwise(text)
     return found.select(*((new if n == text_column else F.col(f"`{n}`")).alias(n) for n in docs.columns))

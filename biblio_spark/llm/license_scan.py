@@ -67,7 +67,8 @@ NAMES = {
 }
 _NAMES = sorted(((tuple(k.split()), v) for k, v in NAMES.items()), key=lambda x: -len(x[0]))
 FILLERS = ("the", "terms", "of", "either", "a", "both", "license", "licenses", "its")
-PROSE = 60
+#: Words that a name with its version and what follows it may take.
+AHEAD = 12
 
 
 def tokenize_expression(text: str) -> list[str]:
@@ -97,6 +98,24 @@ def tokenize_expression(text: str) -> list[str]:
 
 def tokenize_notice(words: list[str]) -> list[str]:
     """The same from the words after an announcement: names of licences with their versions, parted by operators."""
+    return _notice(words)[0]
+
+
+def announced(words: str, at: int) -> list[str]:
+    """The tokens of the notice that begins at a place in the words of a text, however long it is: more words are taken until the notice
+    ends before them."""
+    size = 1000
+    while True:
+        whole = at + size >= len(words)
+        part = words[at : at + size].split()
+        tokens, used = _notice(part if whole else part[:-1])
+        if whole or used + AHEAD < len(part):
+            return tokens
+        size *= 4
+
+
+def _notice(words: list[str]) -> tuple[list[str], int]:
+    """(tokens, number of words that were read)."""
     tokens: list[str] = []
     at, operand = 0, True
     while at < len(words):
@@ -124,7 +143,7 @@ def tokenize_notice(words: list[str]) -> list[str]:
             break
     while tokens and tokens[-1] in OPERATORS:
         tokens.pop()
-    return tokens
+    return tokens, at
 
 
 def parse_expression(tokens: list[str]) -> list[str]:
@@ -206,7 +225,7 @@ def scan_text(machine, text: str, words: str) -> tuple:
             labels.add(label)
             rest *= 1 - weight
         elif kind == "announced":
-            parsed.append(tokenize_notice(words[end : end + 16 * PROSE].split()[:PROSE]))
+            parsed.append(announced(words, end))
         else:
             tagged = True
     if tagged:
@@ -257,11 +276,11 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 columns = list(zip(*rows, strict=True))
                 arrays = [batch.column("id").slice(first, end - first)]
                 arrays += [pa.array(list(c), type=t) for c, t in zip(columns, TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", *NAMES])
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", *COLUMNS])
 
     id_type = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(scan, f"id {id_type}, {OUTPUT}").withColumnRenamed("id", id_column)
 
 
-NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "permissive", "score"]
+COLUMNS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "permissive", "score"]
 TYPES = [pa.int64()] * 4 + [pa.list_(pa.string())] * 3 + [pa.bool_(), pa.float64()]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from biblio_spark.llm.bytescan import chunks
+from biblio_spark.llm.bytescan import chunks, free_prefix
 from biblio_spark.llm.tokenizing import default_tokenizer, encoder
 from biblio_spark.storage import materialize
 
@@ -133,10 +133,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id")
     piece finds its place by its rank among the pieces of its length: its number in its share, ordered by id and
     piece, plus the pieces of the shares before. Shares grow in number with the pieces of a length, so a frequent length is
     not one task's work. ``pieces`` is read three times: give a written table. An empty table gives an empty result; null ids
-    and repeated rows are packed one by one, equal rows in any order; other columns are carried along.
+    and repeated rows are packed one by one, equal rows in any order; other columns are
+    carried along, but for a sequence_id and an offset, which are replaced.
     """
     spark = pieces.sparkSession
-    names = pieces.columns
+    names = [n for n in pieces.columns if n.lower() not in ("sequence_id", "offset")]
+    pieces = pieces.select(*(F.col(f"`{n}`") for n in names))
+    mark = free_prefix(*names)
+    own_share, own_number = f"{mark}share", f"{mark}number"
     single = pieces.where(F.col("length") == capacity).withColumns(
         {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
     )
@@ -146,23 +150,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id")
         return single
     wide = {length: min(n, SALTS + n // SHARE_ROWS) for length, n in histogram.items()}
     shares_of = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in sorted(wide.items()) for x in pair)), F.col("length").cast("long"))
-    salted = rest.withColumn("_share", F.pmod(F.xxhash64(id_column, "piece", "start", "ids_crc32"), shares_of))
-    sizes = sorted(tuple(r) for r in salted.groupBy("length", "_share").count().collect())
+    salted = rest.withColumn(own_share, F.pmod(F.xxhash64(id_column, "piece", "start", "ids_crc32"), shares_of))
+    sizes = sorted(tuple(r) for r in salted.groupBy("length", own_share).count().collect())
     before: dict[tuple[int, int], int] = {}
     so_far = dict.fromkeys(histogram, 0)
     for length, share, n in sizes:
         before[length, share] = so_far[length]
         so_far[length] += n
     plan = spark.sparkContext.broadcast((_layout(plan_bins(histogram, capacity)), before))
-    number = F.row_number().over(W.partitionBy("length", "_share").orderBy(id_column, "piece", "start", "ids_crc32")) - 1
-    numbered = salted.withColumn("_number", number.cast("long"))
+    number = F.row_number().over(W.partitionBy("length", own_share).orderBy(id_column, "piece", "start", "ids_crc32")) - 1
+    numbered = salted.withColumn(own_number, number.cast("long"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout, earlier = plan.value
         for batch in batches:
             lengths = batch.column("length").to_numpy()
-            share = batch.column("_share").to_numpy()
-            rank = batch.column("_number").to_numpy().copy()
+            share = batch.column(own_share).to_numpy()
+            rank = batch.column(own_number).to_numpy().copy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             order = np.lexsort((share, lengths))
             keys = np.stack([lengths[order], share[order]])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblio_spark.llm.bytescan import chunks
+from biblio_spark.llm.bytescan import chunks, free_prefix
 from biblio_spark.llm.decontaminate import word_hashes
 from biblio_spark.storage import materialize
 
@@ -238,7 +238,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
     marks = F.broadcast(fit_labels(labels, id_column, rows))
     sample = docs.select(id_column, text_column).join(marks, id_column)
     model = fit_sample(statistics(sample, id_column, text_column).join(marks, id_column), id_column, rows)
-    names, extra = docs.columns, "_statistics"
+    names, extra = docs.columns, free_prefix(*docs.columns) + "statistics"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_column)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblio_spark.llm.bytescan import chunks
+from biblio_spark.llm.bytescan import chunks, free_prefix
 from biblio_spark.operators.components import connected_components
 from biblio_spark.storage import materialize, release
 
@@ -185,11 +185,12 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     marked = rows.join(keepers, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")))
     gone = materialize(marked.where("NOT stays OR copies > 1").select("id", F.col("h").alias("_h"), "stays"), "gone")
     release(rows, keepers, found, ids)
-    own = docs.withColumn("_text_hash", F.xxhash64(F.lit("text"), docs[text_column].cast("string")))
-    same = own[f"`{id_column}`"].eqNullSafe(gone["id"]) & (own["_text_hash"] == gone["_h"])
+    mark = free_prefix(*docs.columns) + "text_hash"
+    own = docs.withColumn(mark, F.xxhash64(F.lit("text"), docs[text_column].cast("string")))
+    same = own[f"`{id_column}`"].eqNullSafe(gone["id"]) & (own[mark] == gone["_h"])
     kept = own.join(gone, same, "left_anti")
     twins = gone.where("stays")
     if not twins.isEmpty():
-        repeated = own.join(twins, own[f"`{id_column}`"].eqNullSafe(twins["id"]) & (own["_text_hash"] == twins["_h"]), "left_semi")
-        kept = kept.unionByName(repeated.dropDuplicates([id_column, "_text_hash"]))
+        repeated = own.join(twins, own[f"`{id_column}`"].eqNullSafe(twins["id"]) & (own[mark] == twins["_h"]), "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates([id_column, mark]))
     return kept.select(*(F.col(f"`{n}`") for n in docs.columns))

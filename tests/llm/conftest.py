@@ -44,7 +44,10 @@ def clashing(odd):
     """The same rows with columns named like those that the operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ("id", "key", "fp", "score", "spans", "label", "length", "piece", "_share", "t1", "share", "component_id")
+    names = (
+        "id", "key", "fp", "score", "spans", "label", "length", "piece", "t1", "share", "component_id", "h", "stays", "digest", "copies", "record_id", "original", "payload",
+        "_share", "_number", "_text_hash", "_h", "_k1", "_k2", "_id", "_n_hit", "_n_words", "_items", "_spans", "_statistics", "__n_hit",
+    )
     return odd.withColumns({n: F.lit("x") for n in names})
 
 
