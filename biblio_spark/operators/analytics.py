@@ -45,7 +45,7 @@ def top_cited(articles, article_categories, categories, article_sources, data_so
     """The ``n`` most cited articles of a subject with more than ``least`` citations and their sources. The cut comes before the
     sources are joined."""
     chosen = categories.where(F.col("category_name") == subject).select("category_id")
-    ids = article_categories.join(F.broadcast(chosen), "category_id", "left_semi").select("article_id").distinct()
+    ids = article_categories.join(chosen, "category_id", "left_semi").select("article_id").distinct()
     top = articles.where(F.col("citation_count") > least).join(ids, "article_id", "left_semi").orderBy(F.desc("citation_count"), "article_id").limit(n)
     sources = article_sources.join(F.broadcast(top.select("article_id")), "article_id", "left_semi").join(data_sources, "source_id")
     sources = sources.groupBy("article_id").agg(F.array_join(F.array_sort(F.collect_set("source_name")), ", ").alias("sources"))
@@ -68,10 +68,13 @@ def year_distribution(articles: DataFrame) -> DataFrame:
 
 
 def _ranked(df: DataFrame, name: str, n: int) -> DataFrame:
-    best = W.orderBy(F.desc("articles"), F.desc("citations"))
-    # the limit, with ties, is taken on aggregates: a row for each name
-    top = df.orderBy(F.desc("articles"), F.desc("citations"), name).limit(n)
-    return top.withColumn("rank", F.rank().over(best))
+    """The rows of rank ``n`` or better, ties at the limit included. The first ``n`` bound them, so only rows that reach the last of these
+    are ranked in one task."""
+    cited = F.coalesce("citations", F.lit(-1))
+    first = df.orderBy(F.desc("articles"), F.desc(cited), name).select("articles", cited.alias("c")).limit(n).collect()
+    if len(first) == n:
+        df = df.where((F.col("articles") > first[-1]["articles"]) | ((F.col("articles") == first[-1]["articles"]) & (cited >= first[-1]["c"])))
+    return df.withColumn("rank", F.rank().over(W.orderBy(F.desc("articles"), F.desc("citations"))))
 
 
 def venue_ranking(articles, article_publications, venues, n: int = 50) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblio_spark.functions.identifiers import normalize_identifier
@@ -169,13 +170,97 @@ def assemble_literature(catalog: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_catalog(catalog: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table each; articles are partitioned by year."""
+def write_catalog(catalog: dict[str, DataFrame], path: str, mode: str = "error") -> None:
+    """One Parquet table each; articles are partitioned by year. Their rows are dealt by year in parts of bounded size, so a year with
+    most of the articles is written by many tasks and a small one by one."""
+    for name, df in catalog.items():
+        writer = df.hint("rebalance", "publication_year").write.partitionBy("publication_year") if name == "articles" else df.write
+        writer.mode(mode).parquet(f"{path}/{name}")
+
+
+def read_catalog(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def save_bucketed(catalog: dict[str, DataFrame], database: str, path: str, buckets: int) -> dict[str, DataFrame]:
+    """The tables as tables of ``database`` under ``path``: those with an article_id in ``buckets`` buckets by it, sorted, articles by year
+    besides. Joins and aggregations of them by article need no exchange."""
+    spark = next(iter(catalog.values())).sparkSession
+    out = {}
     for name, df in catalog.items():
         writer = df.write
-        if name == "articles":
-            writer = df.repartition("publication_year").write.partitionBy("publication_year")
-        writer.parquet(f"{path}/{name}")
+        if "article_id" in df.columns:
+            writer = df.repartition(buckets, "article_id").write.bucketBy(buckets, "article_id").sortBy("article_id")
+            writer = writer.partitionBy("publication_year") if name == "articles" else writer
+        writer.option("path", f"{path}/{name}").mode("overwrite").saveAsTable(f"{database}.{name}")
+        out[name] = spark.table(f"{database}.{name}")
+    return out
+
+
+#: What tells the rows of a table apart. Children of an article come with it and never later.
+TABLE_KEYS = {
+    "data_sources": ["source_id"], "authors": ["author_id"], "affiliations": ["affiliation_id"], "venues": ["venue_id"], "subject_categories": ["category_id"],
+    "publication_types": ["publication_type_id"], "article_sources": ["article_id", "source_id"], "article_identifiers": ["identifier_type", "identifier_value"],
+    "article_authors": [], "article_publications": [], "article_categories": [], "article_publication_types": [], "articles": ["article_id"],
+}
+
+
+def add_to_catalog(spark: SparkSession, path: str, lit: DataFrame, current_year: int) -> dict[str, int]:
+    """Load a further batch of records into the catalogue under ``path`` (an empty one for the first batch); rows added by table.
+
+    Two batches after each other give what one load of both gives, the first before the second: keys come from natural keys, known
+    articles, identifiers and names stay as they are, and a known article takes no more than new sources. New rows are found by keys
+    against the stored keys alone, written aside, and then appended, dimensions first and articles last, so a batch that was broken off
+    can be loaded again. Articles go to the partitions of their years; files of other years are not touched.
+    """
+    new = load_catalog(lit, current_year)
+    stored = {}
+    for name in TABLE_KEYS:
+        try:
+            stored[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    unknown = new["articles"]
+    if "articles" in stored:
+        unknown = unknown.join(stored["articles"].select("article_id"), "article_id", "left_anti")
+    unknown = materialize(unknown, "articles")
+    ids = unknown.select("article_id")
+    # the dimensions of new articles only, as a joint load has them
+    used = {"authors": ("article_authors", "author_id"), "venues": ("article_publications", "venue_id"), "subject_categories": ("article_categories", "category_id"), "publication_types": ("article_publication_types", "publication_type_id"), "affiliations": ("article_authors", "affiliation_id")}
+    fresh = {}
+    for name, keys in TABLE_KEYS.items():
+        df = unknown if name == "articles" else new[name]
+        if name in used:
+            child, key = used[name]
+            df = df.join(new[child].join(ids, "article_id", "left_semi").select(key).distinct(), key, "left_semi")
+        elif name.startswith("article_") and name != "article_sources":
+            df = df.join(ids, "article_id", "left_semi")
+        if keys and name in stored and name != "articles":
+            df = df.join(stored[name].select(*keys), keys, "left_anti")
+        fresh[name] = materialize(df.select(*new[name].columns), f"new-{name}")
+    write_catalog(fresh, path, "append")
+    return {name: df.count() for name, df in fresh.items()}
+
+
+def write_updates(spark: SparkSession, path: str, updates: DataFrame) -> list[int | None]:
+    """``update_articles`` on a stored catalogue; the years whose partitions were written anew. Only those that hold an updated article, or
+    get one by a changed year, are read and replaced. ``updates`` must not read the stored articles any more: give a written table."""
+    articles = spark.read.parquet(f"{path}/articles")
+    hit = articles.join(updates.select("article_id"), "article_id", "left_semi").select("publication_year")
+    if "publication_year" in updates.columns:
+        moved = updates.join(articles.select("article_id"), "article_id", "left_semi").where("publication_year IS NOT NULL").select("publication_year")
+        hit = hit.unionByName(moved)
+    years = {r[0] for r in hit.distinct().collect()}  # one row a year
+    known = F.col("publication_year").isin(sorted(y for y in years if y is not None))
+    touched = articles.where(F.coalesce(known, F.lit(None in years)))
+    new = materialize(update_articles(touched, updates), "updated")
+    new.hint("rebalance", "publication_year").write.option("partitionOverwriteMode", "dynamic").partitionBy("publication_year").mode("overwrite").parquet(f"{path}/articles")
+    # a year whose articles have all moved gets no new files: its old ones go
+    for year in years - {r[0] for r in new.select("publication_year").distinct().collect()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/articles/publication_year={'__HIVE_DEFAULT_PARTITION__' if year is None else year}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return sorted(years, key=lambda y: (y is None, y or 0))
 
 
 def resolve_authors(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -97,13 +97,16 @@ def j8(spark, d):
 
 @query("j9_delete_articles", WITH + """
 SELECT 'articles' AS name, count(*) AS n, sum(article_id)::BIGINT AS s FROM articles WHERE article_id % 7 <> 0
-UNION ALL SELECT 'article_authors', count(*), sum(article_id)::BIGINT FROM article_authors WHERE article_id % 7 <> 0
+""" + "".join(f"UNION ALL SELECT '{t}', count(*), sum(article_id)::BIGINT FROM {t} WHERE article_id % 7 <> 0\n" for t in ("article_authors", "article_publications", "article_categories", "article_sources", "article_identifiers"))
++ "".join(f"UNION ALL SELECT '{t}', count(*), NULL FROM {t}\n" for t in ("authors", "venues", "subject_categories", "data_sources")) + """
 UNION ALL SELECT 'citations', count(*), sum(CASE WHEN cited_article_id % 7 <> 0 OR cited_article_id NOT IN (SELECT article_id FROM articles) THEN cited_article_id END)::BIGINT FROM citations WHERE citing_article_id % 7 <> 0""")
 def j9(spark, d):
-    c = {k: v for k, v in catalog(spark, d).items() if k in ("articles", "article_authors", "citations")}
+    """All tables of the catalogue; those without articles stay."""
+    c = catalog(spark, d)
     out = cat.delete_articles(c, c["articles"].where("article_id % 7 = 0"))
-    total = lambda name, col: out[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(col).cast("long").alias("s"))
-    return total("articles", "article_id").unionByName(total("article_authors", "article_id")).unionByName(total("citations", "cited_article_id"))
+    key = lambda df: F.col("cited_article_id" if "cited_article_id" in df.columns else "article_id") if {"cited_article_id", "article_id"} & set(df.columns) else F.lit(None)
+    rows = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(key(df).cast("long")).alias("s")) for name, df in out.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("j10_update_articles", WITH + """
@@ -179,7 +182,7 @@ def a10(spark, d):
 
 @query("a10_author_ranking", WITH + """
 SELECT full_name, count(*) AS articles, sum(citation_count)::BIGINT AS citations, (rank() OVER (ORDER BY count(*) DESC, sum(citation_count) DESC))::INTEGER AS rank
-FROM article_authors JOIN articles USING (article_id) JOIN authors USING (author_id) GROUP BY author_id, full_name ORDER BY articles DESC, citations DESC, full_name LIMIT 50""")
+FROM article_authors JOIN articles USING (article_id) JOIN authors USING (author_id) GROUP BY author_id, full_name QUALIFY (rank() OVER (ORDER BY count(*) DESC, sum(citation_count) DESC)) <= 50""")
 def a10b(spark, d):
     c = catalog(spark, d)
     return analytics.author_ranking(c["articles"], c["article_authors"], c["authors"])
@@ -230,27 +233,35 @@ def l1(spark, d):
 _CHECK = "sum(('0x' || substr(md5({}), 1, 8))::BIGINT)::BIGINT"
 
 
-@query("l1_catalog_contents", LOAD + f"""
-SELECT 'articles' AS name, {_CHECK.format("title || publication_year")} AS digest FROM loaded UNION ALL SELECT 'rejects', {_CHECK.format("record_id")} FROM lit WHERE trim(title) = ''
-UNION ALL SELECT 'article_identifiers', {_CHECK.format("kind || value")} FROM (SELECT DISTINCT kind, value FROM ids JOIN loaded USING (ord))
+_STORED = f"""UNION ALL SELECT 'article_identifiers', {_CHECK.format("kind || value")} FROM (SELECT DISTINCT kind, value FROM ids JOIN loaded USING (ord))
 UNION ALL SELECT 'authors', {_CHECK.format("a")} FROM (SELECT DISTINCT unnest(authors) AS a FROM loaded)
 UNION ALL SELECT 'article_authors', {_CHECK.format("a || n")} FROM (SELECT unnest(authors) AS a, generate_subscripts(authors, 1) AS n FROM loaded)
 UNION ALL SELECT 'venues', {_CHECK.format("venue_name")} FROM (SELECT DISTINCT venue_name FROM loaded WHERE venue_name IS NOT NULL)
 UNION ALL SELECT 'article_categories', {_CHECK.format("language || (ord % 5 = 0)::VARCHAR")} FROM loaded
-UNION ALL SELECT 'publication_types', {_CHECK.format("type_name")} FROM (SELECT DISTINCT type_name FROM loaded)""")
+UNION ALL SELECT 'publication_types', {_CHECK.format("type_name")} FROM (SELECT DISTINCT type_name FROM loaded)
+UNION ALL SELECT 'article_sources', {_CHECK.format("source || title")} FROM (SELECT DISTINCT good.art, good.source, loaded.title FROM good JOIN loaded ON loaded.art = good.art)"""
+
+
+@query("l1_catalog_contents", LOAD + f"""
+SELECT 'articles' AS name, {_CHECK.format("title || publication_year")} AS digest FROM loaded UNION ALL SELECT 'rejects', {_CHECK.format("record_id")} FROM lit WHERE trim(title) = ''
+{_STORED}""")
 def l1_contents(spark, d):
     """What the tables hold, as sums of digests of their natural values."""
-    t = cat.load_catalog(lit(spark, d), CURRENT_YEAR)
+    return _contents(cat.load_catalog(lit(spark, d), CURRENT_YEAR))
+
+
+def _contents(t):
     text = lambda *parts: F.concat(*(F.col(p).cast("string") if isinstance(p, str) else p for p in parts))
     rows = {
         "articles": t["articles"].select(text("title", "publication_year").alias("v")),
-        "rejects": t["rejects"].select(F.col("record_id").alias("v")),
+        **({"rejects": t["rejects"].select(F.col("record_id").alias("v"))} if "rejects" in t else {}),
         "article_identifiers": t["article_identifiers"].select(text("identifier_type", "identifier_value").alias("v")),
         "authors": t["authors"].select(F.col("full_name").alias("v")),
         "article_authors": t["article_authors"].join(t["authors"], "author_id").select(text("full_name", "author_order").alias("v")),
         "venues": t["venues"].select(F.col("venue_name").alias("v")),
         "article_categories": t["article_categories"].join(t["subject_categories"], "category_id").select(text("category_name", "is_major_topic").alias("v")),
         "publication_types": t["publication_types"].select(F.col("type_name").alias("v")),
+        "article_sources": t["article_sources"].join(t["data_sources"], "source_id").join(t["articles"], "article_id").select(text("source_name", "title").alias("v")),
     }
     digest = F.sum(F.conv(F.substring(F.md5("v"), 1, 8), 16, 10).cast("long"))
     parts = [df.agg(F.lit(name).alias("name"), digest.alias("digest")) for name, df in rows.items()]
@@ -294,6 +305,50 @@ def l5(spark, d):
     return spark.read.parquet(f"{path}/articles").groupBy("publication_year").agg(F.count("*").alias("n"))
 
 
+@query("l5_stored_catalog", LOAD + f"""
+SELECT 'articles' AS name, {_CHECK.format("title || publication_year")} AS digest FROM loaded
+{_STORED}""")
+def l5_stored(spark, d):
+    """The whole catalogue written, read again and compared by contents."""
+    from biblio_spark.storage import new_path
+
+    path = new_path(spark, "catalogue")
+    tables = {k: v for k, v in cat.load_catalog(lit(spark, d), CURRENT_YEAR).items() if k != "rejects"}
+    cat.write_catalog(tables, path)
+    return _contents(cat.read_catalog(spark, path, list(tables)))
+
+
+@query("l6_two_batches", LOAD.replace("loaded AS (SELECT * FROM good WHERE ord IN (SELECT min(ord) FROM good GROUP BY art))", "loaded AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY art ORDER BY ord % 2, ord) = 1)") + f"""
+SELECT 'articles' AS name, {_CHECK.format("title || publication_year")} AS digest FROM loaded
+{_STORED}""")
+def l6(spark, d):
+    """Even records loaded into an empty catalogue, odd ones into what is there then."""
+    from biblio_spark.storage import new_path
+
+    path = new_path(spark, "catalogue")
+    records = lit(spark, d)
+    for rest in (0, 1):
+        cat.add_to_catalog(spark, path, records.where(F.col("ord") % 2 == rest), CURRENT_YEAR)
+    return _contents(cat.read_catalog(spark, path, list(cat.TABLE_KEYS)))
+
+
+@query("l6_stored_updates", LOAD + """
+SELECT publication_year, count(*) AS n, sum(('0x' || substr(md5(title), 1, 8))::BIGINT)::BIGINT AS digest FROM (
+  SELECT CASE WHEN publication_year % 5 = 1 THEN 'New ' || title ELSE title END AS title, CASE WHEN publication_year % 5 = 1 THEN publication_year + 1 ELSE publication_year END AS publication_year FROM loaded)
+GROUP BY 1""")
+def l6_updates(spark, d):
+    """Titles and years of the articles of each fifth year changed in a stored catalogue."""
+    from biblio_spark.storage import materialize, new_path
+
+    path = new_path(spark, "catalogue")
+    articles = cat.load_catalog(lit(spark, d), CURRENT_YEAR)["articles"]
+    cat.write_catalog({"articles": articles}, path)
+    changed = spark.read.parquet(f"{path}/articles").where("publication_year % 5 = 1").select("article_id", F.concat(F.lit("New "), "title").alias("title"), (F.col("publication_year") + 1).alias("publication_year"))
+    cat.write_updates(spark, path, materialize(changed, "updates"))
+    out = spark.read.parquet(f"{path}/articles")
+    return out.groupBy("publication_year").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5("title"), 1, 8), 16, 10).cast("long")).alias("digest"))
+
+
 @query("w1_rank_pdf_urls", """
 WITH l AS (
   SELECT l_partkey AS doi, l_linenumber AS pos, l_orderkey AS o, (l_orderkey + l_linenumber) % 4 AS kind, CASE l_suppkey % 3 WHEN 0 THEN '/PMC.pdf' ELSE '/a.pdf' END AS f, l_suppkey % 3 AS s FROM lineitem),

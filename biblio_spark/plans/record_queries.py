@@ -182,7 +182,7 @@ def _flat(df):
         "ord", F.col("source_specific.source").alias("source"), F.col("article.title").alias("title"), F.col("article.publication_year").alias("publication_year"),
         F.col("article.publication_date").alias("publication_date"), names("authors", "full_name").alias("authors"), F.col("venue.venue_name").alias("venue"),
         F.array_join(F.transform("identifiers", lambda i: F.concat_ws("=", i["identifier_type"], i["identifier_value"], i["is_primary"].cast("string"))), ";").alias("ids"),
-        names("categories", "category_name").alias("categories"), names("publication_types", "type_name").alias("types"),
+        names("categories", "category_name").alias("categories"), names("publication_types", "type_name").alias("types"), F.md5("article.abstract").alias("abstract_md5"),
     )
 
 
@@ -197,7 +197,7 @@ def _arxiv(records):
 
 @query("s2_from_arxiv", WITH + """
 SELECT ord, 'arxiv' AS source, title, publication_year, publication_date, array_to_string(authors, '|') AS authors, coalesce(venue_name, 'arXiv') AS venue,
-  concat_ws(';', 'doi=' || doi || '=true', 'arxiv_id=' || arxiv_id || '=' || (doi IS NULL)) AS ids, language AS categories, '' AS types
+  concat_ws(';', 'doi=' || doi || '=true', 'arxiv_id=' || arxiv_id || '=' || (doi IS NULL)) AS ids, language AS categories, '' AS types, md5(abstract) AS abstract_md5
 FROM lit WHERE trim(title) <> ''""")
 def s2(spark, d):
     return _flat(landed.from_arxiv(_arxiv(lit(spark, d))))
@@ -214,7 +214,7 @@ def _biorxiv(records):
 
 @query("s3_from_biorxiv", WITH + """
 SELECT ord, 'biorxiv' AS source, title, CASE WHEN ord % 3 = 2 THEN publication_year END AS publication_year, CASE WHEN ord % 3 = 2 THEN publication_date END AS publication_date,
-  array_to_string(authors, '|') AS authors, coalesce(venue_name, 'bioRxiv') AS venue, coalesce('doi=' || doi || '=true', '') AS ids, language AS categories, 'Preprint' AS types
+  array_to_string(authors, '|') AS authors, coalesce(venue_name, 'bioRxiv') AS venue, coalesce('doi=' || doi || '=true', '') AS ids, language AS categories, 'Preprint' AS types, md5(abstract) AS abstract_md5
 FROM lit WHERE trim(title) <> ''""")
 def s3(spark, d):
     return _flat(landed.from_biorxiv(_biorxiv(lit(spark, d))))
@@ -239,7 +239,7 @@ def _semantic_scholar(records):
 @query("s4_from_semantic_scholar", WITH + """
 SELECT ord, 'semantic_scholar' AS source, title, publication_year, publication_date, array_to_string(authors, '|') AS authors, coalesce(venue_name, 'J') AS venue,
   concat_ws(';', 'doi=' || doi || '=true', 'pmid=' || pmid || '=false', 'arxiv_id=' || arxiv_id || '=false', 'semantic_scholar_id=S' || ord || '=false', 'corpus_id=' || ord || '=false') AS ids,
-  language || '|s2' AS categories, type_name AS types FROM lit""")
+  language || '|s2' AS categories, type_name AS types, md5(abstract) AS abstract_md5 FROM lit""")
 def s4(spark, d):
     return _flat(landed.from_semantic_scholar(_semantic_scholar(lit(spark, d))))
 
@@ -261,7 +261,7 @@ def _wos(records):
 @query("s5_from_wos", WITH + """
 SELECT ord, 'wos' AS source, regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title, publication_year, publication_year || '-11-01' AS publication_date, array_to_string(authors, '|') AS authors,
   coalesce(venue_name, '') AS venue, concat_ws(';', 'doi=' || doi || '=true', 'pmid=' || pmid || '=false', 'wos_uid=WOS:' || ord || '=false') AS ids,
-  'Book|Review' AS categories, 'Book|Review' AS types FROM lit WHERE ord % 7 <> 0""")
+  'Book|Review' AS categories, 'Book|Review' AS types, md5(abstract) AS abstract_md5 FROM lit WHERE ord % 7 <> 0""")
 def s5(spark, d):
     return _flat(landed.from_wos(_wos(lit(spark, d))))
 
@@ -274,7 +274,7 @@ SELECT ord, CASE WHEN ord % 5 < 4 THEN ['pubmed', 'arxiv', 'semantic_scholar', '
   CASE ord % 5 WHEN 0 THEN concat_ws(';', d, p) WHEN 1 THEN concat_ws(';', d, a) WHEN 2 THEN concat_ws(';', d, p, a, 'semantic_scholar_id=S' || ord || '=false')
     WHEN 3 THEN concat_ws(';', d, p, 'wos_uid=WOS:' || ord || '=false')
     ELSE concat_ws(';', 'doi=' || doi || '=true', 'pmid=' || pmid || '=false', 'arxiv_id=' || arxiv_id || '=false') END AS ids,
-  CASE WHEN ord % 5 < 4 THEN '' ELSE language END AS categories, CASE WHEN ord % 5 >= 2 THEN type_name ELSE '' END AS types FROM f""", also="s7_format_records_whole")
+  CASE WHEN ord % 5 < 4 THEN '' ELSE language END AS categories, CASE WHEN ord % 5 >= 2 THEN type_name ELSE '' END AS types, md5(abstract) AS abstract_md5 FROM f""", also="s7_format_records_whole")
 def s7(spark, d):
     """Every record by the rest of its number: four sources, and unified records under a name that passes through."""
     get = identifiers.get_identifier
@@ -661,7 +661,7 @@ def _through_xml(spark, records, title, abstract):
 
     _write_xml(records.select(row.alias("value")), path)
     out = landed.from_pubmed(pubmed_xml.read_pubmed_xml(spark, path))
-    flat = _flat(out).drop("ord", "source").withColumn("pmid", F.regexp_extract("ids", r"pmid=(\d+)=", 1))
+    flat = _flat(out).drop("ord", "source", "abstract_md5").withColumn("pmid", F.regexp_extract("ids", r"pmid=(\d+)=", 1))
     more = out.select(
         identifiers.get_identifier("identifiers", "pmid").alias("pmid"), F.col("categories")[0]["is_major_topic"].alias("major"), F.col("article.abstract").alias("abstract")
     )
@@ -728,6 +728,69 @@ def v6(spark, d):
     return records.join(rejects, "source", "full").select("source", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("rejects", F.lit(0)).alias("rejects"))
 
 
+@query("v6_rejects_by_kind", WITH + """
+SELECT kind, count(*) FILTER (ord % 5 <> 0) AS records, count(*) FILTER (ord % 5 = 0) AS rejects FROM lit, (VALUES ('csv'), ('xml')) k(kind) GROUP BY kind""")
+def v6_kinds(spark, d):
+    """Every record as a CSV row and as an XML element, each fifth with a year that is none."""
+    from biblio_spark.storage import new_path
+
+    year = F.when(F.col("ord") % 5 == 0, "in print").otherwise(F.col("article.publication_year").cast("string"))
+    rows = lit(spark, d).select("ord", F.col("article.title").alias("title"), year.alias("year"))
+    of_csv, of_xml = new_path(spark, "rows"), new_path(spark, "rows")
+    rows.write.options(header=True, escape='"').csv(of_csv)
+    element = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    _write_xml(rows.select(element("Record", F.concat(element("ord", F.col("ord").cast("string")), element("title", _escaped("title")), element("year", F.col("year")))).alias("value")), of_xml)
+    parts = []
+    for kind, path, tag in (("csv", of_csv, None), ("xml", of_xml, "Record")):
+        for name, df in zip(("records", "rejects"), landed.read_checked(spark, path, "ord long, title string, year int", kind, tag), strict=True):
+            parts.append(df.agg(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.count("*").alias("n")))
+    both = reduce(DataFrame.unionByName, parts).groupBy("kind")
+    return both.agg(*(F.sum(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in ("records", "rejects")))
+
+
+def _rename_as_gzip(spark, path):
+    """Give the files under a path a name that promises another content than they have."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            system.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(root, f"{name}.gz"))
+
+
+@query("j1_isolated_sources", WITH + """
+SELECT s AS source_name, s <> 'semantic_scholar' AS ok, s = 'wos' AS quarantined,
+  count(lit.ord) FILTER (CASE s WHEN 'pubmed' THEN true WHEN 'semantic_scholar' THEN false WHEN 'wos' THEN lit.ord % 7 <> 0 ELSE trim(title) <> '' END) AS records
+FROM (VALUES (0, 'pubmed'), (1, 'arxiv'), (2, 'biorxiv'), (3, 'semantic_scholar'), (4, 'wos')) v(k, s) LEFT JOIN lit ON lit.ord % 5 = k GROUP BY s""")
+def j1_isolated(spark, d):
+    """Five sources in files: one has no files at all, one has files that are no gzip besides good ones; the others are whole."""
+    from biblio_spark.sources import isolated, pubmed_xml
+    from biblio_spark.storage import new_path
+
+    records = lit(spark, d)
+    paths = {s: new_path(spark, s) for s in search.SOURCES}
+    of = dict(zip(("pubmed", "arxiv", "biorxiv", "semantic_scholar", "wos"), (records.where(F.col("ord") % 5 == k) for k in range(5)), strict=True))
+    tag = lambda name, *parts: F.concat(F.lit(f"<{name}>"), *parts, F.lit(f"</{name}>"))
+    xml = tag("PubmedArticle", tag("MedlineCitation", tag("PMID", F.col("record_id")), tag("Article", tag("ArticleTitle", _escaped("article.title")))))
+    _write_xml(of["pubmed"].select(xml.alias("value")), paths["pubmed"])
+    _arxiv(of["arxiv"]).drop("ord").write.json(paths["arxiv"])
+    _biorxiv(of["biorxiv"]).drop("ord").write.json(paths["biorxiv"])
+    wos = _wos(of["wos"])
+    wos.where("ord % 7 <> 0").drop("ord").write.json(f"{paths['wos']}/good", compression="gzip")
+    wos.where("ord % 7 = 0").drop("ord").write.json(f"{paths['wos']}/bad")
+    _rename_as_gzip(spark, f"{paths['wos']}/bad")
+    lines = lambda ddl, shape: lambda files: shape(spark.read.schema(ddl).option("recursiveFileLookup", True).json(files))
+    readers = {
+        "pubmed": lambda files: landed.from_pubmed(pubmed_xml.read_pubmed_xml(spark, files)),
+        "arxiv": lines(landed.ARXIV_DDL, landed.from_arxiv), "biorxiv": lines(landed.BIORXIV_DDL, landed.from_biorxiv),
+        "semantic_scholar": lines(landed.SEMANTIC_DDL, landed.from_semantic_scholar), "wos": lines(landed.WOS_DDL, landed.from_wos),
+    }
+    rows, state, _ = isolated.read_isolated(spark, {s: (paths[s], readers[s]) for s in readers})
+    counts = rows.groupBy("source_name").agg(F.count("*").alias("n"))
+    out = state.join(counts, "source_name", "left")
+    return out.select("source_name", "ok", (F.col("bad_files") > 0).alias("quarantined"), F.coalesce("n", F.lit(0)).alias("records"))
+
+
 @query("l4_pubmed_details", WITH + """
 SELECT 'mesh_qualifiers' AS name, count(DISTINCT ord % 3) AS n, NULL::BIGINT AS s FROM lit UNION ALL SELECT 'article_mesh_qualifiers', count(*), count(*) FILTER (ord % 2 = 0) FROM lit
 UNION ALL SELECT 'funding_agencies', count(DISTINCT ord % 5), NULL FROM lit WHERE ord % 4 <> 0 UNION ALL SELECT 'article_funding', count(*), sum(ord)::BIGINT FROM lit WHERE ord % 4 <> 0

@@ -97,9 +97,19 @@ def read_wos(spark: SparkSession, path: str, lines: bool = False, first: int = 0
     return _read(spark, path, WOS_DDL, "wos", ("uid",), lines, first, "hits")
 
 
-def read_checked(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of files with a JSON record a line: ``rejects`` (file, text) are the lines that are none."""
-    rows = spark.read.schema(f"{ddl}, _corrupt_record string").json(path).select("*", F.col("_metadata.file_path").alias("_file"))
+def read_checked(spark: SparkSession, path: str | list[str], ddl: str, kind: str = "json", row_tag: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of files with a JSON record a line, a CSV row (with a header; line feeds in quotes are part of it) or an XML
+    element ``row_tag`` each: ``rejects`` (file, text) are those that do not parse or do not fit the types."""
+    reader = spark.read.schema(f"{ddl}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record")
+    if kind == "csv":
+        reader = reader.options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+    elif kind == "xml":
+        if not row_tag:
+            raise ValueError("XML needs the tag of its rows")
+        reader = reader.option("rowTag", row_tag)
+    elif kind != "json":
+        raise ValueError(f"unknown kind {kind!r}")
+    rows = reader.format(kind).load(path).select("*", F.col("_metadata.file_path").alias("_file"))
     rows = materialize(rows, "checked")
     bad = F.col("_corrupt_record").isNotNull()
     return rows.where(~bad).drop("_corrupt_record", "_file"), rows.where(bad).select(F.col("_file").alias("file"), F.col("_corrupt_record").alias("text"))
