@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblio_spark.llm.bytescan import chunks, flat
-from biblio_spark.llm.tokenizing import encoder
+from biblio_spark.llm.tokenizing import WordEncoder
 from biblio_spark.storage import materialize, release
 
 #: Bytes of texts that are aligned together and share one list of pairs; a longer text is aligned alone.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
+#: Pieces that each tokenizer of a worker remembers.
+REMEMBERED = 1 << 19
 #: U+2581, which stands for a space in the pieces.
 SPACE_PIECE = "▁"
+_MARK = SPACE_PIECE.encode()
 
 
 class _Spelling:
@@ -46,31 +50,66 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+class PieceEncoder(WordEncoder):
+    """ids of texts, each with the space before it that the model adds by itself, by a sentencepiece model.
+
+    Where no piece of the vocabulary has a space after another character, no token crosses such a place, so the stretches from there
+    to the next are encoded by themselves, each different one once while it is remembered. Other models, and such as change white space,
+    take whole texts.
+    """
+
+    def __init__(self, path: str, limit: int = REMEMBERED):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.pieces = [self.model.id_to_piece(k) for k in range(self.model.vocab_size())]
+        self.lone = self.model.piece_to_id(SPACE_PIECE)
+        kept = "  a   b "
+        self.by_words = (
+            not any(re.search(f"[^{SPACE_PIECE}]{SPACE_PIECE}", p) for p in self.pieces)
+            and self.model.id_to_piece(self.lone) == SPACE_PIECE and "".join(self.model.encode(kept, out_type=str)) == f" {kept}".replace(" ", SPACE_PIECE)
+        )
+        self._forget(limit)
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = data == 0x20
+        start[1:] &= data[:-1] != 0x20
+        # the mark itself in a text is a space to the model: no stretch begins right after it
+        start[3:] &= ~((data[:-3] == _MARK[0]) & (data[1:-2] == _MARK[1]) & (data[2:-1] == _MARK[2]))
+        start[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(start)
+        return starts, np.zeros(len(starts), dtype=bool)
+
+    def _library(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Each piece begins with the space that the model adds."""
+        texts = [p[1:].decode("utf-8", "replace") for p in pieces]
+        found = self.model.encode(texts, num_threads=1) if texts else []
+        return [np.array(ids if t or not p else [self.lone], dtype=np.uint32) for ids, t, p in zip(found, texts, pieces, strict=True)]
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each = self._library(pieces)
+        count = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        return np.concatenate(each), np.cumsum(count) - count, count
+
+
 class Aligner:
     """Both tokenizers of a Python worker: ``a`` a byte-level BPE file of the tokenizers library, ``b`` a sentencepiece model."""
 
     def __init__(self, a: str, b: str):
-        import sentencepiece
-
-        self.a = encoder(a, plain=True)
+        self.a, self.b = WordEncoder(a, REMEMBERED, plain=True), PieceEncoder(b)
         vocabulary = self.a.tokenizer.get_vocab()
         byte_of = _byte_level()
         tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             tokens[number] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.spell_a = _Spelling(tokens)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b)
-        pieces = [self.b.id_to_piece(k) for k in range(self.b.vocab_size())]
-        self.spell_b = _Spelling([bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE_PIECE, " ").encode() for k, p in enumerate(pieces)])
+        is_byte = self.b.model.is_byte
+        self.spell_b = _Spelling([bytes([int(p[3:5], 16)]) if is_byte(k) else p.replace(SPACE_PIECE, " ").encode() for k, p in enumerate(self.b.pieces)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
         """(ids of a, n + 1 offsets in them, the same of b) of n texts in ``data``, each with the space before it."""
-        ids_a, at_a = self.a.encode_flat(data, offsets)
-        raw = data.tobytes()
-        each = self.b.encode([raw[s + 1 : e].decode("utf-8", "surrogatepass") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], num_threads=1)
-        at_b = np.cumsum([0, *map(len, each)])
-        ids_b = np.fromiter((i for ids in each for i in ids), dtype=np.int64, count=int(at_b[-1]))
-        return ids_a.astype(np.int64), at_a, ids_b, at_b
+        (ids_a, at_a), (ids_b, at_b) = self.a.encode_flat(data, offsets), self.b.encode_flat(data, offsets)
+        return ids_a.astype(np.int64), at_a, ids_b.astype(np.int64), at_b
 
 
 def _spelled(spelling: _Spelling, ids: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -204,11 +204,18 @@ class WordEncoder:
             self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
             for token, number in vocabulary.items():
                 self.sizes[number] = len(token)  # one character stands for one byte
+        self._forget(limit)
+
+    def _forget(self, limit: int) -> None:
         self.table = _Table(limit)
         #: ids of longer and of odd pieces, with at most ``limit`` bytes of pieces and ids in all
         self.long: dict[bytes, np.ndarray] = {}
         self.room = 8 * limit
 
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces begin that are encoded by themselves, and which of them are not remembered in the table."""
+        return pretokens(data, offsets)
+
     def _library(self, pieces: list[bytes]) -> list[np.ndarray]:
         texts = [p.decode("utf-8", "replace") for p in pieces]
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -253,7 +260,7 @@ class WordEncoder:
             raw = data.tobytes()
             each = self._library([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.cumsum([0, *map(len, each)])
-        starts, odd = pretokens(data, offsets)
+        starts, odd = self._cut(data, offsets)
         size = np.diff(np.append(starts, len(data)))
         padded = np.concatenate([data, np.zeros(_WIDTH + 8, np.uint8)])
         words = np.ndarray((len(data) + _WIDTH,), dtype="<u8", buffer=padded, strides=(1,))
@@ -323,14 +330,14 @@ class WordEncoder:
         return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str, plain: bool = False) -> WordEncoder:
+def encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker for a tokenizer file; it outlives single tasks."""
-    if (path, plain) not in _ENCODERS:
-        _ENCODERS[path, plain] = WordEncoder(path, plain=plain)
-    return _ENCODERS[path, plain]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def default_tokenizer() -> str:

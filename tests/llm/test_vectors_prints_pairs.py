@@ -235,6 +235,24 @@ def alignment_texts():
     return odd + [prose(k, rng.randint(1, 60)) for k in range(12)] + [prose(3, 30)] * 4 + ["a"] * 3
 
 
+def test_pieces_equal_whole_texts():
+    """Stretches between spaces give the ids of whole texts, also where few are remembered."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from biblio_spark.llm.bytescan import flat
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["", " ", "  ", "a ", " a", "a  b   c    ", "\n \n", "▁ ▁▁ a▁b", "x" * 60 + " y", "<s> </s> <0x41> <unk>"] + [t for t in alignment_texts() if t]
+    for limit in (1 << 12, 40):
+        pieces = alignment.PieceEncoder(path, limit)
+        assert pieces.by_words
+        for some in (texts, texts[::-1], texts[:1], [prose(5, 3000)]):
+            ids, at = pieces.encode_flat(*flat(pa.array([f" {t}" for t in some])))
+            want = [pieces.model.encode(t) if t else [pieces.lone] for t in some]
+            assert [ids[s:e].tolist() for s, e in zip(at[:-1], at[1:], strict=True)] == want
+
+
 @pytest.mark.parametrize("block", [4_000_000, 150])
 def test_alignment(spark, block):
     texts = alignment_texts()
