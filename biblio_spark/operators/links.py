@@ -93,28 +93,66 @@ def title_tokens(title: Column | str) -> Column:
     return F.array_distinct(F.filter(F.split(normalize_title(title), " "), lambda w: w != ""))
 
 
+def title_classes(articles: DataFrame) -> DataFrame:
+    """(article_id, class_id, publication_year, tokens): articles of one year whose titles have the same tokens are a class, named by its
+    least article. Titles without tokens are in none."""
+    rows = articles.select("article_id", "publication_year", F.array_sort(title_tokens("title")).alias("tokens")).where(F.size("tokens") > 0)
+    classes = rows.groupBy(F.col("publication_year").alias("_year"), F.col("tokens").alias("_tokens")).agg(F.min("article_id").alias("class_id"))
+    same = F.col("publication_year").eqNullSafe(F.col("_year")) & (F.col("tokens") == F.col("_tokens"))
+    return rows.join(classes, same).select("article_id", "class_id", "publication_year", "tokens")
+
+
+def class_links(members: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(class1, class2, overlap): different classes of one year with token Jaccard at or above ``threshold``, class1 < class2.
+
+    Tokens are numbered by falling rarity, so a class is a sorted list of numbers. Classes with that overlap share one of their first
+    n - ceil(threshold * n) + 1 numbers; they meet there as numbers only, if their lengths fit and enough tokens can follow the places
+    where they meet. The lists are fetched for pairs that are left.
+    """
+    sets = materialize(members.where("article_id = class_id").select("class_id", "publication_year", "tokens"), "sets")
+    tokens = sets.select("class_id", "publication_year", F.explode("tokens").alias("t"))
+    frequency = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    # numbers that grow with the frequency: ranges of it, sorted, lie one after another
+    numbers = frequency.repartitionByRange("df", "t").sortWithinPartitions("df", "t").select("t", F.monotonically_increasing_id().alias("k"))
+    numbers = materialize(numbers, "numbers")
+    lists = tokens.join(numbers, "t").groupBy("class_id", "publication_year").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    lists = materialize(lists.withColumn("n", F.size("ks")), "lists")
+    first = F.slice("ks", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    prefix = materialize(lists.select("class_id", "publication_year", "n", F.posexplode(first).alias("at", "k")), "prefix")
+    other = prefix.select(F.col("class_id").alias("class2"), F.col("publication_year").alias("year"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("k").alias("same"))
+    both = prefix.withColumnRenamed("class_id", "class1").join(other, F.col("publication_year").eqNullSafe(F.col("year")) & (F.col("k") == F.col("same")))
+    enough = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9)
+    fits = (F.col("class1") < F.col("class2")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)
+    # the rarest token that both have is in both beginnings; where they meet in it, no more can be common than stand from there on
+    follow = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there"))
+    pairs = both.where(fits & (follow >= enough)).select("class1", "class2").distinct()
+    one = lists.select(F.col("class_id").alias("class1"), F.col("ks").alias("x"))
+    two = lists.select(F.col("class_id").alias("class2"), F.col("ks").alias("y"))
+    rated = pairs.join(one, "class1").join(two, "class2")
+    common = F.size(F.array_intersect("x", "y"))
+    return rated.select("class1", "class2", (common / (F.size("x") + F.size("y") - common)).alias("overlap")).where(F.col("overlap") >= threshold)
+
+
+def candidate_classes(articles: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(members, links): every article with its class, and pairs of classes. Two articles are alike if they share a class or their classes are
+    linked; copies cost a row each, never a pair."""
+    members = materialize(title_classes(articles), "members")
+    return members.select("article_id", "class_id", "publication_year"), class_links(members, threshold)
+
+
 def candidate_duplicates(articles: DataFrame, identifiers: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(id1, id2, overlap): articles of one year with token Jaccard of their normal titles at or above ``threshold`` and no common
     identifier, id1 < id2.
 
-    Titles with equal token sets are one node, so copies do not multiply the comparison; each set emits its rarest tokens
-    only, as many as two sets with that overlap must share. Identifiers are compared for the pairs found, so one that many
-    articles have makes no pairs.
+    The pairs of ``candidate_classes``, each spelled out, which grows with the square of a class: ask for the classes where titles have many
+    copies. Identifiers are compared for the pairs found, so one that many articles have makes no pairs.
     """
-    rows = articles.select("article_id", "publication_year", F.array_sort(title_tokens("title")).alias("tokens")).where(F.size("tokens") > 0)
-    sets = rows.select("publication_year", "tokens").distinct()
-    tokens = sets.select("publication_year", "tokens", F.explode("tokens").alias("t"))
-    frequency = tokens.groupBy("publication_year", "t").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("publication_year", "tokens").orderBy("df", "t"))
-    n = F.size("tokens")
-    prefix = tokens.join(frequency, ["publication_year", "t"]).withColumn("r", place).where(F.col("r") <= n - F.ceil(n * threshold - 1e-9) + 1)
-    prefix = prefix.select("publication_year", "t", "tokens")
-    both = prefix.join(prefix.withColumnRenamed("tokens", "others"), ["publication_year", "t"])
-    overlap = F.size(F.array_intersect("tokens", "others")) / F.size(F.array_union("tokens", "others"))
-    pairs = both.select("publication_year", "tokens", "others", overlap.alias("overlap")).where(F.col("overlap") >= threshold).distinct()
-    left = rows.select("publication_year", "tokens", F.col("article_id").alias("id1"))
-    right = rows.select("publication_year", F.col("tokens").alias("others"), F.col("article_id").alias("id2"))
-    found = left.join(pairs, ["publication_year", "tokens"]).join(right, ["publication_year", "others"]).where("id1 < id2").select("id1", "id2", "overlap")
+    members, linked = candidate_classes(articles, threshold)
+    linked = materialize(linked, "links")
+    same = members.select(F.col("class_id").alias("class1"), F.col("class_id").alias("class2"), F.lit(1.0).alias("overlap")).distinct()
+    left, right = (members.select(F.col("article_id").alias(f"m{k}"), F.col("class_id").alias(f"class{k}")) for k in (1, 2))
+    found = left.join(linked.unionByName(same), "class1").join(right, "class2").where("m1 <> m2 AND (class1 <> class2 OR m1 < m2)")
+    found = found.select(F.least("m1", "m2").alias("id1"), F.greatest("m1", "m2").alias("id2"), "overlap")
     found = materialize(found, "candidates")
     own = identifiers.select("article_id", F.concat_ws(":", "identifier_type", normalize_identifier("identifier_type", "identifier_value")).alias("v"))
     own = own.where("v NOT LIKE '%:'").groupBy("article_id").agg(F.collect_set("v").alias("ids"))

@@ -95,6 +95,23 @@ def j8(spark, d):
     return links.candidate_duplicates(articles, ids, 0.6).withColumn("overlap", F.round("overlap", 6))
 
 
+@query("j8_candidate_classes", "WITH" + LIT + """
+, t AS (SELECT ord, publication_year AS y, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'),
+    lambda w: w <> '' AND NOT list_contains(['a', 'an', 'the', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by'], w)))) AS w FROM lit),
+c AS (SELECT y, w, min(ord) AS class_id, count(*) AS n FROM t WHERE len(w) > 0 GROUP BY y, w)
+SELECT a.class_id AS class1, b.class_id AS class2, a.n AS n1, b.n AS n2, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS overlap
+FROM c a JOIN c b ON a.y = b.y AND a.class_id < b.class_id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6
+UNION ALL SELECT class_id, class_id, n, n, 1.0 FROM c WHERE n > 1""")
+def j8_classes(spark, d):
+    """Linked classes with their sizes, and classes of several articles with themselves."""
+    articles = lit(spark, d).select(F.col("ord").alias("article_id"), "article.publication_year", "article.title")
+    members, linked = links.candidate_classes(articles, 0.6)
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
+    of = lambda k: sizes.select(F.col("class_id").alias(f"class{k}"), F.col("n").alias(f"n{k}"))
+    several = sizes.where("n > 1").select(F.col("class_id").alias("class1"), F.col("class_id").alias("class2"), F.col("n").alias("n1"), F.col("n").alias("n2"), F.lit(1.0).alias("overlap"))
+    return linked.join(of(1), "class1").join(of(2), "class2").select("class1", "class2", "n1", "n2", F.round("overlap", 6).alias("overlap")).unionByName(several)
+
+
 @query("j9_delete_articles", WITH + """
 SELECT 'articles' AS name, count(*) AS n, sum(article_id)::BIGINT AS s FROM articles WHERE article_id % 7 <> 0
 """ + "".join(f"UNION ALL SELECT '{t}', count(*), sum(article_id)::BIGINT FROM {t} WHERE article_id % 7 <> 0\n" for t in ("article_authors", "article_publications", "article_categories", "article_sources", "article_identifiers"))

@@ -353,6 +353,23 @@ def q1(spark, d):
     return found.select("ord")
 
 
+Q1_INDEXED = """
+SELECT ord FROM lit WHERE (contains(lower(title), 'tion') OR contains(lower(abstract), 'tion') OR contains(lower(coalesce(venue_name, '')), 'tion'))
+  AND (lower(venue_name) = 'venue 12' OR contains(lower(title), 'license') OR contains(lower(abstract), 'license') OR contains(lower(coalesce(venue_name, '')), 'license') OR contains(lower(title), 'venue 12') OR contains(lower(abstract), 'venue 12'))
+  AND NOT (contains(lower(title), 'password') OR contains(lower(abstract), 'password'))"""
+
+
+@query("q1_indexed_search", WITH + Q1_INDEXED)
+def q1_indexed(spark, d):
+    """An index of all records, and a search that reads the postings of its terms."""
+    from biblio_spark.operators import search_index
+    from biblio_spark.storage import new_path
+
+    path = new_path(spark, "index")
+    search_index.build_index(lit(spark, d), path, parts=16)
+    return search_index.search_indexed(spark, path, must=["Tion"], should=["Venue 12", "license"], must_not=["Password"]).select("ord")
+
+
 @query("q2_q3_q4_q5_filters", WITH + """
 SELECT ord, source, publication_year FROM lit WHERE publication_year BETWEEN 2000 AND 2010 AND type_name = 'Review' AND language IN ('en', 'fr') AND trim(abstract) <> '' AND source IN ('pubmed', 'wos')""")
 def q2(spark, d):
