@@ -266,6 +266,67 @@ def s5(spark, d):
     return _flat(landed.from_wos(_wos(lit(spark, d))))
 
 
+@query("s3_s4_s5_large_json", WITH + """
+SELECT source, count(*) AS n, sum(('0x' || substr(md5(title || abstract), 1, 8))::BIGINT)::BIGINT AS digest FROM (
+  SELECT ['biorxiv', 'semantic_scholar', 'wos'][ord % 3 + 1] AS source, CASE WHEN ord % 3 = 2 THEN regexp_replace(title, '^\\s+|\\s+$', '', 'g') ELSE title END AS title, abstract FROM lit
+  WHERE (ord % 3 = 1 OR trim(title) <> '') AND (ord % 3 <> 2 OR ord % 7 <> 0)) GROUP BY source""")
+def s3_s4_s5(spark, d):
+    """JSON texts with all records of a writer's task under one field, read by ranges of their bytes."""
+    from biblio_spark.storage import new_path
+
+    def file(field):
+        def lines(batches):
+            import pyarrow as pa
+
+            line = lambda value: pa.RecordBatch.from_pydict({"value": [value]})
+            yield line(f'{{"total": [1, {{"{field}": []}}], "{field}": [')
+            between = ""
+            for batch in batches:
+                rows = batch.column("value").to_pylist()
+                if rows:
+                    yield pa.RecordBatch.from_pydict({"value": [between + rows[0], *("," + r for r in rows[1:])]})
+                    between = ","
+            yield line("]}")
+
+        return lines
+
+    records, parts = lit(spark, d), []
+    every = ((_biorxiv, landed.read_biorxiv, landed.from_biorxiv, "collection"), (_semantic_scholar, landed.read_semantic_scholar, landed.from_semantic_scholar, "data"), (_wos, landed.read_wos, landed.from_wos, "hits"))
+    for rest, (make, read, shape, field) in enumerate(every):
+        path = new_path(spark, field)
+        rows = make(records.where(F.col("ord") % 3 == rest)).drop("ord")
+        rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(file(field), "value string").write.text(path)
+        digest = F.sum(F.conv(F.substring(F.md5(F.concat("article.title", "article.abstract")), 1, 8), 16, 10).cast("long"))
+        parts.append(shape(read(spark, path)).groupBy(F.col("source_specific.source").alias("source")).agg(F.count("*").alias("n"), digest.alias("digest")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("s10_delivered_files", """
+SELECT page_id, size, size >= 1024 AND (page_id % 2 = 0 OR page_id % 3 = 0) AS valid FROM (
+  SELECT page_id, (strlen(coalesce(html, '')) + CASE WHEN page_id % 3 = 0 THEN 5 ELSE 0 END)::BIGINT AS size FROM pages)""")
+def s10(spark, d):
+    """A file of each page, odd ones named .pdf, each third with the first bytes of one; the tasks write them."""
+    from biblio_spark.storage import new_path, read_table
+
+    path = new_path(spark, "delivered")
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for number, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{number}.{'pdf' if number % 2 else 'html'}") as file:
+                    file.write((b"%PDF-" if number % 3 == 0 else b"") + (html or "").encode())
+            yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id")})
+
+    read_table(spark, d, "pages").select(F.col("page_id").cast("long"), "html").mapInArrow(write, "page_id long").write.format("noop").mode("overwrite").save()
+    found = files.check_pdf_files(spark, path)
+    return found.select(F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long").alias("page_id"), "size", "valid")
+
+
 @query("s7_format_records", WITH + """
 , f AS (
   SELECT lit.*, array_to_string(authors, '|') AS people, concat_ws('=', 'doi', doi, 'true') AS d, concat_ws('=', 'pmid', pmid, 'false') AS p, concat_ws('=', 'arxiv_id', arxiv_id, 'false') AS a FROM lit)
@@ -811,7 +872,7 @@ def j1_isolated(spark, d):
 @query("l4_pubmed_details", WITH + """
 SELECT 'mesh_qualifiers' AS name, count(DISTINCT ord % 3) AS n, NULL::BIGINT AS s FROM lit UNION ALL SELECT 'article_mesh_qualifiers', count(*), count(*) FILTER (ord % 2 = 0) FROM lit
 UNION ALL SELECT 'funding_agencies', count(DISTINCT ord % 5), NULL FROM lit WHERE ord % 4 <> 0 UNION ALL SELECT 'article_funding', count(*), sum(ord)::BIGINT FROM lit WHERE ord % 4 <> 0
-UNION ALL SELECT 'citations', 2 * count(*), count(*) FILTER (ord + 1 IN (SELECT ord FROM lit)) FROM lit UNION ALL SELECT 'abstract_sections', 2 * count(*), 3 * count(*) FROM lit
+UNION ALL SELECT 'citations', 2 * count(*), count(*) FILTER (ord + 1 IN (SELECT ord FROM lit)) FROM lit UNION ALL SELECT 'abstract_sections', 2 * count(*), sum(3 + ('0x' || substr(md5(title), 1, 8))::BIGINT + ('0x' || substr(md5(abstract), 1, 8))::BIGINT)::BIGINT FROM lit
 UNION ALL SELECT 'article_versions', count(DISTINCT (regexp_replace(lower(doi), '^(doi:|https?://doi\\.org/|https?://dx\\.doi\\.org/)', ''), 1 + ord % 2)), NULL FROM lit WHERE doi IS NOT NULL""")
 def l4_details(spark, d):
     """PubMed records with qualifiers, grants, references and labelled abstracts as XML, read again and loaded; versions of preprints."""
@@ -824,8 +885,9 @@ def l4_details(spark, d):
     tag = lambda name, *parts: F.concat(F.lit(f"<{name}>"), *(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit(f"</{name.split(' ')[0]}>"))
     grant = F.when(i % 4 != 0, tag("GrantList", tag("Grant", tag("GrantID", "g", text_of(i)), tag("Agency", "Agency ", text_of(i % 5)), tag("Country", "C")))).otherwise("")
     article = tag(
-        "Article", tag("Journal", tag("JournalIssue", tag("PubDate", tag("Year", "2020"))), tag("Title", "J")), tag("ArticleTitle", "T", text_of(i)),
-        tag("Abstract", tag('AbstractText Label="AIM"', "One"), tag('AbstractText Label="END"', "Two")), grant,
+        "Article", tag("Journal", tag("JournalIssue", tag("PubDate", tag("Year", "2020"))), tag("Title", F.coalesce(F.col("venue.venue_name"), F.lit("J")))),
+        tag("ArticleTitle", _escaped("article.title")),
+        tag("Abstract", tag('AbstractText Label="AIM"', _escaped("article.title")), tag('AbstractText Label="END"', _escaped("article.abstract"))), grant,
     )
     qualifier = F.concat(F.lit('<QualifierName UI="Q'), text_of(i % 3), F.lit('" MajorTopicYN="'), F.when(i % 2 == 0, "Y").otherwise("N"), F.lit('">q'), text_of(i % 3), F.lit("</QualifierName>"))
     mesh = tag("MeshHeadingList", tag("MeshHeading", tag('DescriptorName UI="D" MajorTopicYN="N"', F.col("article.language")), qualifier))
@@ -842,7 +904,7 @@ def l4_details(spark, d):
     )
     sums = {
         "mesh_qualifiers": None, "article_mesh_qualifiers": F.sum(F.col("is_major_topic").cast("long")), "funding_agencies": None,
-        "article_funding": F.sum(F.substring("grant_id", 2, 20).cast("long")), "citations": F.count("cited_article_id"), "abstract_sections": F.sum("section_order"),
+        "article_funding": F.sum(F.substring("grant_id", 2, 20).cast("long")), "citations": F.count("cited_article_id"), "abstract_sections": F.sum(F.col("section_order") + F.conv(F.substring(F.md5("content"), 1, 8), 16, 10).cast("long")),
     }
     null = F.lit(None).cast("long")
     rows = [found[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), (null if s is None else s.cast("long")).alias("s")) for name, s in sums.items()]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from fnmatch import translate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblio_spark.functions.identifiers import get_identifier
 from biblio_spark.functions.text import filled
+from biblio_spark.sources.json_members import read_heads, readable
 
 LEAST_BYTES = 1024
 
@@ -80,8 +83,13 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_pdf_files(spark: SparkSession, path: str, pattern: str = "*", least: int = LEAST_BYTES) -> DataFrame:
-    """path, size, valid of files: at least ``least`` bytes, and a name in .pdf needs ``%PDF-`` as its first bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    head = F.substring("content", 1, 5) == F.lit(b"%PDF-")
+    """path, size, valid of files: at least ``least`` bytes, and a name in .pdf needs ``%PDF-`` as its first bytes. No more than these
+    are read of a file."""
+    if readable(path):
+        name = F.substring_index("path", "/", -1)
+        files = read_heads(spark, path).where(name.rlike(translate(pattern)))
+    else:  # Spark opens what its tasks cannot, and reads it whole
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+        files = files.select("path", F.col("length").alias("size"), F.substring("content", 1, 5).alias("head"))
     pdf = F.lower("path").endswith(".pdf")
-    return files.select("path", F.col("length").alias("size"), ((F.col("length") >= least) & (~pdf | head)).alias("valid"))
+    return files.select("path", "size", ((F.col("size") >= least) & (~pdf | (F.col("head") == F.lit(b"%PDF-")))).alias("valid"))

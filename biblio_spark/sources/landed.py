@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from biblio_spark.functions.dates import wos_pub_date
 from biblio_spark.functions.text import blank_to_null, col, filled, nonblank, strip
 from biblio_spark.schema import ARTICLE, AUTHOR, CATEGORY, IDENTIFIER, PUBLICATION, PUBLICATION_TYPE, RECORD, SOURCE, VENUE, struct_of
+from biblio_spark.sources import json_members
 from biblio_spark.storage import materialize
 
 ARXIV_DDL = (
@@ -70,9 +71,13 @@ _ORDER = ["_file", "_start", "_row", "_member"]
 
 def _read(spark: SparkSession, path: str, ddl: str, source: str, natural: tuple[str, ...], lines: bool, first: int, field: str | None = None) -> DataFrame:
     """Numbered records of JSON files: a record a line if ``lines``; else a file is one JSON text, a list of records or an object with
-    them under ``field``, which one task reads whole, so such files must fit in its memory."""
+    them under ``field``, of which any number of tasks read parts. Where tasks cannot open files by themselves, one reads a file whole."""
     where = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
-    if field and not lines:
+    if not lines and json_members.readable(path):
+        found = json_members.read_members(spark, path, field or "")
+        of = F.from_json("text", spark.createDataFrame([], ddl).schema)
+        raw = found.select(F.col("path").alias("_file"), F.col("at").alias("_start"), F.lit(0).alias("_row"), F.lit(0).alias("_member"), of.alias("_of")).select(*_ORDER, "_of.*")
+    elif field and not lines:
         member = spark.createDataFrame([], ddl).schema.simpleString()
         raw = spark.read.schema(f"{field} array<{member}>").json(path, multiLine=True)
         raw = raw.select(*where, F.posexplode(field).alias("_member", "_of")).select(*_ORDER, "_of.*")
