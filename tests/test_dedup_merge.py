@@ -256,3 +256,45 @@ def test_merging_one_large_group_is_linear(spark):
         assert dict(found[0]["source_counts"]) == {s: n // 5 for s in ("unknown", "s1", "s2", "s3", "s4")}
         assert [t["type_name"] for t in found[0]["publication_types"]] == ["T0", "T1", "T2", "T3"]
     assert all(times[f, 100_000] < 20 * times[f, 6000] + 5 for f in (merge.merge_group, merge.merge_records))
+
+
+def plain_best(group):
+    """What the quick merge keeps of records (ord, title, authors, ids): title of the first that has one, authors of the most complete, all ids."""
+    score = lambda r: 10 * bool(r[1]) + min(2 * len(r[2]), 10) + min(3 * len(r[3]), 15)
+    group = sorted(group)
+    base = max(group, key=lambda r: (score(r), -r[0]))
+    return group[0][0], next((r[1] for r in group if r[1]), ""), base[2], list(dict.fromkeys(i for r in group for i in r[3]))
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_deduplicate_is_both_rules_and_merges(spark, seed):
+    rng = random.Random(seed)
+    words, people = ["deep", "protein", "cell", "graph", "neural", "study"], ["ann lee", "bob ray", "cy ng"]
+    plain = []
+    for o in range(90):
+        title = " ".join(rng.choice(words) for _ in range(rng.randint(2, 5)))
+        if plain and rng.random() < 0.5:
+            title = list(rng.choice(plain)[1])
+            title[rng.randrange(len(title))] = rng.choice("bcx")
+            title = " ".join("".join(title).split())
+        ids = [(k, str(rng.randint(1, 40))) for k in ("doi", "pmid") if rng.random() < 0.4]
+        plain.append((o, title, rng.sample(people, rng.randint(0, 2)), ids))
+    owner = sequential({o: [(("doi", "pmid").index(k), f"{k}:{v}") for k, v in ids] for o, _, _, ids in plain})
+    groups = {}
+    for r in plain:
+        groups.setdefault(owner[r[0]], []).append(r)
+    exact = [plain_best(g) for _, g in sorted(groups.items())]
+    kept, near = [], {}
+    for o, t, a, ids in exact:
+        match = lambda u, b, t=t, a=a: (q := ratio(t, u)) >= 0.85 and ((q > 0.95) if not a or not b else author_ratio(a, b) >= 0.7)
+        near[o] = next((p for p, u, b, _ in kept if match(u, b)), o)
+        if near[o] == o:
+            kept.append((o, t, a, ids))
+    groups = {}
+    for r in exact:
+        groups.setdefault(near[r[0]], []).append(r)
+    want = {o: (plain_best(g)[1], len(g), len(plain_best(g)[3])) for o, g in groups.items()}
+    unique, stats = fuzzy.deduplicate(records(spark, [record(*r) for r in plain]))
+    got = {r["owner_id"]: (r["article"]["title"], r["merge_count"], len(r["identifiers"])) for r in unique.collect()}
+    assert got == want and len(want) < len(exact) < len(plain)
+    assert tuple(stats.first()) == (len(plain), len(plain) - len(exact), len(exact) - len(want), len(plain) - len(want), len(want))
