@@ -24,58 +24,82 @@ _LEAST = -(2**62)
 
 
 class KDTree:
-    """Median splits of integer vectors along the widest side down to leaves, in whose order ids and vectors stand; ``low`` and
-    ``high`` are the tight bounding boxes of the leaves."""
+    """Median splits of integer vectors along the widest side down to leaves, in whose order ids and vectors stand. Nodes are numbered from
+    the root, 0, on: ``low`` and ``high`` are their tight bounding boxes, ``left`` and ``right`` their children (-1 of a leaf), ``first``
+    and ``last`` the rows of a leaf; ``starts`` where the leaves begin, in their order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
         parts: list[np.ndarray] = []
-        self._split(vectors, np.argsort(ids, kind="stable"), leaf, parts)
+        nodes: list[list] = []
+        self._split(vectors, np.argsort(ids, kind="stable"), leaf, parts, nodes)
         order = np.concatenate(parts)
         self.ids, self.vectors = ids[order], vectors[order]
         self.starts = np.cumsum([0, *map(len, parts)])
-        self.low = np.stack([vectors[p].min(axis=0) for p in parts])
-        self.high = np.stack([vectors[p].max(axis=0) for p in parts])
-
-    def _split(self, vectors: np.ndarray, rows: np.ndarray, leaf: int, parts: list) -> None:
+        self.low, self.high = np.stack([n[0] for n in nodes]), np.stack([n[1] for n in nodes])
+        self.left, self.right, self.first, self.last = (np.array([n[k] for n in nodes], dtype=np.int64) for k in (2, 3, 4, 5))
+
+    def _split(self, vectors: np.ndarray, rows: np.ndarray, leaf: int, parts: list, nodes: list) -> int:
+        own = vectors[rows]
+        node = [own.min(axis=0), own.max(axis=0), -1, -1, 0, 0]
+        number = len(nodes)
+        nodes.append(node)
         if len(rows) > leaf and vectors.shape[1]:
-            own = vectors[rows]
-            width = own.max(axis=0) - own.min(axis=0)
+            width = node[1].astype(np.int64) - node[0]
             side = int(np.argmax(width))
             if width[side] > 0:
                 middle = len(rows) // 2
                 order = np.argpartition(own[:, side], middle, kind="introselect")
-                self._split(vectors, np.sort(rows[order[:middle]]), leaf, parts)
-                self._split(vectors, np.sort(rows[order[middle:]]), leaf, parts)
-                return
+                node[2] = self._split(vectors, np.sort(rows[order[:middle]]), leaf, parts, nodes)
+                node[3] = self._split(vectors, np.sort(rows[order[middle:]]), leaf, parts, nodes)
+                return number
+        node[4] = sum(map(len, parts))
+        node[5] = node[4] + len(rows)
         parts.append(rows)
+        return number
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query numbers, ids, scores): for each query its ``k`` best among the vectors of this tree, or what of them reaches
         ``floor``, a kth score known from elsewhere. ``own`` are the ids of the queries, which do not find themselves.
 
-        The bound of a box is the largest inner product any point in it can have. All queries go through the tree together:
-        each opens its leaves best bound first, and ends when the best bound left is below its kth score so far.
+        The bound of a box is the largest inner product any point in it can have. Each query has a queue of open nodes, the root at first. It
+        takes the one with the best bound: of an inner node both children come in with their own, tighter bounds, of a leaf
+        the vectors are compared. It ends when its best bound is below its kth score so far. Queries that take the same node do so together.
         """
         exact = _exact(self.vectors, queries)
         vectors, queries = self.vectors.astype(exact), queries.astype(exact)
-        bounds = np.maximum(queries, 0) @ self.high.astype(exact).T + np.minimum(queries, 0) @ self.low.astype(exact).T
-        order = np.argsort(-bounds, axis=1, kind="stable")
+        low, high = self.low.astype(exact), self.high.astype(exact)
+        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        none = np.finfo(exact).min if exact is np.float64 else np.iinfo(exact).min
+        queue = np.full((len(queries), len(self.left)), none, dtype=exact)
+        queue[:, 0] = plus @ high[0] + minus @ low[0]
         worst = floor.astype(exact)
         q, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, exact)
-        for step in range(order.shape[1]):
-            leaf = order[:, step]
-            active = np.flatnonzero(bounds[np.arange(len(leaf)), leaf] >= worst)
-            if not len(active):
-                break
+        active = np.arange(len(queries))
+        self.visited = 0
+        while len(active):
+            node = queue[active].argmax(axis=1)
+            best = queue[active, node]
+            go = (best >= worst[active]) & (best > none)
+            active, node = active[go], node[go]
+            queue[active, node] = none
             found = []
-            by_leaf = active[np.argsort(leaf[active], kind="stable")]
-            for some in np.split(by_leaf, np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
-                a, b = self.starts[leaf[some[0]]], self.starts[leaf[some[0]] + 1]
+            order = np.argsort(node, kind="stable")
+            by_node = active[order]
+            cuts = np.flatnonzero(np.diff(node[order])) + 1
+            for some, at in zip(np.split(by_node, cuts), node[order][np.concatenate([[0], cuts])] if len(order) else (), strict=False):
+                if self.left[at] >= 0:
+                    for child in (self.left[at], self.right[at]):
+                        queue[some, child] = plus[some] @ high[child] + minus[some] @ low[child]
+                    continue
+                self.visited += len(some)
+                a, b = self.first[at], self.last[at]
                 product = queries[some] @ vectors[a:b].T
                 row, column = np.nonzero(product >= worst[some][:, None])
                 others = self.ids[a:b][column]
                 keep = others != own[some][row]
                 found.append((some[row][keep], others[keep], product[row, column][keep]))
+            if not found:
+                continue
             q, ids, scores = (np.concatenate([x, *parts]) for x, parts in zip((q, ids, scores), zip(*found, strict=True), strict=True))
             best = np.lexsort((ids, -scores, q))
             q, ids, scores = q[best], ids[best], scores[best]

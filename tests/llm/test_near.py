@@ -344,3 +344,23 @@ def test_long_pages_and_files_by_bytes(spark, monkeypatch):
 def test_cut_version_block_is_refused():
     with pytest.raises(ValueError):
         list(warc.parse_arc(warc.arc_version_block(1)[:-20]))
+
+
+def test_trees_visit_few_leaves_of_clustered_vectors():
+    """Boxes bound their nodes tightly from the root down; on clusters a query opens a few leaves of many and finds what all vectors give."""
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-60, 60, (64, 64))
+    vectors = np.concatenate([c + rng.integers(-3, 4, (200, 64)) for c in centres])
+    ids = rng.permutation(len(vectors))
+    tree = kdtree.KDTree(ids, vectors)
+    for n in np.flatnonzero(tree.left >= 0):
+        for child in (tree.left[n], tree.right[n]):
+            assert (tree.low[child] >= tree.low[n]).all() and (tree.high[child] <= tree.high[n]).all()
+    leaves = np.flatnonzero(tree.left < 0)
+    assert sorted((tree.first[n], tree.last[n]) for n in leaves)[0][0] == 0 and sum(tree.last[n] - tree.first[n] for n in leaves) == len(ids)
+    asked = np.arange(0, len(ids), 100)
+    q, others, scores = tree.search(ids[asked], vectors[asked], 20, np.full(len(asked), -(2**62)))
+    for n, row in enumerate(asked):
+        exact = sorted((-int(s), int(i)) for i, s in zip(ids, vectors @ vectors[row], strict=True) if i != ids[row])[:20]
+        assert [(-s, i) for s, i in zip(scores[q == n].tolist(), others[q == n].tolist(), strict=True)] == exact
+    assert tree.visited / len(asked) < len(leaves) / 5
