@@ -189,6 +189,10 @@ def test_ratio_from_is_the_ratio_or_none():
                 assert ratio_from(a, b, least) == (r if r >= least else None)
             matched = common_length(a, b)
             assert 2 * matched >= ratio(a, b) * (len(a) + len(b)) - 1e-9 and (matched == len(a)) >= (a == b)
+    # only frequent characters, and a common beginning
+    same = "".join(f"other{k * k} " for k in range(60))
+    for a, b in ((same, same), (same + "tail", same), (same, same + "tail"), ("ab" * 300, "ab" * 290)):
+        assert ratio_from(a, b, 0.85) == ratio(a, b) >= 0.85
     long = [made(45_000, "abcdefghijklmnopqrstuvwxyz ") for _ in range(2)]
     began = time.time()
     assert ratio_from(*long, 0.85) is None and time.time() - began < 5
