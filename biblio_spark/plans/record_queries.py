@@ -756,18 +756,33 @@ def s1(spark, d):
     return _through_xml(spark, lit(spark, d), _escaped("article.title"), _escaped("article.abstract"))
 
 
-@query("p1_landed_to_export", WITH + """
-, r AS (SELECT ord, coalesce(regexp_replace(lower(doi), '^(doi:|https?://doi\\.org/|https?://dx\\.doi\\.org/)', ''), 'record ' || ord) AS k FROM lit WHERE trim(title) <> '' AND (ord % 4 <> 3 OR ord % 7 <> 0))
-SELECT 'read' AS step, count(*) AS n FROM r UNION ALL SELECT 'without ord or id', 0 UNION ALL SELECT 'different ord', count(*) FROM r
-UNION ALL SELECT 'unique', count(DISTINCT k) FROM r UNION ALL SELECT 'articles', count(DISTINCT k) FROM r UNION ALL SELECT 'rejects', 0 UNION ALL SELECT 'exported', count(DISTINCT k) FROM r""")
+@query("p1_landed_to_export", "WITH RECURSIVE" + LIT + r"""
+, r AS (SELECT ord, CASE WHEN ord % 4 = 3 THEN regexp_replace(title, '^\\s+|\\s+$', '', 'g') ELSE title END AS title, abstract, doi, CASE WHEN ord % 4 >= 2 THEN pmid END AS pmid,
+    CASE WHEN ord % 4 IN (0, 2) THEN arxiv_id END AS arxiv_id,
+    CASE ord % 4 WHEN 2 THEN CASE WHEN ord % 12 = 6 THEN -1 ELSE citation_count END WHEN 3 THEN 4 END AS cited
+  FROM lit WHERE CASE WHEN ord % 4 < 2 THEN trim(title) <> '' ELSE ord % 4 = 2 OR ord % 7 <> 0 END),
+named AS (SELECT ord, unnest([{'k': 'doi', 'v': doi}, {'k': 'pmid', 'v': pmid}, {'k': 'arxiv_id', 'v': arxiv_id}, {'k': 'semantic_scholar_id', 'v': CASE WHEN ord % 4 = 2 THEN 'S' || ord END},
+    {'k': 'corpus_id', 'v': CASE WHEN ord % 4 = 2 THEN ord::VARCHAR END}, {'k': 'wos_uid', 'v': CASE WHEN ord % 4 = 3 THEN 'WOS:' || ord END}], recursive := true) FROM r),
+own AS (SELECT DISTINCT named.ord, key FROM named JOIN ids ON ids.ord = named.ord AND ids.kind = k AND ids.value = v JOIN keys ON keys.ord = ids.ord AND key = ids.kind || ':' || ids.norm),
+e AS (SELECT DISTINCT x.ord AS a, y.ord AS b FROM own x JOIN own y USING (key)),
+w AS (SELECT ord AS a, ord AS b FROM r UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a),
+c AS (SELECT a AS ord, min(b) AS owner FROM w GROUP BY a),
+m AS (SELECT owner, count(*) AS members, coalesce(max(nullif(cited, 0)), 0) < 0 AS bad, max(length(abstract)) AS chars FROM r JOIN c USING (ord) GROUP BY owner)
+SELECT 'read' AS step, count(*) AS n, sum(('0x' || substr(md5(title || abstract), 1, 8))::BIGINT)::BIGINT AS s FROM r UNION ALL SELECT 'without ord or id', 0, NULL
+UNION ALL SELECT 'different ord', count(*), NULL FROM r UNION ALL SELECT 'unique', count(*), sum(members)::BIGINT FROM m
+UNION ALL SELECT 'identifiers', count(DISTINCT (owner, k, lower(v))), NULL FROM named JOIN c USING (ord) WHERE v IS NOT NULL
+UNION ALL SELECT 'articles', count(*), sum(chars)::BIGINT FROM m WHERE NOT bad UNION ALL SELECT 'rejects', count(*), sum(members)::BIGINT FROM m WHERE bad
+UNION ALL SELECT 'exported', count(*), sum(chars)::BIGINT FROM m""")
 def p1(spark, d):
-    """The whole way of landed files: four providers' JSON files written, read and numbered, unified, de-duplicated by DOI, merged,
-    loaded into the catalogue and exported as CSV."""
+    """The whole way of landed files: all records with all their identifiers as four providers' JSON files, read and numbered, unified, grouped
+    by chains of identifiers, merged, loaded into the catalogue and exported as CSV. Some citation counts are negative: records that
+    no copy mends are rejected by the load."""
     from biblio_spark.operators import catalog
     from biblio_spark.storage import materialize, new_path
 
-    records = lit(spark, d).where(text.nonblank("article.title"))
-    records = records.withColumn("identifiers", F.filter("identifiers", lambda i: i["identifier_type"] == "doi"))
+    records = lit(spark, d)
+    cited = F.when(F.col("ord") % 12 == 6, F.lit(-1)).otherwise(F.col("article.citation_count"))
+    records = records.withColumn("article", F.col("article").withField("citation_count", cited))
     makers = (_arxiv, _biorxiv, _semantic_scholar, _wos)
     readers = (landed.read_arxiv, landed.read_biorxiv, landed.read_semantic_scholar, landed.read_wos)
     shapers = (landed.from_arxiv, landed.from_biorxiv, landed.from_semantic_scholar, landed.from_wos)
@@ -777,15 +792,18 @@ def p1(spark, d):
         make(records.where(F.col("ord") % 4 == rest)).drop("ord").write.json(path)
         unified.append(shape(read(spark, path, lines=True)))
     unified = materialize(landed.in_sequence(unified), "unified")
-    merged = materialize(merge.merge_group(materialize(dedup.dedup_by_identifier(unified), "marked")).drop("owner_id"), "merged")
+    merged = materialize(merge.merge_records(materialize(dedup.dedup_by_identifier(unified, mode="connected"), "marked")).drop("owner_id"), "merged")
     tables = catalog.load_catalog(merged, CURRENT_YEAR)
     path = new_path(spark, "export")
     files.write_csv(merged, path)
-    counts = {
-        "read": unified, "without ord or id": unified.where("ord IS NULL OR record_id IS NULL"), "different ord": unified.select("ord").distinct(), "unique": merged,
-        "articles": tables["articles"], "rejects": tables["rejects"], "exported": files.read_csv(spark, path),
+    null, members = F.lit(None).cast("long"), F.sum("merge_count")
+    digest = F.sum(F.conv(F.substring(F.md5(F.concat("article.title", "article.abstract")), 1, 8), 16, 10).cast("long"))
+    steps = {
+        "read": (unified, digest), "without ord or id": (unified.where("ord IS NULL OR record_id IS NULL"), null), "different ord": (unified.select("ord").distinct(), null),
+        "unique": (merged, members), "identifiers": (merged.select(F.explode("identifiers")), null), "articles": (tables["articles"], F.sum(F.length("abstract"))),
+        "rejects": (tables["rejects"], members), "exported": (files.read_csv(spark, path), F.sum(F.length("abstract"))),
     }
-    rows = [df.agg(F.lit(name).alias("step"), F.count("*").alias("n")) for name, df in counts.items()]
+    rows = [df.agg(F.lit(name).alias("step"), F.count("*").alias("n"), s.cast("long").alias("s")) for name, (df, s) in steps.items()]
     return reduce(DataFrame.unionByName, rows)
 
 
