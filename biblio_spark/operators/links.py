@@ -73,10 +73,22 @@ def crosswalk(identifiers: DataFrame, from_type: str, to_type: str, key: str = "
     return of(from_type, "from_value").join(of(to_type, "to_value"), key).select("from_value", "to_value").distinct()
 
 
+#: Edges that a task sorts at most, about, and ids that are sent to all tasks at most.
+EDGES, FEW = 400_000, 50_000
+
+
 def _linked(edges: DataFrame, ids: DataFrame, near: str, far: str, limit: int) -> DataFrame:
-    rows = edges.where(F.col(far).isNotNull()).join(ids, F.col(near) == F.col("id"), "left_semi").select(near, far).distinct()
-    n = F.row_number().over(W.partitionBy(near).orderBy(far))
-    return rows.withColumn("n", n).where(F.col("n") <= limit)
+    """The tasks grow in number with the edges, so a task's memory does not. Edges of one paper are dealt into 16 parts that keep no more than
+    ``limit`` each before they come together."""
+    rows, ids = edges.where(F.col(far).isNotNull()).select(near, far), ids.select(F.col("id").alias(near))
+    few = ids.limit(FEW + 1).count() <= FEW
+    rows = rows.join(F.broadcast(ids), near, "left_semi") if few else rows
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // EDGES), 1)
+    n = lambda *by: F.row_number().over(W.partitionBy(near, *by).orderBy(far))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(far), F.lit(16))).repartition(parts, near, "_part").distinct()
+    dealt = dealt.withColumn("n", n("_part")).where(F.col("n") <= limit).select(near, far)
+    found = dealt.repartition(parts, near).withColumn("n", n()).where(F.col("n") <= limit)
+    return found if few else found.join(ids.repartition(parts, near), near, "left_semi")
 
 
 def citing(edges: DataFrame, ids: DataFrame, limit: int = 1000) -> DataFrame:
