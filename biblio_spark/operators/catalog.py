@@ -38,8 +38,11 @@ def load_catalog(lit: DataFrame, current_year: int) -> dict[str, DataFrame]:
     passes = passes_load_gate(current_year)
     marked = materialize(with_ord(lit).withColumn("article_id", F.when(passes, article_key())), "keyed")
     keyed = marked.where("article_id IS NOT NULL")
-    first = materialize(keyed.groupBy("article_id").agg(F.min("ord").alias("ord")), "first")
-    rows = keyed.join(first, ["article_id", "ord"])
+    # the few that are not first are left out, found on keys alone: no table shuffles the records to find those that are
+    keys = keyed.select("article_id", "ord")
+    later = keys.join(keys.groupBy("article_id").agg(F.min("ord").alias("least")), "article_id").where("ord <> least")
+    later = materialize(later.select("ord", F.xxhash64("article_id").alias("_key")), "later")
+    rows = keyed.withColumn("_key", F.xxhash64("article_id")).join(later, ["ord", "_key"], "left_anti").drop("_key")
     out = {"rejects": marked.where("article_id IS NULL").drop("article_id")}
     out["articles"] = rows.select("article_id", "article.*")
     out["data_sources"] = lit.sparkSession.createDataFrame([(s,) for s in SOURCES], "source_name string").select(key_of("source", "source_name").alias("source_id"), "source_name")
@@ -99,7 +102,8 @@ def load_pubmed_details(parsed: DataFrame, articles: DataFrame, identifiers: Dat
     """What only parsed PubMed records have: mesh_qualifiers, article_mesh_qualifiers, funding_agencies, article_funding, citations
     (the cited article is null where it is not in the catalogue), abstract_sections. Articles are found by PMID."""
     pmids = identifiers.where("identifier_type = 'pmid'").select("article_id", F.col("identifier_value").alias("pmid"))
-    rows = parsed.join(pmids, "pmid").join(articles.select("article_id"), "article_id")
+    # on keys alone, so that the parsed records are joined once
+    rows = parsed.join(materialize(pmids.join(articles.select("article_id"), "article_id"), "pmids"), "pmid")
     out = {}
     mesh = rows.select("article_id", F.explode("mesh_headings").alias("m")).select("article_id", F.col("m.descriptor_name").alias("category_name"), F.explode("m.qualifiers").alias("q"))
     mesh = mesh.select("article_id", key_of("category", strip("category_name")).alias("category_id"), "q.*")
@@ -221,21 +225,20 @@ def add_to_catalog(spark: SparkSession, path: str, lit: DataFrame, current_year:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-    unknown = new["articles"]
-    if "articles" in stored:
-        unknown = unknown.join(stored["articles"].select("article_id"), "article_id", "left_anti")
-    unknown = materialize(unknown, "articles")
-    ids = unknown.select("article_id")
+    # what is known already, found on keys alone and written: its true size decides how the new rows are parted from it
+    known = new["articles"].select("article_id")
+    known = materialize(known.join(stored["articles"].select("article_id"), "article_id", "left_semi") if "articles" in stored else known.limit(0), "known")
+    unknown = lambda df: df.join(known, "article_id", "left_anti") if "articles" in stored else df
     # the dimensions of new articles only, as a joint load has them
     used = {"authors": ("article_authors", "author_id"), "venues": ("article_publications", "venue_id"), "subject_categories": ("article_categories", "category_id"), "publication_types": ("article_publication_types", "publication_type_id"), "affiliations": ("article_authors", "affiliation_id")}
     fresh = {}
     for name, keys in TABLE_KEYS.items():
-        df = unknown if name == "articles" else new[name]
+        df = new[name]
         if name in used:
             child, key = used[name]
-            df = df.join(new[child].join(ids, "article_id", "left_semi").select(key).distinct(), key, "left_semi")
-        elif name.startswith("article_") and name != "article_sources":
-            df = df.join(ids, "article_id", "left_semi")
+            df = df.join(unknown(new[child]).select(key).distinct(), key, "left_semi")
+        elif name.startswith("article") and name != "article_sources":
+            df = unknown(df)
         if keys and name in stored and name != "articles":
             df = df.join(stored[name].select(*keys), keys, "left_anti")
         fresh[name] = materialize(df.select(*new[name].columns), f"new-{name}")
