@@ -10,7 +10,7 @@ from biblio_spark.functions.identifiers import normalize_identifier
 from biblio_spark.functions.text import blank_to_null, filled, nonblank, strip
 from biblio_spark.operators.validate import passes_load_gate
 from biblio_spark.schema import AUTHOR, CATEGORY, IDENTIFIER, PUBLICATION, PUBLICATION_TYPE, VENUE, struct_of, with_ord
-from biblio_spark.storage import materialize
+from biblio_spark.storage import is_written, materialize
 
 
 def key_of(kind: str, *parts: Column | str) -> Column:
@@ -32,11 +32,12 @@ def load_catalog(lit: DataFrame, current_year: int) -> dict[str, DataFrame]:
     """All tables of the catalogue from unified records; ``rejects`` has the records that do not pass the gate. Records need an
     ``ord`` (``landed.numbered`` gives it); one without it ends the job.
 
-    The records with their keys are written once, and all tables read them. The first record of an article key is loaded. Dimensions come from natural keys by aggregation, children by one
+    The records with their keys are written once, and all tables read them; records of ``materialize`` are written already. The first record of an article key is loaded. Dimensions come from natural keys by aggregation, children by one
     ``posexplode`` each; identifiers are unique by type and value, children by article and order.
     """
     passes = passes_load_gate(current_year)
-    marked = materialize(with_ord(lit).withColumn("article_id", F.when(passes, article_key())), "keyed")
+    marked = with_ord(lit).withColumn("article_id", F.when(passes, article_key()))
+    marked = marked if is_written(lit) else materialize(marked, "keyed")
     keyed = marked.where("article_id IS NOT NULL")
     # the few that are not first are left out, found on keys alone: no table shuffles the records to find those that are
     keys = keyed.select("article_id", "ord")
