@@ -108,7 +108,10 @@ def _scan(ranges: DataFrame, field: str) -> DataFrame:
 
 
 def _members(placed: DataFrame) -> DataFrame:
-    """(path, at, text) of the members that begin in each range, read to their ends; text is null where a list of that depth ends."""
+    """(path, at, text) of the members that begin in each range, read to their ends; text is null where a list of that depth ends. Members
+    leave the task some MB at a time."""
+    names, kinds = ["path", "at", "text"], (pa.string(), pa.int64(), pa.string())
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type=t) for k, t in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +119,7 @@ def _members(placed: DataFrame) -> DataFrame:
                 text = _Text(r["path"])
                 start, stop = max(r["start"], r["begin"]), r["stop"]
                 data = text.read(r["start"], stop)
-                opened, out = None, []  # where the member begins that is not closed yet
+                opened, out, held = None, [], 0  # where the member begins that is not closed yet
                 depth, parity, base = r["depth"], r["parity"], r["start"]
                 while len(data):
                     quotes = text.quotes(data, base)
@@ -129,7 +132,11 @@ def _members(placed: DataFrame) -> DataFrame:
                             opened = place
                         elif up == -1 and now == r["level"] and opened is not None:
                             out.append((r["path"], opened, text.read(opened, place + 1).tobytes().decode("utf-8", "replace")))
+                            held += place + 1 - opened
                             opened = None
+                            if held >= MORE:
+                                yield made(out)
+                                out, held = [], 0
                         elif up == -1 and now == r["level"] - 1 and start <= place < stop:
                             out.append((r["path"], place, None))
                         if opened is None and place >= stop:
@@ -139,7 +146,7 @@ def _members(placed: DataFrame) -> DataFrame:
                     depth, parity = int(after[-1]) if len(after) else depth, (parity + len(quotes)) % 2
                     base += len(data)
                     data = text.read(base, base + MORE)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type=t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["path", "at", "text"])
+                yield made(out)
 
     return placed.mapInArrow(run, "path string, at long, text string")
 
