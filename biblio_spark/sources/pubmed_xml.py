@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblio_spark.functions.dates import iso_date
+from biblio_spark.functions.text import strip
 
 _TEXT = "struct<_VALUE: string>"
 _DATE = "struct<Year: string, Month: string, Day: string, Hour: string, Minute: string, Season: string, MedlineDate: string>"
@@ -35,27 +36,27 @@ SCHEMA = (
 
 
 def _first(array: Column, attribute: str, value: str) -> Column:
-    return F.get(F.filter(array, lambda x: x[attribute] == value), F.lit(0))["_VALUE"]
+    return strip(F.get(F.filter(array, lambda x: x[attribute] == value), F.lit(0))["_VALUE"])
 
 
 def _date(d: Column) -> Column:
-    parts = [d[p] for p in ("Year", "Month", "Day", "Hour", "Minute")]
+    parts = [strip(d[p]) for p in ("Year", "Month", "Day", "Hour", "Minute")]
     return F.struct(*(p.alias(n) for p, n in zip(parts, ("year", "month", "day", "hour", "minute"), strict=True)), iso_date(*parts).alias("iso_date"))
 
 
 def _last_id(ids: Column, kind: str) -> Column:
     """The last non-empty id of a type."""
-    found = F.filter(ids, lambda x: (x["_IdType"] == kind) & (x["_VALUE"] != ""))
-    return F.when(F.size(found) > 0, F.element_at(found, -1)["_VALUE"])
+    found = F.filter(ids, lambda x: (x["_IdType"] == kind) & (strip(x["_VALUE"]) != ""))
+    return F.when(F.size(found) > 0, strip(F.element_at(found, -1)["_VALUE"]))
 
 
 def read_pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
     """A row for each PubmedArticle: pmid, title, journal, authors with affiliations, abstract with labelled sections, dates,
     ids of the article itself (not of its references), MeSH headings, types, grants, references, language, pages.
 
-    The reader splits files at the row tag, so a file is never held whole.
+    The reader splits files at the row tag, so a file is never held whole. Texts keep the white space at their ends; ids and dates do not.
     """
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(SCHEMA).load(path)
+    raw = spark.read.format("xml").options(rowTag="PubmedArticle", ignoreSurroundingSpaces=False).schema(SCHEMA).load(path)
     return parse(raw)
 
 
@@ -64,8 +65,9 @@ def parse(raw: DataFrame) -> DataFrame:
     texts = article["Abstract"]["AbstractText"]
     ids = F.col("PubmedData.ArticleIdList.ArticleId")
     published = journal["JournalIssue"]["PubDate"]
+    year, month, day = (strip(published[p]) for p in ("Year", "Month", "Day"))
     return raw.select(
-        m["PMID"]["_VALUE"].alias("pmid"),
+        strip(m["PMID"]["_VALUE"]).alias("pmid"),
         article["ArticleTitle"].alias("title"),
         m["_Status"].alias("medline_citation_status"),
         m["_Owner"].alias("medline_citation_owner"),
@@ -78,8 +80,8 @@ def parse(raw: DataFrame) -> DataFrame:
         journal["JournalIssue"]["Issue"].alias("issue"),
         article["_PubModel"].alias("pub_model"),
         F.struct(
-            published["Year"].alias("year"), published["Month"].alias("month"), published["Day"].alias("day"), published["Season"].alias("season"),
-            published["MedlineDate"].alias("medline_date"), iso_date(published["Year"], published["Month"], published["Day"]).alias("iso_date"),
+            year.alias("year"), month.alias("month"), day.alias("day"), published["Season"].alias("season"),
+            published["MedlineDate"].alias("medline_date"), iso_date(year, month, day).alias("iso_date"),
         ).alias("journal_pub_date"),
         F.transform(
             article["AuthorList"]["Author"],

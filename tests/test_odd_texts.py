@@ -30,3 +30,7 @@ def _same_as_sql(spark, path, name):
 
 def test_wos_texts_stay_whole(spark, odd):
     _same_as_sql(spark, odd, "s5_from_wos")
+
+
+def test_pubmed_sections_stay_whole(spark, odd):
+    _same_as_sql(spark, odd, "l4_pubmed_details")
